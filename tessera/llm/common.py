@@ -44,6 +44,12 @@ def _clean() -> None:
             return
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of whole texts stay small: rows at most, and about 16 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write a table in the shared folder and read it again."""
     path = work_dir(df.sparkSession, name)

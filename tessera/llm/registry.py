@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import content_sort
+from tessera.llm import content_sort, host_quality, mixing
 
 
 def queries() -> dict:
     return {
+        "op1_host_quality": host_quality.op1_host_quality,
+        "op4_mixing": mixing.op4_mixing,
         "op6_content_sort": content_sort.op6_content_sort,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_host_quality": host_quality.OP1_SQL,
+        "op4_mixing": mixing.OP4_SQL,
         "op6_content_sort": content_sort.OP6_SQL,
     }
