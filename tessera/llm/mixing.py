@@ -20,7 +20,7 @@ from tessera.llm.common import WORD_PATTERN, materialise
 #: Weights of the sources in code point order, repeating, and the share of all words that is taken.
 WEIGHTS, SHARE, MOST_ROUNDS = (5, 2, 1), 1.5, 2.0
 #: About so many rows of a source go to one range.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def budgets(sizes: list[tuple], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, rounds: float = MOST_ROUNDS) -> dict:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import content_sort, host_quality, mixing
+from tessera.llm import content_sort, host_quality, mixing, pieces, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_host_quality": host_quality.op1_host_quality,
+        "op2_token_counts": token_counts.op2_token_counts,
         "op4_mixing": mixing.op4_mixing,
         "op6_content_sort": content_sort.op6_content_sort,
+        "op8_pieces": pieces.op8_pieces,
     }
 
 
