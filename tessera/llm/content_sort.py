@@ -45,7 +45,7 @@ def sampled_splitters(docs: DataFrame, ident: str, text: str, ranges: int) -> li
     return sorted(set(cuts))
 
 
-def _ranges_below(splitters: Column, key: Column, count: int) -> Column:
+def ranges_below(splitters: Column, key: Column, count: int) -> Column:
     """How many of the sorted splitters are at or below the key: a binary search."""
     if not count:
         return F.lit(0)
@@ -76,7 +76,7 @@ def content_sort(docs: DataFrame, ident: str = "doc_id", text: str = "text", kee
         norm = F.col("__norm")
     dealt = (
         source.withColumn("__key", F.struct(*_key(norm, F.col("__id"))))
-        .withColumn("__range", _ranges_below(splitters, F.col("__key"), len(cuts)))
+        .withColumn("__range", ranges_below(splitters, F.col("__key"), len(cuts)))
         .repartitionById(len(cuts) + 1, F.col("__range"))
     )
     beside = lambda at: F.coalesce((F.get(splitters, at)["p"] == F.col("__key.p")) & (F.get(splitters, at)["h"] == F.col("__key.h")), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import content_sort, host_quality, mixing, pieces, token_counts
+from tessera.llm import content_sort, host_quality, mixing, pieces, token_counts, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_host_quality": host_quality.op1_host_quality,
         "op2_token_counts": token_counts.op2_token_counts,
         "op4_mixing": mixing.op4_mixing,
+        "op5_token_files": token_files.op5_token_files,
         "op6_content_sort": content_sort.op6_content_sort,
         "op8_pieces": pieces.op8_pieces,
     }
