@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import content_sort, host_quality, mixing, pieces, quality_model, token_counts, token_files
+from tessera.llm import chat_events, content_sort, host_quality, mixing, pieces, quality_model, token_counts, token_files
 
 
 def queries() -> dict:
     return {
         "op1_host_quality": host_quality.op1_host_quality,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_chat_events": chat_events.op3_chat_events,
         "op4_mixing": mixing.op4_mixing,
         "op5_token_files": token_files.op5_token_files,
         "op6_content_sort": content_sort.op6_content_sort,
@@ -20,6 +21,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_host_quality": host_quality.OP1_SQL,
+        "op3_chat_events": chat_events.OP3_SQL,
         "op4_mixing": mixing.OP4_SQL,
         "op6_content_sort": content_sort.OP6_SQL,
     }
