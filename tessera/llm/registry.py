@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_events, content_sort, host_quality, mixing, pieces, quality_model, token_counts, token_files
+from tessera.llm import chat_events, content_sort, host_quality, mixing, pieces, quality_model, secret_forest, token_counts, token_files
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_content_sort": content_sort.op6_content_sort,
         "op8_pieces": pieces.op8_pieces,
         "op9_quality_model": quality_model.op9_quality_model,
+        "op10_secret_forest": secret_forest.op10_secret_forest,
     }
 
 
