@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_events, content_sort, host_quality, mixing, pieces, quality_model, secret_forest, token_counts, token_files
+from tessera.llm import chat_events, content_sort, host_quality, mixing, ngram_join, pieces, quality_model, secret_forest, token_counts, token_files
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mixing": mixing.op4_mixing,
         "op5_token_files": token_files.op5_token_files,
         "op6_content_sort": content_sort.op6_content_sort,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_pieces": pieces.op8_pieces,
         "op9_quality_model": quality_model.op9_quality_model,
         "op10_secret_forest": secret_forest.op10_secret_forest,
