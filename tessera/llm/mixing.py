@@ -97,8 +97,8 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: st
     copies = F.when(F.col("__size") > 0, F.ceil(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
     repeated = planned.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(F.col("__taken") > 0)
     part = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    start = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), part.cast("string"), F.lit("}"))
-    cut = F.when(part < F.col("__size"), F.regexp_substr(F.col(text), start)).otherwise(F.col(text))
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(part < F.col("__size"), F.array_join(F.slice(words, F.lit(1), part.cast("int")), "")).otherwise(F.col(text))
     return repeated.withColumn(text, cut).select(*docs.columns)
 
 
