@@ -122,14 +122,14 @@ def file_safe(repo: Column) -> Column:
 
 
 def duration_label(seconds: Column) -> Column:
-    """Seconds as 3h 2m, 2m 5s or 5s; null as unknown."""
-    s = F.floor(seconds).cast("long")
-    h, m, r = F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60
+    """Seconds as 5s, 2m 5s or 3h 2m; null as -."""
+    total = F.bround(seconds).cast("long")
+    part = lambda c, unit: F.concat(c.cast("long").cast("string"), F.lit(unit))
     return (
-        F.when(seconds.isNull(), "unknown")
-        .when(h > 0, F.concat(h.cast("string"), F.lit("h "), m.cast("string"), F.lit("m")))
-        .when(m > 0, F.concat(m.cast("string"), F.lit("m "), r.cast("string"), F.lit("s")))
-        .otherwise(F.concat(r.cast("string"), F.lit("s")))
+        F.when(seconds.isNull(), "-")
+        .when(total < 60, part(total, "s"))
+        .when(total < 3600, F.concat_ws(" ", part(F.floor(total / 60), "m"), part(total % 60, "s")))
+        .otherwise(F.concat_ws(" ", part(F.floor(total / 3600), "h"), part(F.floor(total / 60) % 60, "m")))
     )
 
 
