@@ -26,8 +26,12 @@ from tessera.llm.words import Texts, encoded, slices
 MARK = "▁"
 #: An unknown code point scores this much less than the lowest piece.
 UNKNOWN_PENALTY = 10.0
-#: Encoded segments that a worker remembers.
-REMEMBERED = 200_000
+#: Segments that are encoded at once, and the longest of them in bytes.
+AT_ONCE, LONGEST_AT_ONCE = 32_768, 64
+#: Text bytes of a slice; its arrays take about 60 times as much.
+SLICE_BYTES = 4 << 20
+
+_WIDTH = np.array([1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)])
 
 
 class DoubleArray:
@@ -105,7 +109,12 @@ class Pieces:
         self.unknown = min(self.scores, default=0.0) - UNKNOWN_PENALTY
         self.unknown_id = table.unk_id()
         self.trie = DoubleArray(keys)
-        self.known: dict[bytes, list[int]] = {}
+        beyond = [0] * 300  # a look-up may go past the last cell
+        self.base, self.value = (np.array(x + beyond, np.int64) for x in (self.trie.base, self.trie.value))
+        self.check = np.array(self.trie.check + [-1] * 300, np.int64)
+        self.score_of, self.id_of = np.array([*self.scores, 0.0]), np.array([*self.ids, 0], np.int32)
+        self.sizes = np.array([len(x) for x in self.bytes_of])
+        self.flat, self.begin = np.frombuffer(b"".join(self.bytes_of), np.uint8), np.cumsum(self.sizes) - self.sizes
 
     def segment(self, data: bytes) -> list[int]:
         """The ids of the best path through the bytes (white space already escaped)."""
@@ -147,15 +156,73 @@ class Pieces:
             at = start
         return out[::-1]
 
-    def segments(self, distinct: list[bytes]) -> list[list[int]]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        out = []
-        for raw in distinct:
-            if (ids := self.known.get(raw)) is None:
-                ids = self.known[raw] = self.segment(raw.replace(b" ", MARK.encode()))
-            out.append(ids)
-        return out
+    def segments(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments one after another, and how many each has."""
+        escaped = Texts(pc.replace_substring(distinct.cast(pa.large_string()), " ", MARK))
+        sizes = np.diff(escaped.ends)
+        found: list = [None] * len(sizes)
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] <= LONGEST_AT_ONCE]
+        for start in range(0, len(order), AT_ONCE):
+            some = order[start : start + AT_ONCE]
+            length = int(sizes[some[-1]])
+            places = escaped.ends[some][:, None] + np.arange(length)
+            inside = np.arange(length) < sizes[some][:, None]
+            data = np.where(inside, escaped.bytes[np.minimum(places, len(escaped.bytes) - 1)], 0) if length else np.zeros((len(some), 0), np.uint8)
+            ids, ends, known = self._paths(data, sizes[some])
+            for i in np.flatnonzero(known):
+                found[some[i]] = ids[ends[i] : ends[i + 1]]
+        for i, ids in enumerate(found):
+            if ids is None:  # long, or with unknown code points
+                found[i] = np.array(self.segment(escaped.bytes[escaped.ends[i] : escaped.ends[i + 1]].tobytes()), np.int32)
+        return np.concatenate(found) if found else np.zeros(0, np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _paths(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """segment() for all rows of data at once: ids, where each row's begin and end, and which rows have no unknown code point."""
+        rows_n, length = data.shape
+        best = np.full((rows_n, length + 1), -np.inf)
+        came, by = np.zeros((rows_n, length + 1), np.int16), np.full((rows_n, length + 1), -1, np.int32)
+        best[:, 0] = 0
+        for start in range(length):
+            rows = np.flatnonzero((sizes > start) & (best[:, start] > -np.inf))
+            here, width = best[rows, start], _WIDTH[data[rows, start]]
+            single = np.zeros(len(rows), bool)
+            active, node = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+            for at in range(start, length):
+                inside = sizes[rows[active]] > at
+                active, node = active[inside], node[inside]
+                following = self.base[node] + data[rows[active], at] + 1
+                child = (self.check[following] == node) & (following > 0)
+                active, node = active[child], following[child]
+                if not len(active):
+                    break
+                value = self.value[node]
+                hit = value >= 0
+                of, value = active[hit], value[hit]
+                score = here[of] + self.score_of[value]
+                better = score > best[rows[of], at + 1]
+                to = rows[of[better]]
+                best[to, at + 1], came[to, at + 1], by[to, at + 1] = score[better], start, value[better]
+                single[of] |= at + 1 == start + width[of]
+            lone = np.flatnonzero(~single)
+            end = np.minimum(sizes[rows[lone]], start + width[lone])
+            score = here[lone] + self.unknown
+            better = score > best[rows[lone], end]
+            to, end = rows[lone][better], end[better]
+            best[to, end], came[to, end], by[to, end] = score[better], start, -1
+        at, known, steps = sizes.copy(), np.ones(rows_n, bool), []
+        count = np.zeros(rows_n, np.int64)
+        while len(rows := np.flatnonzero(at > 0)):
+            value = by[rows, at[rows]]
+            known[rows[value < 0]] = False
+            steps.append((rows, value))
+            count[rows] += 1
+            at[rows] = came[rows, at[rows]]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        ids = np.zeros(ends[-1], np.int32)
+        for k, (rows, value) in enumerate(steps):
+            ids[ends[rows + 1] - 1 - k] = self.id_of[value]
+        return ids, ends, known
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids end. Null counts as empty, which has no ids."""
@@ -172,15 +239,29 @@ class Pieces:
         first[texts.ends[:-1][np.diff(texts.ends) > 0]] = True
         starts = np.flatnonzero(first)
         code, distinct = encoded(texts.bytes, np.diff(np.append(starts, len(texts.bytes))))
-        lists = self.segments(distinct.to_pylist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
+        flat, sizes = self.segments(distinct)
         begin = np.concatenate(([0], np.cumsum(sizes)))
         per = sizes[code]
         total = np.concatenate(([0], np.cumsum(per)))
         ids = flat[np.repeat(begin[code] - total[:-1], per) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, texts.ends[1:], "left")]
 
+    def come_back(self, column: pa.Array, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each text is what its ids decode to."""
+        texts = Texts(column)
+        per = self.sizes[ids]
+        total = np.concatenate(([0], np.cumsum(per)))
+        data = self.flat[np.repeat(self.begin[ids] - total[:-1], per) + np.arange(total[-1])]
+        size, own = np.diff(texts.ends), np.diff(np.concatenate(([0], total[ends])))
+        same = own == np.where(size > 0, size + 1, 0)  # with the space before the text
+        starts = total[ends] - own
+        rows = np.flatnonzero(same & (size > 0))
+        n = size[rows]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differs = data[np.repeat(starts[rows] + 1, n) + step] != texts.bytes[np.repeat(texts.ends[rows], n) + step]
+        same[rows] = np.bincount(np.repeat(np.arange(len(rows)), n), weights=differs, minlength=len(rows))[: len(rows)] == 0
+        return same
+
     def decode(self, ids) -> str:
         """The text of ids: bytes joined, markers turned into spaces, the one before the text taken away."""
         joined = b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
@@ -207,13 +288,13 @@ def encode_pieces(docs: DataFrame, model: str, ident: str = "doc_id", text: str
         is_byte = np.zeros(len(pieces.bytes_of), bool)
         is_byte[list(pieces.byte_id.values())] = True
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", SLICE_BYTES):
                 ids, ends = pieces.encode(part.column("__text"))
                 starts = np.concatenate(([0], ends[:-1]))
                 bytes_before = np.concatenate(([0], np.cumsum(is_byte[ids])))
                 each = [ids[a:b] for a, b in zip(starts, ends, strict=True)]
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in each]
-                same = [pieces.decode(x.tolist()) == t for x, t in zip(each, part.column("__text").to_pylist(), strict=True)]
+                same = pieces.come_back(part.column("__text"), ids, ends)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("__ident"), lists, pa.array(ends - starts), pa.array(bytes_before[ends] - bytes_before[starts]), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
