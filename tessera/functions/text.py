@@ -170,7 +170,8 @@ def last_choice(text: Column) -> Column:
 def ngram_excess(text: Column, n: int = 5, most: int = 3) -> Column:
     """Occurrences of n-grams of words beyond `most` each, from runs in the sorted n-grams."""
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    grams = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    of = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    grams = F.flatten(F.transform(F.array(words), of))  # the words are split once, not once for each n-gram
     start = F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("run"), F.lit(0).alias("over"))
 
     def step(acc: Column, gram: Column) -> Column:

@@ -1 +1,125 @@
-"""Queries."""
+"""Queries of bundle summaries, gates and generators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.functions import verifiers as V
+from tessera.operators import bundles as B
+from tessera.operators import generators as G
+from tessera.plans.base import query
+from tessera.session import table
+
+_R = """r AS (SELECT doc_id, left(text, 60) AS prompt, text, source, lang, length(text) >= 64 AS valid, CASE WHEN doc_id % 3 <> 0 THEN (length(text) > 300)::INT END AS score FROM documents),
+ s AS (SELECT count(*) AS total_records, count(*) FILTER (valid) AS valid_json_records, count(*) - count(DISTINCT text) AS exact_duplicate_count, count(*) - count(DISTINCT prompt) AS duplicate_prompt_count,
+ count(DISTINCT lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))) AS u, count(score) AS verifier_total, count(*) FILTER (score >= 1) AS verifier_pass_count FROM r)"""
+_RATES = "round(valid_json_records / total_records, 6) AS schema_valid_rate, round(u / total_records, 6) AS unique_text_ratio, round(exact_duplicate_count / total_records, 6) AS exact_duplicate_ratio, round(verifier_pass_count / verifier_total, 6) AS verifier_pass_rate"
+
+
+def _records(spark, d):
+    t, n = F.col("text"), F.char_length("text")
+    return table(spark, d, "documents").select("doc_id", F.substring(t, 1, 60).alias("prompt"), "text", "source", "lang", (n >= 64).alias("valid"), F.when(F.col("doc_id") % 3 != 0, (n > 300).cast("int")).alias("score"))
+
+
+@query("bundle_summary", f"WITH {_R} SELECT total_records, valid_json_records, exact_duplicate_count, duplicate_prompt_count, verifier_total, verifier_pass_count, {_RATES} FROM s")
+def bundle_summary(spark, d):
+    s = B.bundle_summary(_records(spark, d))
+    return s.withColumns({c: F.round(c, 6) for c in ("schema_valid_rate", "unique_text_ratio", "exact_duplicate_ratio", "verifier_pass_rate")})
+
+
+@query("bundle_histograms", f"WITH {_R} SELECT 'source' AS dimension, source AS value, count(*) AS n FROM r GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM r GROUP BY lang UNION ALL SELECT 'valid', valid::VARCHAR, count(*) FROM r GROUP BY valid")
+def bundle_histograms(spark, d):
+    return B.histograms(_records(spark, d), ["source", "lang", "valid"])
+
+
+@query("quality_gate", f"""WITH {_R} SELECT array_to_string(list_filter([CASE WHEN valid_json_records / total_records < 0.98 THEN 'schema_valid_rate' END, CASE WHEN u / total_records < 0.95 THEN 'unique_text_ratio' END,
+  CASE WHEN exact_duplicate_count > 0 THEN 'exact_duplicate_ratio' END, CASE WHEN verifier_pass_count / verifier_total < 0.85 THEN 'verifier_pass_rate' END], lambda x: x IS NOT NULL), ',') AS failures FROM s""")
+def quality_gate(spark, d):
+    return B.gate_failures(B.bundle_summary(_records(spark, d))).select(F.array_join("failures", ",").alias("failures"))
+
+
+@query("dup_excess", "SELECT source, count(*) - count(DISTINCT text) AS excess FROM documents GROUP BY source")
+def dup_excess(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg((F.count(F.lit(1)) - F.countDistinct("text")).alias("excess"))
+
+
+@query("unique_ratio", "SELECT lang, round(count(DISTINCT lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))) / count(*), 6) AS ratio FROM documents GROUP BY lang")
+def unique_ratio(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.round(F.countDistinct(F.sha1(T.fingerprint(F.col("text")))) / F.count(F.lit(1)), 6).alias("ratio"))
+
+
+@query("reject_duplicates", f"""WITH {_R}, a AS (SELECT doc_id, prompt, text, CASE WHEN NOT valid THEN 'too_short_response' END AS reason FROM r),
+  f AS (SELECT *, lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS ft, lower(regexp_replace(regexp_replace(prompt, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS fp FROM a),
+  b AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY reason, ft ORDER BY doc_id) > 1 THEN 'duplicate_text' ELSE reason END AS r2 FROM f)
+  SELECT doc_id, CASE WHEN r2 IS NULL AND row_number() OVER (PARTITION BY r2, fp ORDER BY doc_id) > 1 THEN 'duplicate_prompt' ELSE r2 END AS reason FROM b""")
+def reject_duplicates(spark, d):
+    rows = _records(spark, d).select("doc_id", "prompt", "text", F.when(~F.col("valid"), "too_short_response").alias("reason"))
+    return B.reject_duplicates(rows, "doc_id").select("doc_id", "reason")
+
+
+@query("common_reasons", """SELECT doc_id, CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < [1, 48, 32, 40, 16][(doc_id % 5 + 1)::INT] THEN 'too_short_response'
+  WHEN length(source) < [1, 12, 1, 1, 16][(doc_id % 5 + 1)::INT] THEN 'too_short_reference' END AS reason FROM documents""")
+def common_reasons(spark, d):
+    lane = F.element_at(F.array(*map(F.lit, B.LANES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", B.common_reason(lane, F.col("text"), F.col("source"), F.lit("")).alias("reason"))
+
+
+@query("zero_answers", "SELECT event_id, abs(floor(value) - 3) < 1 AND floor(value) = 3 AS zero FROM events")
+def zero_answers(spark, d):
+    answer = F.concat((F.floor("value") - 3).cast("string"), F.lit(".00."))
+    return table(spark, d, "events").select("event_id", B.zero_answer(answer).alias("zero"))
+
+
+@query("tool_rules", """SELECT event_id, ['empty_tool_arguments', 'generic_tool_name', 'non_mcp_agent_tool_name', 'non_concrete_tool_arguments', 'destructive_tool_arguments', 'verifier_failed_tool_json', NULL][(event_id % 7 + 1)::INT] AS reason FROM events""")
+def tool_rules(spark, d):
+    k = (F.col("event_id") % 7 + 1).cast("int")
+    pick = lambda *options: F.element_at(F.array(*map(F.lit, options)), k)
+    good = '{"path": "a"}'
+    name = pick("mcp.x", "tool.call", "web.get", "mcp.x", "agent.y", "mcp.x", "mcp.x")
+    arguments = pick("{}", good, good, '{"path": " "}', '{"cmd": "rm -rf /tmp/x"}', good, good)
+    response = pick("{}", "{}", "{}", "{}", "{}", "{", '{"arguments": {"path": "a"}}')
+    return table(spark, d, "events").select("event_id", B.tool_reason(name, arguments, response, F.lit('{"arguments":{"path":"a"}}')).alias("reason"))
+
+
+@query("code_rules", """SELECT item_id, ['fallback_code_stub', 'missing_typed_public_callable', 'missing_assert_verifier', 'non_executing_assert_verifier', 'verifier_redefines_candidate_api', 'callable_only_verifier', NULL][(item_id % 7 + 1)::INT] AS reason FROM benchmark""")
+def code_rules(spark, d):
+    k = (F.col("item_id") % 7 + 1).cast("int")
+    pick = lambda *options: F.element_at(F.array(*map(F.lit, options)), k)
+    good, check = "def add(a: int, b: int) -> int:\n    return a + b\n", "assert add(1, 2) == 3"
+    code = pick("def f():\n    return None", "def add(a, b):\n    return a + b", good, good, good, good, good)
+    verifier = pick(check, check, "add(1, 2)", f"def test_it():\n    {check}", f"def add(a, b):\n    return 3\n{check}", "assert callable(add)", check)
+    return table(spark, d, "benchmark").select("item_id", B.code_reason(code, verifier, F.lit("python"), F.lit("python_exec"), code, verifier).alias("reason"))
+
+
+@query("failure_contrast", "SELECT 2 * count(*) AS failures, 1.0::DOUBLE AS expected_zero_rate FROM benchmark")
+def failure_contrast(spark, d):
+    """Two bad answers of each item, scored; the share that scores 0 as it should."""
+    bad = F.array(*(F.struct(F.concat(F.lit("<think>guessing here</think><answer>"), (F.col("item_id") + k).cast("string"), F.lit("</answer>")).alias("bad_response"), F.lit(f"off_by_{k}").alias("label")) for k in (1, 2)))
+    score = V.exact_math(F.col("bad_response"), F.col("item_id").cast("string"))
+    rows = B.failure_contrast(table(spark, d, "benchmark").select("item_id"), bad, score)
+    return rows.agg(F.count(F.lit(1)).alias("failures"), F.avg((F.col("observed_score") == 0).cast("double")).alias("expected_zero_rate"))
+
+
+@query("generated_bundle", "SELECT 'math' AS lane, 512::BIGINT AS records, 1.0::DOUBLE AS pass_rate, 52::BIGINT AS val UNION ALL SELECT 'tool_use', 512, 1.0, 52")
+def generated_bundle(spark, d):
+    """512 records a lane: verifier pass rate and the tenth that is validation."""
+    out = None
+    for lane, verifier in (("math", V.exact_math), ("tool_use", V.json_match)):
+        rows = G.as_records(G.generate(spark, lane, 512)).withColumn("score", verifier(F.col("response"), F.col("reference")))
+        one = rows.agg(F.lit(lane).alias("lane"), F.count(F.lit(1)).alias("records"), F.avg("score").alias("pass_rate"), F.count_if(F.col("idx") % 10 == 0).alias("val"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("stage_gate", "SELECT 4::BIGINT AS lanes, false AS all_ok, false AS skip")
+def stage_gate(spark, d):
+    lanes = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("records"), (F.count(F.lit(1)) - F.countDistinct("text")).alias("duplicates"), F.lit(1.0).alias("verifier_pass_rate"))
+    return B.stage_gate(lanes, 4, 10)
+
+
+@query("preference_scores", "SELECT 1.0::DOUBLE AS chosen_min, 0.0::DOUBLE AS rejected_max, 64::BIGINT AS pairs")
+def preference_scores(spark, d):
+    p = G.preference_pairs(spark, 64)
+    reference = F.element_at(F.split("chosen", " = "), -1)
+    return p.agg(F.min(V.gsm8k(F.col("chosen"), reference)).alias("chosen_min"), F.max(V.gsm8k(F.col("rejected"), reference)).alias("rejected_max"), F.count(F.lit(1)).alias("pairs"))
