@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Private key headers, and runs of 16 or more key characters with a digit.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,32}+PRIVATE KEY-----|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
+CANDIDATE = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
 #: Code points of context on either side; a context ends at the next candidate.
 CONTEXT = 48
 #: Words whose share of a candidate is its dictionary coverage.
