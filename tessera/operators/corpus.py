@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import checkpoint
 
 
 def cleaned(docs: DataFrame, ident: str = "doc_id", source: str = "source") -> DataFrame:
@@ -14,48 +15,47 @@ def cleaned(docs: DataFrame, ident: str = "doc_id", source: str = "source") -> D
     return norm.withColumn("reason", T.quality_reason(F.col("text")))
 
 
-def marked_duplicates(docs: DataFrame, ident: str = "doc_id") -> DataFrame:
-    """cleaned() rows with reason `dup` for those whose prefix an earlier good row has.
+def drop_reasons(docs: DataFrame, ident: str = "doc_id", source: str = "source") -> DataFrame:
+    """ident, source, reason of each document, `dup` where an earlier good row has the prefix.
 
-    The first row of each prefix is a pre-aggregated minimum that is joined back.
+    The texts are read once: what is known of them is a small checkpoint. The first row of each
+    prefix is a pre-aggregated minimum that is joined back, so a hot prefix is no hot task.
     """
-    keyed = docs.withColumn("__p", F.when(F.col("reason").isNull(), T.prefix_hash(F.col("text"))))
-    first = keyed.where(F.col("__p").isNotNull()).groupBy("__p").agg(F.min(ident).alias("__first"))
-    out = keyed.join(first, "__p", "left")
-    return out.withColumn("reason", F.when(F.col("__p").isNotNull() & (F.col(ident) != F.col("__first")), "dup").otherwise(F.col("reason"))).drop("__p", "__first")
+    good = F.col("reason").isNull()
+    slim = checkpoint(cleaned(docs, ident, source).select(ident, source, "reason", F.when(good, T.prefix_hash(F.col("text"))).alias("__p")))
+    first = slim.where(F.col("__p").isNotNull()).groupBy("__p").agg(F.min(ident).alias("__first"))
+    later = F.col("__p").isNotNull() & (F.col(ident) != F.col("__first"))
+    return slim.join(first, "__p", "left").select(ident, source, F.when(later, "dup").otherwise(F.col("reason")).alias("reason"))
 
 
 def clean_documents(docs: DataFrame, ident: str = "doc_id", source: str = "source") -> DataFrame:
-    return marked_duplicates(cleaned(docs, ident, source), ident).where(F.col("reason").isNull()).drop("reason")
+    """ident, source, normalised text of the documents that are kept."""
+    kept = drop_reasons(docs, ident, source).where(F.col("reason").isNull()).select(ident)
+    return docs.select(ident, source, T.normalize(F.col("text")).alias("text")).join(kept, ident, "left_semi")
 
 
 def clean_counters(docs: DataFrame, ident: str = "doc_id", source: str = "source") -> DataFrame:
     """Seen, kept and dropped by reason for each source."""
-    slim = cleaned(docs, ident, source)
     reasons = {"drop_short": "short", "drop_long": "long", "drop_ratio": "low_alnum_cjk_ratio", "drop_singlechar": "single_char", "drop_linerepeat": "line_repeat", "drop_dup": "dup"}
-    return marked_duplicates(slim, ident).groupBy(source).agg(
+    return drop_reasons(docs, ident, source).groupBy(source).agg(
         F.count(F.lit(1)).alias("seen"),
         F.count_if(F.col("reason").isNull()).alias("kept"),
         *(F.count_if(F.col("reason") == value).alias(name) for name, value in reasons.items()),
     )
 
 
-def duplicate_flags(rows: DataFrame, key: str, ident: str, flag: str) -> DataFrame:
-    """Whether an earlier row has the key: first-seen by a pre-aggregated minimum, joined back."""
-    first = rows.groupBy(key).agg(F.min(ident).alias("__first"))
-    return rows.join(first, key).withColumn(flag, F.col(ident) != F.col("__first")).drop("__first")
-
-
 def audit_rows(docs: DataFrame, ident: str = "doc_id", file: str = "source", simhash: bool = False) -> DataFrame:
-    """Length, reason and duplicate flags of each non-empty document; the texts don't travel on."""
+    """Length, reason and duplicate flags of each non-empty document; the texts are read once and don't travel on."""
     from tessera.functions.verifiers import simhash64
 
     norm = docs.select(ident, file, T.normalize(F.col("text")).alias("text")).where(F.coalesce(F.col("text"), F.lit("")) != "")
     text = F.col("text")
     keys = {"exact": T.exact_hash(text), "prefix": T.prefix_hash(text)} | ({"simhash": simhash64(text)} if simhash else {})
-    rows = norm.select(ident, file, F.char_length("text").alias("chars"), T.quality_reason(text).alias("reason"), *(v.alias(f"k_{k}") for k, v in keys.items()))
+    slim = checkpoint(norm.select(ident, file, F.char_length("text").alias("chars"), T.quality_reason(text).alias("reason"), *(v.alias(f"k_{k}") for k, v in keys.items())))
+    rows = slim
     for k in keys:
-        rows = duplicate_flags(rows, f"k_{k}", ident, f"dup_{k}")
+        first = slim.groupBy(f"k_{k}").agg(F.min(ident).alias("__first"))
+        rows = rows.join(first, f"k_{k}").withColumn(f"dup_{k}", F.col(ident) != F.col("__first")).drop("__first")
     return rows
 
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint
+
 
 def with_ordinal(df: DataFrame, keys: list[str | Column], partition: list[str] | None = None, name: str = "ord") -> DataFrame:
     """1-based ordinal within each partition (or globally) in the order of keys.
 
     The global form numbers range-sorted partitions and adds the rows of the partitions before,
-    so no task sees all rows.
+    so no task sees all rows. The sorted rows are a checkpoint: sorting anew may cut the ranges
+    elsewhere.
     """
     if partition:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*keys)).cast("long"))
     sorted_rows = df.orderBy(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
+    sorted_rows = checkpoint(sorted_rows)
     counts = {r["__part"]: r["n"] for r in sorted_rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
     before, total = [], 0
     for part in range(max(counts, default=-1) + 1):
