@@ -15,6 +15,9 @@ table of lengths, adds the lengths up to places and gathers the bytes, all by nu
 from __future__ import annotations
 
 import itertools
+import json
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,8 +39,8 @@ ROW = np.dtype([("doc", "<i8"), ("null", "u1"), ("last", "u1"), ("n", "<u4")])
 HEAD = np.dtype("<u4")
 #: Lengths of the four values of each control byte.
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
-#: Distinct words that a worker remembers the ids of.
-REMEMBERED = 200_000
+#: Distinct parts that a worker remembers the ids of.
+REMEMBERED = 600_000
 #: Sampled keys for each file when the splitters of the identifier are chosen.
 SAMPLES_PER_FILE = 48
 
@@ -68,34 +71,97 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     return values
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
+def _byte_characters() -> list[str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = itertools.count(256)
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+#: The rule by which a text is cut before the merges, as the vocabulary's file spells it.
+SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Runs that are one token of that rule whatever stands beside them: lower-case Latin letters.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+_DIGIT, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:127] = ~(_DIGIT | _LETTER)[33:127]
+
+
+def _sure_breaks(data: np.ndarray) -> np.ndarray:
+    """Places between bytes where SPLIT_RULE always cuts: beside a digit, from a letter to a mark, and from a mark but ' to a letter."""
+    out = np.zeros(len(data), bool)
+    before, after = data[:-1], data[1:]
+    out[1:] = _DIGIT[before] | _DIGIT[after] | (_LETTER[before] & _MARK[after]) | (_MARK[before] & (before != 39) & _LETTER[after])
+    return out
+
+
+class _Encoder:
+    """A vocabulary with what a worker remembers of it."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.known: dict[bytes, tuple[int, ...]] = {}
+        shape = json.loads(self.library.to_str())
+        rules = [p.get("pattern", {}).get("Regex") for p in (shape["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        steps = [n["type"] for n in (shape["normalizer"] or {}).get("normalizers", [])]
+        self.by_rule = rules == [SPLIT_RULE, None] and steps == ["NFC", "Replace", "Lowercase"]
+        self.special = [t["content"].lower().encode() for t in shape["added_tokens"]]
+        self.character = _byte_characters()
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
+
+    def part(self, raw: bytes) -> tuple[int, ...] | None:
+        """Ids of a part that is one token of the rule, by the library's merges alone; None for others."""
+        if (text := raw.decode()).isascii() or (text := text.lower()):
+            if _LETTERS.fullmatch(text):
+                return tuple(t.id for t in self.library.model.tokenize("".join(self.character[b] for b in text.encode()) if not text.isascii() else text))
+        return None
+
+    def parts(self, distinct: list[bytes], fast: bool) -> list[tuple[int, ...]]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known if fast else {}
+        rest = []
+        for raw in distinct:
+            if raw not in known:
+                ids = self.part(raw) if fast else None
+                if ids is None:
+                    rest.append(raw)
+                else:
+                    known[raw] = ids
+        for start in range(0, len(rest), 4096):
+            some = rest[start : start + 4096]
+            found = self.library.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
+            known.update(zip(some, (tuple(e.ids) for e in found), strict=True))
+        return [known[x] for x in distinct]
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return _Encoder(path)
 
 
 def encode_texts(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, and how many each has.
 
-    The vocabulary is of the kind whose pre-tokenizer drops white space, so a text's ids are its
-    words' ids; each distinct word of the batch is encoded once by the library.
+    The vocabulary drops white space, so a text's ids are its words' ids, and by its rule words
+    fall into parts with ids of their own; each distinct part of the batch is encoded once by the
+    library. Where a text may spell a special token, words are not cut and not lower-cased here.
     """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    words = Words(Texts(column))
-    distinct = [w.decode() for w in words.distinct.to_pylist()]
-    new = [w for w in distinct if w not in known]
-    for start in range(0, len(new), 4096):
-        some = new[start : start + 4096]
-        known.update(zip(some, (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-    lists = [known[w] for w in distinct]
+    encoder = _encoder(path)
+    texts = Texts(column)
+    low = encoder.lower[texts.bytes]
+    fast = encoder.by_rule and not any(s in low.tobytes() for s in encoder.special)
+    if fast:
+        texts.bytes = low
+    words = Words(texts, _sure_breaks if fast else None)
+    lists = encoder.parts(words.distinct.to_pylist(), fast)
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    flat = np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes.sum()))
     begin = np.cumsum(sizes) - sizes
     per = sizes[words.code]
     ends = np.cumsum(per)
@@ -105,7 +171,7 @@ def encode_texts(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def splits_by_word(path: str) -> bool:
     """The vocabulary's pre-tokenizer drops white space, as encode_texts() needs."""
-    tokenizer, _ = _tokenizer(path)
+    tokenizer = _encoder(path).library
     probe = ["a b", "a  b", " a\tb\n", "a\x0b\x0cb\r"]
     want = [i for w in "ab" for i in tokenizer.encode(w, add_special_tokens=False).ids]
     return all(tokenizer.encode(p, add_special_tokens=False).ids == want for p in probe)
@@ -115,7 +181,7 @@ def id_counts(docs: DataFrame, tokenizer: str, text: str, end_id: int | None) ->
     """How often the corpus has each id: one number for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(_tokenizer(tokenizer)[0].get_vocab_size(with_added_tokens=True) + 1, np.int64)
+        counts = np.zeros(_encoder(tokenizer).library.get_vocab_size(with_added_tokens=True) + 1, np.int64)
         for batch in batches:
             for part in slices(batch, "__text"):
                 ids, _ = encode_texts(tokenizer, part.column("__text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +60,15 @@ def encoded(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array
 class Words:
     """The words of texts: doc (text's place), code (number of the distinct word), distinct (the words)."""
 
-    def __init__(self, texts: Texts):
+    def __init__(self, texts: Texts, more_breaks: Callable[[np.ndarray], np.ndarray] | None = None):
+        """more_breaks: from the bytes, which of them also begin a word."""
         inside = ~_IS_SPACE[texts.bytes]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         begins = texts.ends[:-1][texts.ends[:-1] < len(first)]
         first[begins] = inside[begins]
+        if more_breaks is not None:
+            first |= more_breaks(texts.bytes) & inside
         starts = np.flatnonzero(first)
         kept = np.concatenate(([0], np.cumsum(inside, dtype=np.int64)))
         lengths = np.diff(np.append(kept[starts], kept[-1]))
