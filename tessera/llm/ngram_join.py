@@ -10,11 +10,13 @@ token or a combination. The groups grow with the size of a document, so combinat
 proportion to it; as linked documents are of like size, each is indexed under the groups of its
 own size level and the next.
 
-Documents with equal sets are one class and stand in the index once. In each index entry every
-document is compared, by its whole set, with the entry's leader, the one with the most common
-tokens. Where this leaves an entry in several components, further leaders follow, and then all
-pairs that are in different components still: no candidate is left out, and a large group of
-near copies takes as many comparisons as it has members.
+Documents with equal sets are one class and stand in the index once. Entries
+are split by size level. The leader of an entry is its document with the most common tokens,
+the likely origin of near copies. Each document is compared, by its whole set, with the most
+common of its entries' leaders; where this leaves an entry in several components, all of it is
+compared with its leader, then with further ones, and then all pairs that are in different
+components still: no candidate is left out, and a large group of near copies takes about as
+many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from tessera.llm.words import Texts, Words, mixed, slices
 #: Words in an n-gram, and the least Jaccard similarity of a link in hundredths.
 WORDS, PERCENT = 3, 90
 #: Cells of the table of token counts.
-CELLS = 1 << 20
+CELLS = 1 << 22
 #: A cell is frequent above so many times the mean, and above this count.
 FREQUENT_TIMES, FREQUENT_LEAST = 4, 24
 #: Identifiers are broadcast up to this count (16 bytes each), and joined by a shuffle beyond it.
@@ -75,7 +77,7 @@ def token_sets(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.nda
 
 
 def _cell(token: np.ndarray) -> np.ndarray:
-    return (token >> np.uint64(44)).astype(np.int64) % CELLS
+    return (token >> np.uint64(42)).astype(np.int64)
 
 
 def _first_pass(docs: DataFrame, width: int) -> DataFrame:
@@ -86,7 +88,8 @@ def _first_pass(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 doc, token = token_sets(part.column("text"), width)
-                counts += np.bincount(_cell(token), minlength=CELLS).astype(np.uint32)
+                cell, times = np.unique(_cell(token), return_counts=True)
+                counts[cell] += times.astype(np.uint32)
                 n = np.bincount(doc, minlength=part.num_rows)
                 ends = np.cumsum(n)
                 digests = [xxhash.xxh3_128_digest(token[e - k : e].tobytes()) for e, k in zip(ends, n, strict=True)]
@@ -227,12 +230,16 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _settle(entry: DataFrame, sizes: DataFrame, texts: DataFrame, labels: DataFrame | None, tested: DataFrame | None, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Compare each entry's nodes with its leader, but for pairs tested before; the components then, and all pairs tested."""
+    """Compare each entry's nodes with its leader, but for pairs that are connected or tested; the components then, and all pairs tested."""
     with_size = entry.where("node <> leader").join(sizes.select(F.col("node").alias("leader"), F.col("n").alias("leader_n")), "leader")
     like = with_size.where(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
     pairs = like.select(F.greatest("leader", "node").alias("x"), F.least("leader", "node").alias("y"), "leader", "node").dropDuplicates(["x", "y"])
-    if tested is not None:
-        pairs = pairs.join(tested, ["x", "y"], "left_anti")
+    if labels is not None:
+        # Pairs that are connected already need no comparison, and pairs compared before no second one.
+        x, y = (labels.select(F.col("node").alias(c), F.col("component").alias(f"__{c}")) for c in ("x", "y"))
+        placed = pairs.join(x, "x", "left").join(y, "y", "left")
+        apart = placed.where(F.coalesce("__x", "x") != F.coalesce("__y", "y"))
+        pairs = apart.select("x", "y", "leader", "node").join(tested, ["x", "y"], "left_anti")
     pairs = materialise(pairs, "pairs")
     found = _compare(pairs.select("leader", "node"), texts, width, percent)
     if labels is not None:
@@ -261,20 +268,29 @@ def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     copies = materialise(of_class.where(~(F.col("ident").eqNullSafe(F.col("node"))) | F.col("node").isNull()).select("ident", "h").distinct(), "copies").where(F.col("ident").isNotNull())
     single = _only(slim.where(F.col("ident").isNotNull()), copies, ["ident", "h"], "left_anti")
     index = materialise(_index(single, _cell_counts(first), width, percent), "index")
-    entries = index.groupBy("key").agg(F.max(F.struct("common", (-F.col("node")).alias("minus"))).alias("top"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    shared = materialise(index.join(entries.select("key", (-F.col("top.minus")).alias("leader")), "key").select("key", "node", "n", "common", "leader"), "entries")
+    often = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    starts = level_starts(int(index.agg(F.max("n")).first()[0] or 1), percent)
+    level = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("n")))  # about ten levels for each doubling of the size
+    split = index.join(often, "key").select(F.explode(F.array(level, level + 1)).alias("level"), "key", "node", "n", "common").select(F.xxhash64("key", "level").alias("key"), "node", "n", "common")
+    split = materialise(split, "split")
+    # Tokens of one passage give many entries with the same documents; one of these is enough.
+    alike = [F.count(F.lit(1)).alias("rows"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2))]
+    entries = split.distinct().groupBy("key").agg(F.max(F.struct("common", (-F.col("node")).alias("minus"))).alias("top"), F.min("node").alias("low"), F.max("node").alias("high"), *alike)
+    entries = entries.where("low <> high").dropDuplicates(["low", "high", "rows", "same0", "same1"])
+    shared = materialise(split.join(entries.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.common").alias("leader_common")), "key"), "entries")
     nodes = materialise(shared.select(F.col("node").alias("ident")).distinct(), "nodes")
     texts = materialise(_only(single, nodes, ["ident"], "left_semi").select("ident", "text"), "texts")
 
     sizes = shared.groupBy("node").agg(F.max("n").alias("n"))
     tested, labels, led = None, None, None
-    entry = shared.select("key", "node", "n", "leader")
+    first_leader = shared.where("node <> leader").groupBy("node").agg(F.max("n").alias("n"), F.max(F.struct("leader_common", (-F.col("leader")).alias("minus"))).alias("top"))
+    entry = first_leader.select(F.lit(0).cast("long").alias("key"), "node", "n", (-F.col("top.minus")).alias("leader"))
     for turn in range(LEADER_ROUNDS):
         labels, tested = _settle(entry, sizes, texts, labels, tested, width, percent)
         # Entries that hold several components still.
         placed = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        left = materialise(placed.join(open_keys, "key").select("key", "node", "n", "common", "component"), "open")
+        left = materialise(placed.join(open_keys, "key").select("key", "node", "n", "common", "component", "leader"), "open")
         of_part = left.groupBy("key", "component").agg(F.countDistinct("node").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
         crossing = of_part.agg(F.sum("p").alias("pairs"), F.count(F.lit(1)).alias("keys")).first()
         if not crossing["keys"]:
@@ -282,12 +298,16 @@ def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text",
         if crossing["pairs"] <= PAIRS_PER_DOCUMENT * max(nodes.count(), 1000) or turn == LEADER_ROUNDS - 1:
             # All pairs of different components that an entry has.
             other = left.select("key", F.col("node").alias("leader"), F.col("component").alias("leader_component"))
-            entry = left.join(other, "key").where("component <> leader_component AND node < leader").select("key", "node", "n", "leader")
+            entry = left.drop("leader").join(other, "key").where("component <> leader_component AND node < leader").select("key", "node", "n", "leader")
             labels, tested = _settle(entry, sizes, texts, labels, tested, width, percent)
             break
+        if turn == 0:
+            entry = left.select("key", "node", "n", "leader")
+            continue
         # The next leader of an entry is the most common of those that have not led it.
         now = entry.select("key", "leader").distinct()
         led = now if led is None else led.union(now)
+        left = left.drop("leader")
         rest = left.join(led.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
         following = rest.groupBy("key").agg(F.max(F.struct("common", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
         entry = materialise(left.join(following, "key").select("key", "node", "n", "leader"), "entry")
