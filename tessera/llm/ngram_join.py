@@ -229,6 +229,13 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _apart(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of open entries whose node isn't connected with the entry's leader, which is looked up once an entry."""
+    leaders = left.select("key", "leader").distinct().join(labels.select(F.col("node").alias("leader"), F.col("component").alias("leader_component")), "leader", "left")
+    known = leaders.select("key", F.coalesce("leader_component", "leader").alias("leader_component"))
+    return left.join(known, "key").where("component <> leader_component").select("key", "node", "n", "leader")
+
+
 def _settle(entry: DataFrame, sizes: DataFrame, texts: DataFrame, labels: DataFrame | None, tested: DataFrame | None, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Compare each entry's nodes with its leader, but for pairs that are connected or tested; the components then, and all pairs tested."""
     with_size = entry.where("node <> leader").join(sizes.select(F.col("node").alias("leader"), F.col("n").alias("leader_n")), "leader")
@@ -282,7 +289,7 @@ def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     texts = materialise(_only(single, nodes, ["ident"], "left_semi").select("ident", "text"), "texts")
 
     sizes = shared.groupBy("node").agg(F.max("n").alias("n"))
-    tested, labels, led = None, None, None
+    tested, labels, followed = None, None, []
     first_leader = shared.where("node <> leader").groupBy("node").agg(F.max("n").alias("n"), F.max(F.struct("leader_common", (-F.col("leader")).alias("minus"))).alias("top"))
     entry = first_leader.select(F.lit(0).cast("long").alias("key"), "node", "n", (-F.col("top.minus")).alias("leader"))
     for turn in range(LEADER_ROUNDS):
@@ -297,20 +304,23 @@ def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text",
             break
         if crossing["pairs"] <= PAIRS_PER_DOCUMENT * max(nodes.count(), 1000) or turn == LEADER_ROUNDS - 1:
             # All pairs of different components that an entry has.
-            other = left.select("key", F.col("node").alias("leader"), F.col("component").alias("leader_component"))
-            entry = left.drop("leader").join(other, "key").where("component <> leader_component AND node < leader").select("key", "node", "n", "leader")
+            other = left.select("key", F.col("node").alias("leader"), F.col("component").alias("leader_component"), F.col("n").alias("leader_n"))
+            like = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)"
+            entry = left.drop("leader").join(other, "key").where(f"component <> leader_component AND node < leader AND {like}").select("key", "node", "n", "leader")
             labels, tested = _settle(entry, sizes, texts, labels, tested, width, percent)
             break
         if turn == 0:
-            entry = left.select("key", "node", "n", "leader")
+            entry = _apart(left, labels)
             continue
         # The next leader of an entry is the most common of those that have not led it.
-        now = entry.select("key", "leader").distinct()
-        led = now if led is None else led.union(now)
+        led = left.select("key", "leader").distinct()
+        for before in followed:
+            led = led.union(before)
         left = left.drop("leader")
         rest = left.join(led.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
         following = rest.groupBy("key").agg(F.max(F.struct("common", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
-        entry = materialise(left.join(following, "key").select("key", "node", "n", "leader"), "entry")
+        followed.append(materialise(following, "leaders"))
+        entry = materialise(_apart(left.join(followed[-1], "key"), labels), "entry")
 
     named = base.join(classes, "digest", "left").join(labels, "node", "left")
     return named.select(
