@@ -25,10 +25,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, work_dir
+from tessera.llm.common import materialise, small_batches, work_dir
 from tessera.llm.content_sort import ranges_below
 from tessera.llm.words import Texts, Words, slices
 from tessera.session import partitions
@@ -177,30 +178,41 @@ def splits_by_word(path: str) -> bool:
     return all(tokenizer.encode(p, add_special_tokens=False).ids == want for p in probe)
 
 
-def id_counts(docs: DataFrame, tokenizer: str, text: str, end_id: int | None) -> np.ndarray:
-    """How often the corpus has each id: one number for each id of the vocabulary."""
+def encoded(docs: DataFrame, tokenizer: str, ident: str, text: str, end_id: int | None) -> tuple[DataFrame, np.ndarray]:
+    """A table of doc, h (digest of the text), n and ids (little-endian) for each row, and how often the corpus has each id.
+
+    The texts are encoded once; each task also writes its counts as one more row.
+    """
+    size = _encoder(tokenizer).library.get_vocab_size(with_added_tokens=True) + 1
+    kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+    slim = docs.select(F.col(ident).cast("long").alias("__ident"), F.xxhash64(F.col(text)).alias("__h"), F.col(text).alias("__text"))
+    names = ["doc", "h", "n", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(_encoder(tokenizer).library.get_vocab_size(with_added_tokens=True) + 1, np.int64)
+        counts = np.zeros(size, np.int64)
         for batch in batches:
             for part in slices(batch, "__text"):
-                ids, _ = encode_texts(tokenizer, part.column("__text"))
-                counts += np.bincount(ids, minlength=len(counts))
+                ids, n = encode_texts(tokenizer, part.column("__text"))
+                counts += np.bincount(ids, minlength=size)
                 if end_id is not None:
                     counts[end_id] += part.num_rows
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["id", "n"])
+                ends = np.concatenate(([0], np.cumsum(n) * kind.itemsize)).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([part.column("__ident"), part.column("__h"), pa.array(n), raw, pa.nulls(part.num_rows, pa.binary())], names=names)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([counts.tobytes()], pa.binary())], names=names)
 
-    summed = docs.select(F.col(text).alias("__text")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    found = summed.collect()  # at most the vocabulary
-    counts = np.zeros(max((r["id"] for r in found), default=0) + 1, np.int64)
-    for r in found:
-        counts[r["id"]] = r["n"]
-    return counts
+    table = materialise(slim.mapInArrow(run, "doc long, h long, n long, ids binary, counts binary"), "token-ids", "zstd")
 
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for raw in batch.column("counts").to_pylist():
+                total += np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-def _key(ident, text):
-    return F.struct(F.coalesce(ident.cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(text).alias("h"))
+    sums = table.where(F.col("counts").isNotNull()).select("counts").repartition(4).mapInArrow(added, "counts binary").collect()  # four vocabularies of numbers
+    return table.where(F.col("counts").isNull()).drop("counts"), sum((np.frombuffer(r["counts"], np.int64) for r in sums), np.zeros(size, np.int64))
 
 
 class _Writer:
@@ -277,35 +289,31 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, ident: str = "doc_id
     small_batches(spark)
     if not splits_by_word(tokenizer):
         raise ValueError("this vocabulary's ids depend on white space between words")
-    counts = id_counts(docs, tokenizer, text, end_id)
+    table, counts = encoded(docs, tokenizer, ident, text, end_id)
     id_of_rank = np.lexsort((np.arange(len(counts)), -counts)).astype(np.int64)
     rank_of_id = np.empty_like(id_of_rank)
     rank_of_id[id_of_rank] = np.arange(len(id_of_rank))
     ranks = spark.sparkContext.broadcast(rank_of_id.astype(np.uint32))  # the size of the vocabulary
+    kind = np.dtype("<u2" if len(counts) <= 1 << 16 else "<u4")
 
     files = partitions(spark)
-    rows = docs.count()
+    rows = table.count()
+    key = F.struct(F.coalesce("doc", F.lit(-(2**63))).alias("d"), F.col("h"))
     share = min(1.0, SAMPLES_PER_FILE * files / max(rows, 1))
-    sample = (docs if share == 1.0 else docs.sample(share, seed=5)).select(_key(F.col(ident), F.col(text)).alias("k"))
-    keys = sorted((r["k"]["d"], r["k"]["h"]) for r in sample.collect())
+    keys = sorted((r["k"]["d"], r["k"]["h"]) for r in (table if share == 1.0 else table.sample(share, seed=5)).select(key.alias("k")).collect())
     cuts = sorted({keys[i * len(keys) // files] for i in range(1, files) if keys})
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.array([ranks.value[end_id]] if end_id is not None else [], np.uint32)
         for batch in batches:
-            for part in slices(batch, "__text"):
-                ids, n = encode_texts(tokenizer, part.column("__text"))
-                values, ends = ranks.value[ids], np.cumsum(n)
-                last = np.array([ranks.value[end_id]] if end_id is not None else [], np.uint32)
-                coded = [pack(np.concatenate((values[e - k : e], last))) for e, k in zip(ends, n, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("__ident"), part.column("__h"), pa.array(n + len(last)), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                    names=["doc", "h", "n", "control", "data"],
-                )
+            coded = [pack(np.concatenate((ranks.value[np.frombuffer(raw, kind)], last))) for raw in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), batch.column("h"), pc.add(batch.column("n"), len(last)), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                names=["doc", "h", "n", "control", "data"],
+            )
 
-    slim = docs.select(F.col(ident).cast("long").alias("__ident"), F.xxhash64(F.col(text)).alias("__h"), F.col(text).alias("__text"))
-    coded = slim.mapInArrow(code, "doc long, h long, n long, control binary, data binary")
+    coded = table.mapInArrow(code, "doc long, h long, n long, control binary, data binary")
     splitters = F.from_json(F.lit("[" + ",".join(f'{{"d":{d},"h":{h}}}' for d, h in cuts) + "]"), "array<struct<d:bigint,h:bigint>>")
-    key = F.struct(F.coalesce("doc", F.lit(-(2**63))).alias("d"), F.col("h"))
     sorted_rows = (
         coded.withColumn("file", ranges_below(splitters, key, len(cuts)))
         .repartitionById(len(cuts) + 1, F.col("file"))
