@@ -14,10 +14,22 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Private key headers, and runs of 16 or more key characters with a digit.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
-#: Code points of context on either side; a context ends at the next candidate.
+#: Words that name a secret.
+NEAR_SECRET = r"(?i)(secret|token|passw|pwd|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private)"
+#: What stands before an assigned value: a name with a NEAR_SECRET word, an assignment, a quote or scheme.
+ASSIGNED = rf"{NEAR_SECRET.replace('(?i)(', '(?i:')}[\w.-]{{0,24}}[\"'`]?\]?[ \t]{{0,4}}[=:]{{1,2}}>?[ \t]{{0,4}}[\"'`]?(?i:(?:bearer|basic)[ \t])?"
+#: Private key headers; values of any length that are assigned to such a name, quoted ones to their quote
+#: and others to a delimiter; runs of 16 or more key characters with a digit. '=' only pads the end of a run.
+CANDIDATE = (
+    r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
+    rf"|(?<=[=:>\"'`\s])(?<=[=:]>?[ \t]{{0,4}}[\"'`]?(?i:(?:bearer|basic)[ \t])?)(?<={ASSIGNED})(?!-----BEGIN |//|(?i:bearer|basic)[ \t])(?:"
+    r"(?<=\")[^\s\"]++(?=\")|(?<=')[^\s']++(?=')|(?<=`)[^\s`]++(?=`)"
+    r"|(?<![\"'`])(?![=:>])[^\s\"'`&;,#<>(){}\[\]|]*[^\s\"'`&;,#<>(){}\[\]|.:])"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+(?:={1,2}+(?![A-Za-z0-9_+/=-]|[\"'`][^\s,;)}\]]))?+"
+)
+#: Code points of context on either side; a context ends at the next candidate, but holds one that the value is assigned to.
 CONTEXT = 48
+JOINED = r"^[\"'`]?\]?[ \t]*[=:]{1,2}>?[ \t]*[\"'`]?$"
 #: Words whose share of a candidate is its dictionary coverage.
 DICTIONARY = (
     "account", "address", "admin", "author", "backup", "branch", "build", "cache", "case", "change", "client", "code", "column", "config",
@@ -27,7 +39,6 @@ DICTIONARY = (
     "response", "result", "sample", "section", "server", "service", "session", "source", "stage", "start", "state", "string", "table", "task",
     "test", "text", "time", "title", "token", "type", "user", "value", "version", "with", "word", "your",
 )
-NEAR_SECRET = r"(?i)(secret|token|passw|pwd|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private)"
 NEAR_OTHER = r"(?i)(sha-?\d|hash|commit|checksum|digest|md5|uuid|guid|card|isbn|version|revision|etag|build|integrity|order|phone)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|your|placeholder|changeme|xxxx|0000|1234567|abcdef|test)"
 BENIGN_PATH = r"(?i)(test|spec|example|sample|fixture|doc|mock|demo)"
@@ -68,7 +79,7 @@ def find_candidates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
         lambda found, i: F.struct(
             found.alias("candidate"),
             F.get("__starts", i).alias("start_char"),
-            F.right(F.get("__gaps", i), F.lit(CONTEXT)).alias("before"),
+            F.right(F.when((i > 0) & F.get("__gaps", i).rlike(JOINED), F.concat(F.get("__found", i - 1), F.get("__gaps", i))).otherwise(F.get("__gaps", i)), F.lit(CONTEXT)).alias("before"),
             F.left(F.get("__gaps", i + 1), F.lit(CONTEXT)).alias("after"),
         ),
     )
@@ -124,6 +135,11 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: str
     hex_length, key_length = F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), F.col("id").cast("int") % 3 + 1), F.lit(20) + F.col("id").cast("int") % 25
     any_hex = F.when(F.col("id") % 5 == 0, F.upper(F.substring(hexes, F.lit(1), hex_length))).otherwise(F.substring(hexes, F.lit(1), hex_length))
     secret_before = F.concat(pick("ws", ("", "the ", "and. ", "export ", "\n", "est la ")), pick("n", ("token", "secret", "api_key", "apiKey", "password", "auth_token", "ACCESS_KEY", "TOKEN", "client_secret", "Authorization")), pick("eq", (" = \"", "=", ": ", ": '", "=\"", " = '", ": Bearer ")))
+    letters = F.translate(base62, "0123456789", "qRtYpLkJhG")
+    short_length = F.lit(7) + F.col("id").cast("int") % 7
+    password = F.concat(F.substring(base62, F.lit(1), short_length), pick("pm", ("!", "#7", "@9", "$3x", "", "%2B")))
+    plain_value = F.concat(pick("pv", ("", "", "get_", "my-", "$", "${")), pick("pw", (*DICTIONARY, "none", "null", "true", "false", "str", "the", "required", "invalid", "Smith", "never", "None", "and")))
+    plain_value = F.when(plain_value.startswith("${"), F.concat(plain_value, F.lit("}"))).otherwise(plain_value)
     other_before = F.concat(pick("wo", ("", "see ", "the ", "\n")), pick("o", ("commit ", "sha256: ", "sha1=", "checksum = \"", "md5 ", "etag: \"", "uuid=", "revision ", "integrity: ", "build ", "order ", "card ")))
     plain_before = pick("p", ("the quick ", "of them, ", "est la ", "\n", "und die ", "", "call ", "de los ", "| "))
     uuid = F.concat_ws("-", *(F.substring(hexes, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
@@ -141,6 +157,9 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: str
         (F.concat(F.lit("20"), F.substring(digits, 1, 2), F.lit("-01-02T03-04-"), F.substring(digits, 3, 2)), plain_before, False),
         (F.concat(F.lit("/srv/"), words), plain_before, False),
         (F.substring(digits, 1, 16), secret_before, False),
+        (password, secret_before, True),
+        (F.substring(letters, F.lit(1), key_length), secret_before, True),
+        (plain_value, secret_before, False),
     ]
     kind = (F.col("id") % len(kinds)).cast("int")
     choose = lambda i: F.element_at(F.array(*(F.lit(k[i]) if isinstance(k[i], bool) else k[i] for k in kinds)), kind + 1)
