@@ -13,8 +13,7 @@ _S = "s AS (SELECT event_type AS \"group\", user_id % 7 AS benchmark, user_id //
 
 
 def _scores(spark, d):
-    e = table(spark, d, "events").where("user_id < 140")
-    s = e.groupBy(F.col("event_type").alias("group"), (F.col("user_id") % 7).alias("benchmark"), (F.floor(F.col("user_id") / 7) % 10).alias("block")).agg(F.avg("value").alias("score"))
+    s = table(spark, d, "events").groupBy(F.col("event_type").alias("group"), (F.col("user_id") % 7).alias("benchmark"), (F.floor(F.col("user_id") / 7) % 10).alias("block")).agg(F.avg("value").alias("score"))
     return s.withColumn("group_ord", F.ascii("group") * 256 + F.ascii(F.substring("group", 2, 1)))
 
 
