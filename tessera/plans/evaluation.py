@@ -17,6 +17,14 @@ def _scores(spark, d):
     return s.withColumn("group_ord", F.ascii("group") * 256 + F.ascii(F.substring("group", 2, 1)))
 
 
+def _complete(s, keys):
+    """The blocks that have all groups of the table, which are numbered by name in group_ord."""
+    groups = s.select("group").distinct()
+    numbered = with_ordinal(groups, ["group"], [], "group_ord").withColumn("group_ord", F.col("group_ord") - 1)
+    full = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).join(groups.agg(F.count(F.lit(1)).alias("c")), "c").drop("c")
+    return s.drop("group_ord").join(full, keys).join(F.broadcast(numbered), "group")
+
+
 def _rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -66,16 +74,13 @@ def perm_exact(spark, d):
 @query("perm_sampled")
 def perm_sampled(spark, d):
     """All pairs by 200 random flips of a seeded generator (more than 16 blocks are sampled)."""
-    s = table(spark, d, "events").where("user_id < 60").groupBy(F.col("event_type").alias("group"), F.lit(1).alias("benchmark"), F.col("user_id").alias("block")).agg(F.avg("value").alias("score"))
-    full = s.join(s.groupBy("block").agg(F.count(F.lit(1)).alias("c")).where("c = 5"), "block").withColumn("group_ord", F.ascii("group"))
-    return _rounded(st.pairwise_sampled(full, ["benchmark"], permutations=200).select("benchmark", "left", "right", "mean_delta", "p_value"), "mean_delta", "p_value")
+    s = table(spark, d, "events").groupBy(F.col("event_type").alias("group"), F.lit(1).alias("benchmark"), F.col("user_id").alias("block")).agg(F.avg("value").alias("score"))
+    return _rounded(st.pairwise_sampled(_complete(s, ["block"]), ["benchmark"], permutations=200).select("benchmark", "left", "right", "mean_delta", "p_value"), "mean_delta", "p_value")
 
 
 @query("friedman_sampled")
 def friedman_sampled(spark, d):
-    s = _scores(spark, d)
-    full = s.join(s.groupBy("benchmark", "block").agg(F.count(F.lit(1)).alias("c")).where("c = 5"), ["benchmark", "block"])
-    return _rounded(st.friedman_sampled(full, ["benchmark"], permutations=100), "statistic", "p_value")
+    return _rounded(st.friedman_sampled(_complete(_scores(spark, d), ["benchmark", "block"]), ["benchmark"], permutations=100), "statistic", "p_value")
 
 
 _C = "c AS (SELECT event_type AS benchmark, user_id % 4 + 1 AS L, user_id // 4 AS case_idx, max((event_id % 3 = 0)::INT) AS correct FROM events GROUP BY 1, 2, 3)"

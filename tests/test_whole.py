@@ -33,3 +33,14 @@ def test_sampled_friedman_takes_all_events(spark):
     _, want = by_sql(catalog.oracle_sql()["friedman"].replace("WHERE user_id < 140 ", ""), ["events"])
     got = catalog.queries()["friedman_sampled"](spark, SF).collect()
     assert {r.benchmark: r.statistic for r in got} == pytest.approx({b: s for b, _, _, s in want}, abs=2e-6)
+
+
+def test_sampled_statistics_take_all_complete_blocks(spark, tmp_path):
+    kinds = ["click", "cart", "error", "purchase", "signup", "view"]  # six, two with the same first letter
+    rows = [(i, u, k, float((u * 7 + j * 3) % 11)) for i, (u, j, k) in enumerate((u, j, k) for u in range(100) for j, k in enumerate(kinds) if u != 61 or j)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    full = [u for u in range(100) if u != 61]
+    mean = {k: sum((u * 7 + j * 3) % 11 for u in full) / len(full) for j, k in enumerate(kinds)}
+    got = {(r.left, r.right): r.mean_delta for r in catalog.queries()["perm_sampled"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({(a, b): mean[a] - mean[b] for a in kinds for b in kinds if a < b}, abs=2e-6)
+    assert len(catalog.queries()["friedman_sampled"](spark, str(tmp_path)).collect()) == 7
