@@ -44,3 +44,10 @@ def test_sampled_statistics_take_all_complete_blocks(spark, tmp_path):
     got = {(r.left, r.right): r.mean_delta for r in catalog.queries()["perm_sampled"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx({(a, b): mean[a] - mean[b] for a in kinds for b in kinds if a < b}, abs=2e-6)
     assert len(catalog.queries()["friedman_sampled"](spark, str(tmp_path)).collect()) == 7
+
+
+def test_source_wrap_takes_all_documents(spark):
+    sql = catalog.oracle_sql()["source_wrap"].replace(" WHERE doc_id % 50 = 7", "")
+    columns, want = by_sql(sql, ["documents"])
+    got = catalog.queries()["source_wrap"](spark, SF).collect()
+    assert len(got) == 1000 and sorted(tuple(r[c] for c in columns) for r in got) == sorted(want)
