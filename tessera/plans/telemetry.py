@@ -174,7 +174,7 @@ def chain_hashes(spark, d):
 def stage_fill(spark, d):
     """Latest status of each stage, filled where it has no event; the dimension is small by itself."""
     nation = table(spark, d, "nation").select(F.col("n_name").alias("stage"), F.col("n_nationkey").alias("nk"))
-    e = table(spark, d, "events").where("user_id % 25 < 20").groupBy((F.col("user_id") % 25).alias("nk")).agg(F.max_by("event_type", "event_id").alias("status"))
+    e = table(spark, d, "events").groupBy((F.col("user_id") % 25).alias("nk")).agg(F.max_by("event_type", "event_id").alias("status"))
     return nation.join(e, "nk", "left").select("stage", F.coalesce("status", F.lit("marker")).alias("status"))
 
 

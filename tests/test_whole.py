@@ -51,3 +51,12 @@ def test_source_wrap_takes_all_documents(spark):
     columns, want = by_sql(sql, ["documents"])
     got = catalog.queries()["source_wrap"](spark, SF).collect()
     assert len(got) == 1000 and sorted(tuple(r[c] for c in columns) for r in got) == sorted(want)
+
+
+def test_stage_fill_takes_all_events_and_fills_the_rest(spark, tmp_path):
+    columns, want = by_sql(catalog.oracle_sql()["stage_fill"].replace(" WHERE user_id % 25 < 20", ""), ["events", "nation"])
+    got = catalog.queries()["stage_fill"](spark, SF).collect()
+    assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(want) and "marker" not in {r.status for r in got}
+    spark.createDataFrame([(1, 0, "view"), (2, 24, "click"), (3, 49, "error")], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0, "a"), (1, "b"), (24, "c")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    assert {(r.stage, r.status) for r in catalog.queries()["stage_fill"](spark, str(tmp_path)).collect()} == {("a", "view"), ("b", "marker"), ("c", "error")}
