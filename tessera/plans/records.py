@@ -173,8 +173,7 @@ def verify_mcq(spark, d):
 
 @query("verify_code_spec", """SELECT doc_id, (length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 40 AND NOT regexp_matches(text, '(?i)\\b(todo|pass|return\\s+none)'))::DOUBLE AS score FROM documents WHERE NOT regexp_matches(text, '```')""")
 def verify_code_spec(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").contains("```"))
-    return docs.select("doc_id", V.code_static_spec(F.col("text"), F.lit("it should return the sum of both numbers")).alias("score"))
+    return table(spark, d, "documents").select("doc_id", V.code_static_spec(F.col("text"), F.lit("it should return the sum of both numbers")).alias("score"))
 
 
 @query("verify_rewards", f"""WITH {_V}, c AS (SELECT i, r, (ans IS NOT NULL)::DOUBLE AS format, CASE WHEN ans IS NULL OR regexp_matches(ans, '(?i)\\bi cannot help') THEN 0.0 ELSE coalesce(abs(num::DOUBLE - g::DOUBLE) < 1e-6, false)::DOUBLE END AS correct FROM n)

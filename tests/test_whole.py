@@ -60,3 +60,10 @@ def test_stage_fill_takes_all_events_and_fills_the_rest(spark, tmp_path):
     spark.createDataFrame([(1, 0, "view"), (2, 24, "click"), (3, 49, "error")], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     spark.createDataFrame([(0, "a"), (1, "b"), (24, "c")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
     assert {(r.stage, r.status) for r in catalog.queries()["stage_fill"](spark, str(tmp_path)).collect()} == {("a", "view"), ("b", "marker"), ("c", "error")}
+
+
+def test_code_in_fences_is_scored(spark, tmp_path):
+    code = "def total(a, b):\n    result = a + b\n    return result"
+    texts = [f"Here it is:\n```python\n{code}\n```\nwith nothing left as todo", "It is long enough by itself but here is all of it:\n```\nx\n```", code, f"```python\n{code}  # todo\n```"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.score for r in catalog.queries()["verify_code_spec"](spark, str(tmp_path)).collect()} == {0: 1.0, 1: 0.0, 2: 1.0, 3: 0.0}
