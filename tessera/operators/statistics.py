@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,7 +76,6 @@ def pairwise_exact(scores: DataFrame, by: list[str], **names) -> DataFrame:
 
 def sampled_sign_flips(diffs: list[float], permutations: int, seed: int) -> float:
     """The p-value by random flips of CPython's generator, exact for few pairs."""
-    import random
     from statistics import mean
 
     observed = abs(mean(diffs))
@@ -85,11 +85,34 @@ def sampled_sign_flips(diffs: list[float], permutations: int, seed: int) -> floa
         samples = ([d if mask >> i & 1 else -d for i, d in enumerate(diffs)] for mask in range(1 << len(diffs)))
         total = 1 << len(diffs)
     else:
-        generator, total = random.Random(seed), max(1, permutations)
-        samples = ([d if generator.random() < 0.5 else -d for d in diffs] for _ in range(total))
+        total = max(1, permutations)
+        return min(1.0, (1 + _extreme_flips(diffs, observed - 1e-12, total, random.Random(seed))) / (1 + total))
     return min(1.0, (1 + sum(abs(mean(s)) >= observed - 1e-12 for s in samples)) / (1 + total))
 
 
+def _extreme_flips(diffs: list[float], limit: float, total: int, generator: random.Random) -> int:
+    """How many of total random flips have an absolute mean of limit or more.
+
+    numpy draws what generator.random() would, many flips at once; means too close to the limit
+    for its sums are taken anew, exactly rounded.
+    """
+    from statistics import mean
+
+    import numpy as np
+
+    *key, at = generator.getstate()[1]
+    twister = np.random.RandomState()
+    twister.set_state(("MT19937", np.array(key, dtype=np.uint32), at))
+    d, found = np.array(diffs, dtype=float), 0
+    margin, step = 1e-12 * float(np.abs(d).max()), max(1, (1 << 20) // len(d))
+    for start in range(0, total, step):
+        signed = np.where(twister.random_sample((min(step, total - start), len(d))) < 0.5, d, -d)
+        means = np.abs(signed.mean(axis=1))
+        close = np.abs(means - limit) <= margin
+        found += int((means[~close] >= limit).sum()) + sum(abs(mean(row)) >= limit for row in signed[close].tolist())
+    return found
+
+
 def pairwise_sampled(scores: DataFrame, by: list[str], permutations: int = 10_000, seed: int = 0, **names) -> DataFrame:
     """Each pair of groups with its own seed, in Python for the generator's sake."""
     import pandas as pd
@@ -107,26 +130,26 @@ def pairwise_sampled(scores: DataFrame, by: list[str], permutations: int = 10_00
 
 def friedman_sampled(scores: DataFrame, by: list[str], permutations: int = 10_000, seed: int = 0, group: str = "group", block: str = "block", order: str = "group_ord") -> DataFrame:
     """Friedman statistic with a within-block shuffle p-value (CPython's generator), a benchmark at a time."""
+    import numpy as np
     import pandas as pd
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        import random
-
         wide = frame.sort_values(order, kind="stable").pivot(index=block, columns=order, values="score").sort_index()
-        blocks, k, n = wide.to_numpy().tolist(), wide.shape[1], len(wide)
+        k, n = wide.shape[1], len(wide)
+
+        # A shuffle takes the ranks of a block along; ties and missing scores as pandas ranks them.
+        ranked = np.nan_to_num(wide.rank(axis=1).to_numpy())
 
-        def statistic(rows: list[list[float]]) -> float:
-            ranks = pd.DataFrame(rows).rank(axis=1).sum()
-            return max(0.0, 12.0 / (n * k * (k + 1)) * float((ranks * ranks).sum()) - 3.0 * n * (k + 1))
+        def statistic(ranks: np.ndarray) -> float:
+            sums = ranks.sum(axis=0)
+            return max(0.0, 12.0 / (n * k * (k + 1)) * float((sums * sums).sum()) - 3.0 * n * (k + 1))
 
-        observed, generator, extreme = statistic(blocks), random.Random(seed), 1
+        observed, generator, extreme = statistic(ranked), random.Random(seed), 1
         for _ in range(max(1, permutations)):
-            shuffled = []
-            for row in blocks:
-                own = list(row)
+            shuffled = ranked.tolist()
+            for own in shuffled:
                 generator.shuffle(own)
-                shuffled.append(own)
-            extreme += statistic(shuffled) >= observed - 1e-12
+            extreme += statistic(np.array(shuffled)) >= observed - 1e-12
         return frame[by].head(1).assign(statistic=observed, p_value=min(1.0, extreme / (1 + max(1, permutations))))
 
     kinds = ", ".join(f"`{c}` {scores.schema[c].dataType.simpleString()}" for c in by)

@@ -1,8 +1,11 @@
 """Queries that must take all rows of their tables, against their SQL without its row filter or by hand."""
 
+import random
+
 import duckdb
 import pytest
 
+from tessera.operators import statistics
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -67,3 +70,16 @@ def test_code_in_fences_is_scored(spark, tmp_path):
     texts = [f"Here it is:\n```python\n{code}\n```\nwith nothing left as todo", "It is long enough by itself but here is all of it:\n```\nx\n```", code, f"```python\n{code}  # todo\n```"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.score for r in catalog.queries()["verify_code_spec"](spark, str(tmp_path)).collect()} == {0: 1.0, 1: 0.0, 2: 1.0, 3: 0.0}
+
+
+def test_sampled_statistics_take_their_10000_permutations(spark):
+    from statistics import mean
+
+    r = random.Random(4)
+    for diffs in ([r.gauss(0.2, 1) for _ in range(40)], [float(r.randrange(-3, 5)) for _ in range(25)]):
+        generator, observed = random.Random(7), abs(mean(diffs))
+        extreme = sum(abs(mean([d if generator.random() < 0.5 else -d for d in diffs])) >= observed - 1e-12 for _ in range(3000))
+        assert statistics.sampled_sign_flips(diffs, 3000, 7) == (1 + extreme) / 3001
+    for name in ("perm_sampled", "friedman_sampled"):
+        p = [x.p_value * 10_001 for x in catalog.queries()[name](spark, SF).collect()]
+        assert p and all(abs(x - round(x)) < 0.006 for x in p)
