@@ -108,7 +108,7 @@ def _featured(findings: DataFrame) -> DataFrame:
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "marks": share("[^A-Za-z0-9]"),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 256), ""))) / F.least(size, F.lit(64)),
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(size, F.lit(64)),
         "hex_only": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "digits_only": flag(c.rlike("^[0-9=/+_-]+$")),
         "coverage": 1 - F.char_length(F.regexp_replace(F.lower(c), "|".join(DICTIONARY), "")) / size,

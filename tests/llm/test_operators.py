@@ -393,3 +393,8 @@ def test_forest_scores_assigned_values(spark, forest):
     ]
     out = {r.doc_id: r.secret for r in secret_forest.scan_secrets(docs_of(spark, [(i, t, "app/main.py") for i, (t, _) in enumerate(cases)]), forest).collect()}
     assert out == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_distinct_characters_of_the_whole_candidate(spark):
+    row = spark.createDataFrame([("a" * 256 + "bcdefghij0123456", "", "", "s")], "candidate string, before string, after string, path string")
+    assert secret_forest._featured(row).first()["__distinct"] == pytest.approx(17 / 64)
