@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
 
 #: Strings that a tokenizer may take for control, in this template or in others, by letter of their escape.
 CONTROL = {
@@ -66,7 +65,6 @@ def fold_messages(events: DataFrame) -> DataFrame:
     are deltas. The last role that isn't null holds; null texts are empty. Events of equal seq
     are folded in the order of kind (deltas last) and text. An empty log has no messages.
     """
-    small_batches(events.sparkSession)
     rank = F.when(F.col("kind") == "delete", 0).when(F.col("kind") == "regenerate", 1).when(F.col("kind").isin("message", "edit"), 2).otherwise(3)
     ordered = (
         events.select("conv_id", "seq", "msg", "role", rank.alias("rank"), "text")

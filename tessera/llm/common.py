@@ -14,7 +14,7 @@ from tessera.session import shared_dir
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def ascii_lower(column: Column) -> Column:
@@ -22,10 +22,28 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER)
 
 
+def named(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """For each of the names one like it that no column of docs has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        own = f"__{name}"
+        while own.lower() in taken:
+            own += "_"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
@@ -33,25 +51,33 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _written.pop(path, None)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in list(_written.items()):
         try:
             drop_dir(spark, path)
         except Exception:  # noqa: BLE001 - the JVM may be gone
             return
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of whole texts stay small: rows at most, and about 16 MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write a table in the shared folder and read it again."""
     path = work_dir(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._tessera_dir = path
+    return table
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Drop tables that materialise() wrote and that nothing reads any more.
+
+    The driver's collector is called too: Spark removes a finished shuffle's files only when the
+    plan that made them has been collected.
+    """
+    for table in tables:
+        drop_dir(spark, table._tessera_dir)
+    spark.sparkContext._jvm.System.gc()

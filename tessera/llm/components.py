@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,11 +20,11 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        lower = materialise(lower, "labels")
+        lower = materialise(labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was")), "lower")
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
         nearer = materialise(lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was"), "labels")
-        changed = nearer.where(F.col("component") != F.col("was")).limit(1).count()
-        labels = nearer.select("node", "component")
-        if not changed:
+        release(links.sparkSession, lower, labels)
+        labels = nearer
+        if not nearer.where(F.col("component") != F.col("was")).limit(1).count():
+            release(links.sparkSession, both)
             return labels

@@ -1,53 +1,67 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-The tokens of a document are its distinct word n-grams. All tokens have one global order, rising
-counts in a hashed table of the whole corpus. Tokens of full cells are frequent. A document that
-may miss t of its tokens is indexed under its first t + 1 tokens, one by one, if these are rare.
-If not, its prefix goes on into the frequent tokens, which are dealt into groups and indexed as
-combinations of two of a group: m tokens of a group count as m - 1, so the prefix is extended
-until rare tokens and groups count t + 1 together. Two documents that link then share a rare
-token or a combination. The groups grow with the size of a document, so combinations stay in
-proportion to it; as linked documents are of like size, each is indexed under the groups of its
+The tokens of a document are its distinct word n-grams, as 64-bit hashes of the n-gram. They
+have one global order: rare tokens first, then frequent ones by rising document frequency. The
+frequencies are counted over all documents by a shuffle of packed token hashes; only tokens above
+FREQUENT_LEAST documents are kept, and at most MOST_FREQUENT of them, the most frequent. Any order
+gives right results, so this bound costs comparisons at most.
+
+A document that may miss t of its tokens is indexed under its first t + 1 tokens, one by one, if
+these are rare. If not, its prefix goes on into the frequent tokens, which are dealt into groups
+and indexed as combinations of two of a group: m tokens of a group count as m - 1, so the prefix
+is extended until rare tokens and groups count t + 1 together. Two documents that link then share
+a rare token or a combination. The groups grow with the size of a document, so combinations stay
+in proportion to it; as linked documents are of like size, each is indexed under the groups of its
 own size level and the next.
 
-Documents with equal sets are one class and stand in the index once. Entries
-are split by size level. The leader of an entry is its document with the most common tokens,
-the likely origin of near copies. Each document is compared, by its whole set, with the most
-common of its entries' leaders; where this leaves an entry in several components, all of it is
-compared with its leader, then with further ones, and then all pairs that are in different
-components still: no candidate is left out, and a large group of near copies takes about as
-many comparisons as it has members.
+How much a document may miss depends on its partner: t is largest for the smallest partner, about
+half for one of its own size, and zero for the largest. Keys that several documents have are
+therefore split by pairs of size levels, and a document stays in an entry only where its key lies
+in the prefix that this pair of levels needs. This parts near copies from near misses: an edited
+document whose own tokens fill its prefix meets none of the others.
+
+Documents with equal sets are one class and stand in the index once. Of each entry, all are
+compared with one leader, the document with the most common tokens; where this leaves an entry in
+several components, its documents of different components are compared pair by pair, in blocks if
+there are many. No candidate is left out, and a large group of near copies takes about as many
+comparisons as it has members.
 """
 
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, materialise, small_batches
+from tessera.llm.common import LOWER, UPPER, free_names, materialise, named, release
 from tessera.llm.components import components
 from tessera.llm.words import Texts, Words, mixed, slices
+from tessera.session import partitions
 
 #: Words in an n-gram, and the least Jaccard similarity of a link in hundredths.
 WORDS, PERCENT = 3, 90
-#: Cells of the table of token counts.
-CELLS = 1 << 22
-#: A cell is frequent above so many times the mean, and above this count.
-FREQUENT_TIMES, FREQUENT_LEAST = 4, 24
-#: Identifiers are broadcast up to this count (16 bytes each), and joined by a shuffle beyond it.
+#: Tokens of more documents than this are frequent; so many of them are known by frequency at most.
+FREQUENT_LEAST, MOST_FREQUENT = 24, 1 << 22
+#: Tokens are counted by their leading bits, and sent on when a task has gathered so many.
+COUNT_BITS, GATHERED = 42, 4 << 20
+#: Packs of counted tokens for each shuffle partition; one is counted at a time.
+PACKS = 16
+#: Rows of the smaller side that are broadcast after a count; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Members of a leader that one task compares; more are dealt over several.
 MEMBERS_PER_TASK = 2_000
-#: Rounds of leaders go on while pairs in different components are more than so many a document.
-PAIRS_PER_DOCUMENT, LEADER_ROUNDS = 20, 4
+#: Entries of up to so many documents are compared as pairs, larger ones in blocks of so many.
+PAIRED, BLOCK = 32, 128
+#: Size levels are single sizes up to the first number, and grow by the second from there.
+SINGLE_SIZES, LEVEL_GROWTH = 34, 1.03
+#: Distinct tokens whose incidence matrix is in memory at once.
+MATRIX_TOKENS = 1 << 15
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[[ord(c) for c in UPPER]] = [ord(c) for c in LOWER]
@@ -76,150 +90,225 @@ def token_sets(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.nda
     return doc[new], token[new]
 
 
-def _cell(token: np.ndarray) -> np.ndarray:
-    return (token >> np.uint64(42)).astype(np.int64)
+def _counted(token: np.ndarray) -> np.ndarray:
+    return token >> np.uint64(64 - COUNT_BITS)
 
 
-def _first_pass(docs: DataFrame, width: int) -> DataFrame:
-    """ident, h, n, digest of each row, and a row with the cells' counts for each task."""
+def packed(cells: np.ndarray, packs: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Pack, first cell, bytes a difference and differences of the sorted cells in each of so many even ranges."""
+    pack = ((cells >> np.uint64(COUNT_BITS - 32)) * np.uint64(packs)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate(([True], pack[1:] != pack[:-1]))) if len(pack) else []
+    for a, b in zip(starts, [*starts[1:], len(pack)], strict=True):
+        steps = np.diff(cells[a:b])
+        width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+        yield int(pack[a]), int(cells[a]), width, steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.uint32)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                doc, token = token_sets(part.column("text"), width)
-                cell, times = np.unique(_cell(token), return_counts=True)
-                counts[cell] += times.astype(np.uint32)
-                n = np.bincount(doc, minlength=part.num_rows)
-                ends = np.cumsum(n)
-                digests = [xxhash.xxh3_128_digest(token[e - k : e].tobytes()) for e, k in zip(ends, n, strict=True)]
-                rows = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("ident"), part.column("h"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(rows, pa.binary())], names=["ident", "h", "n", "digest", "cells"])
-        if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)])], names=["ident", "h", "n", "digest", "cells"])
 
-    return docs.mapInArrow(run, "ident long, h long, n long, digest binary, cells binary")
+def unpacked(first: int, width: int, steps: bytes) -> np.ndarray:
+    raw = np.frombuffer(steps, np.uint8).reshape(-1, width)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :width] = raw
+    return np.uint64(first) + np.concatenate((np.zeros(1, np.uint64), np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)))
+
 
+def _token_counts(docs: DataFrame, width: int) -> DataFrame:
+    """cell, count of the tokens of more than FREQUENT_LEAST rows of docs; equal rows count each."""
+    shuffled = partitions(docs.sparkSession)
+    least, packs = FREQUENT_LEAST, PACKS * shuffled
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = list(packed(np.sort(np.concatenate(held)), packs))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["pack", "first", "width", "steps"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, token = token_sets(part.column("text"), width)
+                if len(token):
+                    held.append(_counted(token))
+                    n += len(token)
+                if n >= GATHERED:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def frequent() -> pa.RecordBatch:
+            cells = np.sort(np.concatenate(held))
+            starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+            counts = np.diff(np.append(starts, len(cells)))
+            some = counts > least
+            return pa.RecordBatch.from_arrays([pa.array(cells[starts[some]].astype(np.int64)), pa.array(counts[some])], names=["cell", "count"])
 
-def _cell_counts(first: DataFrame) -> np.ndarray:
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.uint64)
         for batch in batches:
-            for raw in batch.column("cells").to_pylist():
-                total += np.frombuffer(zlib.decompress(raw), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)])], names=["cells"])
+            for own, first, bytes_a_step, steps in zip(*(batch.column(c).to_pylist() for c in ("pack", "first", "width", "steps")), strict=True):
+                if own != now and held:
+                    yield frequent()
+                    held = []
+                now = own
+                held.append(unpacked(first, bytes_a_step, steps))
+        if held:
+            yield frequent()
+
+    packs_of = docs.select("text").mapInArrow(pack, "pack int, first long, width int, steps binary")
+    dealt = packs_of.repartitionById(shuffled, F.col("pack") % shuffled).sortWithinPartitions("pack")
+    return dealt.mapInArrow(count, "cell long, count long")
+
+
+def frequent_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells, ascending, and counts of the frequent tokens: MOST_FREQUENT of them at most, with the highest counts."""
+    counted = materialise(_token_counts(docs, width), "frequent")
+    by_size = counted.groupBy(F.floor(F.log2("count") * 8).alias("size")).count().orderBy(F.desc("size")).collect()  # at most a few hundred sizes
+    least, total = 0, 0
+    for r in by_size:
+        total += r["count"]
+        if total > MOST_FREQUENT:
+            least = r["size"] + 1
+            break
+    table = counted.where(F.floor(F.log2("count") * 8) >= least).toArrow()  # MOST_FREQUENT rows at most
+    release(docs.sparkSession, counted)
+    cells, counts = table["cell"].to_numpy().astype(np.uint64), table["count"].to_numpy().astype(np.float32)
+    order = np.argsort(cells)
+    return cells[order], counts[order]
 
-    sums = first.where(F.col("cells").isNotNull()).select("cells").repartition(4).mapInArrow(added, "cells binary").collect()  # four tables of CELLS
-    return sum((np.frombuffer(zlib.decompress(r["cells"]), np.uint64) for r in sums), np.zeros(CELLS, np.uint64))
+
+def looked_up(token: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of each token, 0 for rare ones."""
+    if not len(cells):
+        return np.zeros(len(token), np.float32)
+    cell = _counted(token)
+    at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+    return np.where(cells[at] == cell, counts[at], np.float32(0))
 
 
 def level_starts(largest: int, percent: int = PERCENT) -> list[int]:
-    """Sizes at which levels start: documents of like size are in one level or in neighbouring ones."""
+    """Sizes at which the levels of the groups start: documents of like size are in one level or in neighbouring ones."""
     starts = [1]
     while starts[-1] <= largest:
         starts.append(100 * starts[-1] // percent + 1)
     return starts
 
 
-def combination_keys(token: np.ndarray, rare: int, misses: int, level: int, groups: int) -> list[np.ndarray]:
-    """Keys of a document's frequent prefix (token is in the global order) in a level with so many groups."""
-    need, members = misses + 1 - rare, defaultdict(list)
+def combination_keys(token: np.ndarray, rare: int, misses: int, level: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of a document's frequent prefix (token is in the global order) in a level with so many groups.
+
+    A key's place is what rare tokens and groups count before its later token.
+    """
+    need, members, pairs, places = misses + 1 - rare, defaultdict(list), [], []
     for t, group in zip(token[rare:].tolist(), (token[rare:] % np.uint64(groups)).tolist(), strict=True):
         own = members[group]
+        pairs += [(min(t, before), max(t, before)) for before in own]
+        places += [misses + 1 - need] * len(own)
+        need -= bool(own)
         own.append(t)
-        need -= len(own) > 1
         if not need:
             break
-    pairs = [(min(a, b), max(a, b)) for own in members.values() for a, b in itertools.combinations(own, 2)]
     if not pairs:
-        return []
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     a, b = np.array(pairs, np.uint64).T
-    return [mixed(np.full(len(a), level + 1), a, b)]
+    return mixed(np.full(len(a), level + 1), a, b), np.array(places, np.int64)
 
 
-def index_keys(doc: np.ndarray, token: np.ndarray, count: np.ndarray, frequent: float, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Document and key of each index row. doc and token as from token_sets(), count of each token's cell."""
+def index_keys(doc: np.ndarray, token: np.ndarray, count: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, key and place of each index row. doc and token as from token_sets(), count is 0 for rare tokens."""
     if not len(doc):
-        return doc, token
+        return doc, token, doc
     order = np.lexsort((token, count, doc))
     doc, token, count = doc[order], token[order], count[order]
     starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     sizes = np.diff(np.append(starts, len(doc)))
     misses = sizes - -(-percent * sizes // 100)
-    rare = np.add.reduceat((count <= frequent).astype(np.int64), starts)
+    rare = np.add.reduceat((count == 0).astype(np.int64), starts)
     place = np.arange(len(doc)) - np.repeat(starts, sizes)
     single = place < np.repeat(np.minimum(misses + 1, rare), sizes)
-    keys, of = [token[single]], [doc[single]]
+    keys, of, places = [token[single]], [doc[single]], [place[single]]
     levels = level_starts(int(sizes.max()) * 2, percent)
     for i in np.flatnonzero(rare <= misses):
         size, own = int(sizes[i]), token[starts[i] : starts[i] + sizes[i]]
         level = int(np.searchsorted(levels, size, "right")) - 1
         for at in (level, level + 1):
-            for some in combination_keys(own, int(rare[i]), int(misses[i]), at, max(1, levels[at] // 30)):
-                keys.append(some)
-                of.append(np.full(len(some), doc[starts[i]]))
-    return np.concatenate(of), np.concatenate(keys)
+            some, where = combination_keys(own, int(rare[i]), int(misses[i]), at, max(1, levels[at] // 30))
+            keys.append(some)
+            places.append(where)
+            of.append(np.full(len(some), doc[starts[i]]))
+    return np.concatenate(of), np.concatenate(keys), np.concatenate(places)
 
 
-def _index(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """key, node, n, common of each index row."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float32))  # CELLS numbers
-    frequent = max(FREQUENT_LEAST, FREQUENT_TIMES * float(counts.mean()))
+def _keyed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
+    """ident, h, n, digest of the set, common (mean logarithm of the counts), keys and their places of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT numbers at most
     least = 100 // (100 - percent) - 1 if percent < 100 else 0  # smaller sets link with equal ones only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        cells, counts = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
+                rows = part.num_rows
                 doc, token = token_sets(part.column("text"), width)
-                count = table[_cell(token)]
-                n = np.bincount(doc, minlength=part.num_rows)
-                common = np.bincount(doc, weights=np.log2(count + 1.0), minlength=part.num_rows) / np.maximum(n, 1)
+                n = np.bincount(doc, minlength=rows)
+                ends = np.cumsum(n)
+                digests = [xxhash.xxh3_128_digest(token[e - k : e].tobytes()) for e, k in zip(ends, n, strict=True)]
+                count = looked_up(token, cells, counts)
+                common = np.bincount(doc, weights=np.log2(count + 1.0), minlength=rows) / np.maximum(n, 1)
                 some = n[doc] >= least
-                of, key = index_keys(doc[some], token[some], count[some], frequent, percent)
-                if len(of):
-                    nodes = part.column("ident").to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[of].astype(np.int64)), pa.array(n[of].astype(np.int32)), pa.array(common[of].astype(np.float32))], names=["key", "node", "n", "common"])
+                of, key, place = index_keys(doc[some], token[some], count[some], percent)
+                order = np.argsort(of, kind="stable")
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=rows)))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (key.view(np.int64), place.astype(np.int32))]
+                columns = [part.column("ident"), part.column("h"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(common.astype(np.float32)), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["ident", "h", "n", "digest", "common", "keys", "places"])
 
-    return docs.mapInArrow(run, "key long, node long, n int, common float")
+    return docs.mapInArrow(run, "ident long, h long, n long, digest binary, common float, keys array<bigint>, places array<int>")
 
 
-def _only(docs: DataFrame, some: DataFrame, on: list[str], how: str) -> DataFrame:
-    """A semi or anti join; the other side is broadcast if it is small, counted first."""
-    return docs.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, on, how)
+def _counted_hint(some: DataFrame) -> DataFrame:
+    """For broadcast if it is small, counted first."""
+    return F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (leader, node) whose sets link.
+def _level(size: Column) -> Column:
+    return F.when(size <= SINGLE_SIZES, size).otherwise(SINGLE_SIZES + F.floor(F.log(size / SINGLE_SIZES) / F.log(F.lit(LEVEL_GROWTH)))).cast("int")
 
-    A leader's row comes first in each task that has members of it; members are read one batch
-    after another. A leader with many members is dealt over several tasks.
+
+def split_by_levels(rows: DataFrame, percent: int) -> DataFrame:
+    """key, node, n, common for each pair of size levels in which the row's key lies in the prefix that the pair needs.
+
+    Documents of a and b tokens link if they share p (a + b) / (100 + p) of them at least. Starts
+    of levels are taken one too low at most, so rounding only lengthens a prefix.
     """
-    size = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
-    shares = size.select("leader", F.ceil(F.col("members") / MEMBERS_PER_TASK).cast("int").alias("shares"))
-    members = pairs.join(shares, "leader").select("leader", F.pmod(F.hash("node"), F.col("shares")).alias("share"), "node", F.lit(1).alias("turn"))
-    leaders = shares.select("leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("leader").alias("node"), F.lit(0).alias("turn"))
-    rows = members.unionByName(leaders).join(texts.withColumnRenamed("ident", "node"), "node")
-    ordered = rows.repartition("leader", "share").sortWithinPartitions("leader", "share", "turn")
+    n = F.col("n")
+    least, most = F.ceil(percent * n / 100), F.floor(100 * n / percent)
+    other = F.col("other")
+    start = F.when(other <= SINGLE_SIZES, other.cast("long")).otherwise(F.ceil(SINGLE_SIZES * F.pow(F.lit(LEVEL_GROWTH), other - SINGLE_SIZES)) - 1)
+    smallest = F.greatest(start, least, F.when(other > F.col("level"), n))
+    allowed = n - F.ceil(percent * (n + smallest) / (100 + percent) - 1e-9)
+    leveled = rows.withColumn("level", _level(n)).withColumn("other", F.explode(F.sequence(_level(least), _level(most))))
+    key = F.xxhash64("key", F.least("level", "other"), F.greatest("level", "other"))
+    return leveled.where(F.col("place") <= allowed).select(key.alias("key"), "node", "n", "common")
+
+
+def _like_size(percent: int, a: str = "n", b: str = "other_n") -> Column:
+    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, set (sorted hashes, 8 bytes each) of the nodes; one row for each text of a repeated identifier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, own = None, []
         for batch in batches:
             for part in slices(batch, "text"):
                 doc, token = token_sets(part.column("text"), width)
-                ends = np.searchsorted(doc, np.arange(part.num_rows), "right")
-                out, start = [], 0
-                for i, (a, b, turn) in enumerate(zip(part.column("leader").to_pylist(), part.column("node").to_pylist(), part.column("turn").to_pylist(), strict=True)):
-                    mine, start = token[start : ends[i]], ends[i]
-                    if not turn:
-                        own = [mine.copy(), *own] if a == leader else [mine.copy()]  # a node has several texts at most if its identifier was repeated
-                        leader = a
-                    elif any(_linked(x, mine, percent) for x in own):
-                        out.append((a, b))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=part.num_rows)))) * 8
+                sets = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(token)])
+                yield pa.RecordBatch.from_arrays([part.column("ident"), sets.cast(pa.binary())], names=["node", "set"])
 
-    return ordered.mapInArrow(run, "a long, b long")
+    some = docs.join(_counted_hint(nodes.select(F.col("node").alias("ident"))), "ident", "left_semi")
+    return some.select("ident", "text").mapInArrow(run, "node long, set binary").distinct()
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -229,30 +318,159 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _apart(left: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of open entries whose node isn't connected with the entry's leader, which is looked up once an entry."""
-    leaders = left.select("key", "leader").distinct().join(labels.select(F.col("node").alias("leader"), F.col("component").alias("leader_component")), "leader", "left")
-    known = leaders.select("key", F.coalesce("leader_component", "leader").alias("leader_component"))
-    return left.join(known, "key").where("component <> leader_component").select("key", "node", "n", "leader")
-
-
-def _settle(entry: DataFrame, sizes: DataFrame, texts: DataFrame, labels: DataFrame | None, tested: DataFrame | None, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Compare each entry's nodes with its leader, but for pairs that are connected or tested; the components then, and all pairs tested."""
-    with_size = entry.where("node <> leader").join(sizes.select(F.col("node").alias("leader"), F.col("n").alias("leader_n")), "leader")
-    like = with_size.where(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
-    pairs = like.select(F.greatest("leader", "node").alias("x"), F.least("leader", "node").alias("y"), "leader", "node").dropDuplicates(["x", "y"])
-    if labels is not None:
-        # Pairs that are connected already need no comparison, and pairs compared before no second one.
-        x, y = (labels.select(F.col("node").alias(c), F.col("component").alias(f"__{c}")) for c in ("x", "y"))
-        placed = pairs.join(x, "x", "left").join(y, "y", "left")
-        apart = placed.where(F.coalesce("__x", "x") != F.coalesce("__y", "y"))
-        pairs = apart.select("x", "y", "leader", "node").join(tested, ["x", "y"], "left_anti")
-    pairs = materialise(pairs, "pairs")
-    found = _compare(pairs.select("leader", "node"), texts, width, percent)
-    if labels is not None:
-        found = found.union(labels.select("node", "component"))
-    now = pairs.select("x", "y")
-    return components(materialise(found, "found")), now if tested is None else tested.union(now)
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (leader, node) whose sets link.
+
+    A leader's row comes first in each task that has members of it; members are read one batch
+    after another. A leader with many members is dealt over several tasks.
+    """
+    many = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > MEMBERS_PER_TASK)
+    many = _counted_hint(materialise(many, "leaders"))
+    shares = F.coalesce(F.ceil(F.col("members") / MEMBERS_PER_TASK), F.lit(1)).cast("int")
+    members = pairs.join(many, "leader", "left").select("leader", F.pmod(F.hash("node"), shares).alias("share"), "node", F.lit(1).alias("turn"))
+    leaders = members.select("leader", "share").distinct().select("leader", "share", F.col("leader").alias("node"), F.lit(0).alias("turn"))
+    rows = members.unionByName(leaders).join(sets, "node")
+    ordered = rows.repartition("leader", "share").sortWithinPartitions("leader", "share", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, []
+        for batch in batches:
+            out = []
+            for a, b, turn, raw in zip(*(batch.column(c).to_pylist() for c in ("leader", "node", "turn", "set")), strict=True):
+                mine = np.frombuffer(raw, np.uint64)
+                if not turn:
+                    own = [mine, *own] if a == leader else [mine]  # a node has several sets at most if its identifier was repeated
+                    leader = a
+                elif any(_linked(x, mine, percent) for x in own):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of the sets share: products of incidence matrices, MATRIX_TOKENS tokens at a time."""
+    token = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    column = np.cumsum(np.concatenate(([False], token[1:] != token[:-1])))
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    distinct = int(column[-1]) + 1 if len(column) else 0
+    for start in range(0, distinct, MATRIX_TOKENS):
+        a, b = np.searchsorted(column, (start, start + MATRIX_TOKENS))
+        table = np.zeros((len(sets), min(MATRIX_TOKENS, distinct - start)), np.float32)
+        table[owner[a:b], column[a:b] - start] = 1
+        total += table @ table.T
+    return total
+
+
+def block_links(nodes: list[int], parts: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components (parts) of a block's nodes: no more than there are nodes."""
+    sizes = np.array([len(s) for s in sets], np.float64)
+    both = shared_counts(sets)
+    linked = np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1)
+    root = {p: p for p in parts}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        return p
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = find(parts[i]), find(parts[j])
+        if x != y:
+            root[x] = y
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def _compare_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of different components of large entries (key, node, component, members).
+
+    An entry's documents are dealt into blocks; each two blocks of an entry meet in one task, so a
+    document's set is sent as often as its entry has blocks.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = members.select("key", "node", "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "node", "component").join(sets, "node")
+    ordered = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if links := block_links(*(list(c) for c in zip(*held, strict=True)), percent):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            for key, x, y, node, part, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y", "node", "component", "set")), strict=True):
+                if (key, x, y) != now and held:
+                    yield from found()
+                    held = []
+                now = (key, x, y)
+                held.append((node, part, np.frombuffer(raw, np.uint64)))
+        if held:
+            yield from found()
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def _merged(members: DataFrame) -> DataFrame:
+    """Entries of one leader made one where this takes fewer comparisons: those of a group of near copies have much the same documents."""
+    entries = members.groupBy("key").agg(F.first("leader").alias("leader"), F.first("members").alias("m"))
+    apart = entries.groupBy("leader").agg(F.sum(F.col("m") * F.col("m")).alias("squares"))
+    together = members.select("leader", "node").distinct().groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
+    chosen = apart.join(together, "leader").where("m * m <= squares").select("leader", F.col("m").alias("all"))
+    rows = members.join(_counted_hint(materialise(chosen, "merged")), "leader", "left")
+    key = F.when(F.col("all").isNotNull(), F.xxhash64(F.lit("leader"), "leader")).otherwise(F.col("key"))
+    return rows.select(key.alias("key"), "node", "component", F.coalesce("all", "members").alias("members")).distinct()
+
+
+def _entries(index: DataFrame, percent: int) -> DataFrame:
+    """key, node, n, leader, leader_n of the index entries that hold several documents."""
+    several = F.min("node") != F.max("node")
+    often = index.groupBy("key").agg(several.alias("several")).where("several").select("key")
+    split = materialise(split_by_levels(index.join(often, "key"), percent), "split")
+    # Tokens of one passage give many entries with the same documents, told by two 64-bit sums; one of these is enough.
+    alike = [F.count(F.lit(1)).alias("rows"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2))]
+    top = F.max(F.struct("common", (-F.col("node")).alias("minus"), F.col("n").alias("leader_n"))).alias("top")
+    grouped = split.distinct().groupBy("key").agg(top, F.min("node").alias("low"), F.max("node").alias("high"), *alike)
+    grouped = grouped.where("low <> high").dropDuplicates(["low", "high", "rows", "same0", "same1"])
+    found = split.distinct().join(grouped.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.leader_n").alias("leader_n")), "key")
+    found = materialise(found.select("key", "node", "n", "leader", "leader_n"), "entries")
+    release(index.sparkSession, split)
+    return found
+
+
+def _components(index: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, component of the nodes that have links."""
+    spark = docs.sparkSession
+    entries = _entries(index, percent)
+    sets = materialise(_sets(docs, materialise(entries.select("node").distinct(), "nodes"), width), "sets")
+    pair = [F.greatest("leader", "node").alias("x"), F.least("leader", "node").alias("y")]
+    led = entries.where((F.col("node") != F.col("leader")) & _like_size(percent, "n", "leader_n"))
+    tested = materialise(led.select(*pair, "leader", "node").dropDuplicates(["x", "y"]), "pairs")
+    found = materialise(_compare(tested.select("leader", "node"), sets, percent), "found")
+    labels = components(found)
+    # Entries that hold several components still: small ones pair by pair, large ones in blocks.
+    placed = entries.join(labels, "node", "left").select("key", "node", "n", "leader", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
+    left = materialise(placed.join(apart.select("key", "members"), "key"), "open")
+    small, large = left.where(F.col("members") <= PAIRED), _merged(left.where(F.col("members") > PAIRED))
+    other = small.select("key", F.col("node").alias("second"), F.col("component").alias("other_component"), F.col("n").alias("other_n"))
+    crossing = small.join(other, "key").where((F.col("node") < F.col("second")) & (F.col("component") != F.col("other_component")) & _like_size(percent))
+    pairs = crossing.select(F.col("second").alias("x"), F.col("node").alias("y")).distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
+    pairs = materialise(pairs.select(F.col("x").alias("leader"), F.col("y").alias("node")), "pairs")
+    more = _compare(pairs, sets, percent).unionByName(_compare_blocks(large, sets, percent))
+    again = materialise(more, "found")
+    release(spark, entries, tested, left, pairs, sets)
+    if not again.limit(1).count():
+        return labels
+    return components(found.unionByName(again))
 
 
 def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -261,91 +479,52 @@ def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     A-Z are lower-cased; words are runs without space and \\t\\n\\v\\f\\r; with fewer than width words the
     whole sequence is one n-gram. Null texts and texts without words have no n-gram and link with
     nothing. component_id is the smallest identifier that links reach. Rows with one identifier
-    stand for their own texts. Null identifiers take part only through equal sets: such a row has
-    the component of its class, or null. An empty table gives an empty result.
+    are one node of the links and each keep their own n_shingles. Null identifiers take part only
+    through equal sets: such a row has the component of its class, or null. An empty table gives an
+    empty result. Other columns are not looked at. n_shingles counts distinct 64-bit hashes: two
+    n-grams of a text of a million words fall together with a chance of about 3 in 100 million.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    slim = docs.select(F.col(ident).cast("long").alias("ident"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
-    first = materialise(_first_pass(slim, width), "sets")
-    base = first.where(F.col("digest").isNotNull()).drop("cells")
-    classes = materialise(base.where("n > 0").groupBy("digest").agg(F.min("ident").alias("node")), "classes")
-    # One row of a class is indexed; its other rows are known by identifier and digest.
-    of_class = base.where("n > 0").join(classes, "digest")
-    copies = materialise(of_class.where(~(F.col("ident").eqNullSafe(F.col("node"))) | F.col("node").isNull()).select("ident", "h").distinct(), "copies").where(F.col("ident").isNotNull())
-    single = _only(slim.where(F.col("ident").isNotNull()), copies, ["ident", "h"], "left_anti")
-    index = materialise(_index(single, _cell_counts(first), width, percent), "index")
-    often = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    starts = level_starts(int(index.agg(F.max("n")).first()[0] or 1), percent)
-    level = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("n")))  # about ten levels for each doubling of the size
-    split = index.join(often, "key").select(F.explode(F.array(level, level + 1)).alias("level"), "key", "node", "n", "common").select(F.xxhash64("key", "level").alias("key"), "node", "n", "common")
-    split = materialise(split, "split")
-    # Tokens of one passage give many entries with the same documents; one of these is enough.
-    alike = [F.count(F.lit(1)).alias("rows"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2))]
-    entries = split.distinct().groupBy("key").agg(F.max(F.struct("common", (-F.col("node")).alias("minus"))).alias("top"), F.min("node").alias("low"), F.max("node").alias("high"), *alike)
-    entries = entries.where("low <> high").dropDuplicates(["low", "high", "rows", "same0", "same1"])
-    shared = materialise(split.join(entries.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.common").alias("leader_common")), "key"), "entries")
-    nodes = materialise(shared.select(F.col("node").alias("ident")).distinct(), "nodes")
-    texts = materialise(_only(single, nodes, ["ident"], "left_semi").select("ident", "text"), "texts")
-
-    sizes = shared.groupBy("node").agg(F.max("n").alias("n"))
-    tested, labels, followed = None, None, []
-    first_leader = shared.where("node <> leader").groupBy("node").agg(F.max("n").alias("n"), F.max(F.struct("leader_common", (-F.col("leader")).alias("minus"))).alias("top"))
-    entry = first_leader.select(F.lit(0).cast("long").alias("key"), "node", "n", (-F.col("top.minus")).alias("leader"))
-    for turn in range(LEADER_ROUNDS):
-        labels, tested = _settle(entry, sizes, texts, labels, tested, width, percent)
-        # Entries that hold several components still.
-        placed = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        left = materialise(placed.join(open_keys, "key").select("key", "node", "n", "common", "component", "leader"), "open")
-        of_part = left.groupBy("key", "component").agg(F.countDistinct("node").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-        crossing = of_part.agg(F.sum("p").alias("pairs"), F.count(F.lit(1)).alias("keys")).first()
-        if not crossing["keys"]:
-            break
-        if crossing["pairs"] <= PAIRS_PER_DOCUMENT * max(nodes.count(), 1000) or turn == LEADER_ROUNDS - 1:
-            # All pairs of different components that an entry has.
-            other = left.select("key", F.col("node").alias("leader"), F.col("component").alias("leader_component"), F.col("n").alias("leader_n"))
-            like = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)"
-            entry = left.drop("leader").join(other, "key").where(f"component <> leader_component AND node < leader AND {like}").select("key", "node", "n", "leader")
-            labels, tested = _settle(entry, sizes, texts, labels, tested, width, percent)
-            break
-        if turn == 0:
-            entry = _apart(left, labels)
-            continue
-        # The next leader of an entry is the most common of those that have not led it.
-        led = left.select("key", "leader").distinct()
-        for before in followed:
-            led = led.union(before)
-        left = left.drop("leader")
-        rest = left.join(led.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
-        following = rest.groupBy("key").agg(F.max(F.struct("common", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
-        followed.append(materialise(following, "leaders"))
-        entry = materialise(_apart(left.join(followed[-1], "key"), labels), "entry")
-
-    named = base.join(classes, "digest", "left").join(labels, "node", "left")
-    return named.select(
+    slim = docs.select(named(ident).cast("long").alias("ident"), F.xxhash64(named(text)).alias("h"), named(text).alias("text"))
+    rows = materialise(_keyed(slim, frequent_tokens(slim.select("text"), width), width, percent), "keyed")
+    base = rows.select("ident", "h", "n", "digest")
+    # One row of a class is indexed; min_by passes over null identifiers.
+    one = F.min_by(F.struct("n", "common", "keys", "places"), F.col("ident")).alias("one")
+    classes = materialise(rows.where("n > 0").groupBy("digest").agg(F.min("ident").alias("node"), one), "classes")
+    indexed = classes.where("node IS NOT NULL").select("node", "one.n", "one.common", F.explode(F.arrays_zip("one.keys", "one.places")).alias("at"))
+    labels = _components(indexed.select(F.col("at.keys").alias("key"), "node", "n", "common", F.col("at.places").alias("place")), slim, width, percent)
+    of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    done = base.join(of_class, "digest", "left").select(
         F.col("ident").alias(ident),
         "h",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("ident")).otherwise(F.coalesce("component", "node")).alias("component_id"),
+        F.when(F.col("n") == 0, F.col("ident")).otherwise(F.col("component")).alias("component_id"),
     )
+    result = materialise(done, "similar")
+    release(docs.sparkSession, rows, classes, labels)
+    return result
 
 
 def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest identifier, and rows without links.
 
-    Rows with null identifiers stay. Repeated rows with one identifier and text stay once.
+    Rows with null identifiers stay. Repeated rows with one identifier and text stay once. Null and
+    empty texts link with nothing and stay. The columns are those of docs, whatever their names.
+    An empty table gives an empty result.
     """
-    found = materialise(similar_classes(docs, ident, text, width, percent), "similar")
-    gone = found.where(F.col(ident).isNotNull() & (F.col("component_id") != F.col(ident))).select(F.col(ident).alias("__gone"), F.col("h").alias("__h")).distinct()
-    gone = materialise(gone, "gone")
-    keyed = docs.withColumns({"__gone": F.col(ident).cast("long"), "__h": F.xxhash64(F.col(text))})
-    kept = _only(keyed, gone, ["__gone", "__h"], "left_anti")
-    repeated = materialise(found.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("__gone"), F.col("h").alias("__h")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "repeated")
-    if repeated.count():
-        once = _only(kept, repeated, ["__gone", "__h"], "left_semi").dropDuplicates(["__gone", "__h"])
-        kept = _only(kept, repeated, ["__gone", "__h"], "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    own_ident, own_hash = free_names(docs, "ident", "h")
+    similar = similar_classes(docs, ident, text, width, percent)
+    found = similar.select(named(ident).alias(own_ident), F.col("h").alias(own_hash), "component_id")
+    some = found.where(F.col(own_ident).isNotNull())
+    gone = materialise(some.where(F.col("component_id") != F.col(own_ident)).select(own_ident, own_hash).distinct(), "gone")
+    repeated = materialise(some.groupBy(own_ident, own_hash).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(own_ident, own_hash), "repeated")
+    release(docs.sparkSession, similar)
+    keyed = docs.withColumns({own_ident: named(ident).cast("long"), own_hash: F.xxhash64(named(text))})
+    both = [own_ident, own_hash]
+    kept = keyed.join(_counted_hint(gone), both, "left_anti")
+    if repeated.limit(1).count():
+        known = _counted_hint(repeated)
+        kept = kept.join(known, both, "left_anti").unionByName(kept.join(known, both, "left_semi").dropDuplicates(both))
+    return kept.select(*map(named, docs.columns))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

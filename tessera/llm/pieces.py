@@ -20,7 +20,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
 from tessera.llm.words import Texts, encoded, slices
 
 MARK = "▁"
@@ -280,7 +279,6 @@ def encode_pieces(docs: DataFrame, model: str, ident: str = "doc_id", text: str
     so a text that holds it doesn't come back (round_trip false). Repeated rows are encoded
     each, an empty table gives an empty result, and other columns are not looked at.
     """
-    small_batches(docs.sparkSession)
     slim = docs.select(F.col(ident).alias("__ident"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

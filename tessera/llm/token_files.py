@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, small_batches, work_dir
+from tessera.llm.common import materialise, work_dir
 from tessera.llm.content_sort import ranges_below
 from tessera.llm.words import Texts, Words, slices
 from tessera.session import partitions
@@ -286,7 +286,6 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, ident: str = "doc_id
     by a digest of their texts. An empty table gives no file.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     if not splits_by_word(tokenizer):
         raise ValueError("this vocabulary's ids depend on white space between words")
     table, counts = encoded(docs, tokenizer, ident, text, end_id)
