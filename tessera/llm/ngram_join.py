@@ -1,10 +1,11 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 The tokens of a document are its distinct word n-grams, as 64-bit hashes of the n-gram. They
-have one global order: rare tokens first, then frequent ones by rising document frequency. The
-frequencies are counted over all documents by a shuffle of packed token hashes; only tokens above
-FREQUENT_LEAST documents are kept, and at most MOST_FREQUENT of them, the most frequent. Any order
-gives right results, so this bound costs comparisons at most.
+have one global order: tokens of one document first, then rare ones, then frequent ones by rising
+document frequency. The frequencies are counted over all documents by a shuffle of packed token
+hashes. What is kept of them has a fixed size: a bit map of tokens that several documents have, and
+the counts of those above FREQUENT_LEAST, MOST_FREQUENT of them at most, the most frequent. Any
+order gives right results, so a full map costs comparisons at most.
 
 A document that may miss t of its tokens is indexed under its first t + 1 tokens, one by one, if
 these are rare. If not, its prefix goes on into the frequent tokens, which are dealt into groups
@@ -20,10 +21,10 @@ therefore split by pairs of size levels, and a document stays in an entry only w
 in the prefix that this pair of levels needs. This parts near copies from near misses: an edited
 document whose own tokens fill its prefix meets none of the others.
 
-Documents with equal sets are one class and stand in the index once. Of each entry, all are
-compared with one leader, the document with the most common tokens; where this leaves an entry in
-several components, its documents of different components are compared pair by pair, in blocks if
-there are many. No candidate is left out, and a large group of near copies takes about as many
+Documents with equal sets are one class and stand in the index once. First each document is
+compared with one leader, that of its keys with the most common tokens, and then, in entries that
+hold several components, with each leader; where an entry holds several components still, its
+documents of different ones are compared pair by pair, in blocks if there are many. No candidate is left out, and a large group of near copies takes about as many
 comparisons as it has members.
 """
 
@@ -50,6 +51,8 @@ WORDS, PERCENT = 3, 90
 FREQUENT_LEAST, MOST_FREQUENT = 24, 1 << 22
 #: Tokens are counted by their leading bits, and sent on when a task has gathered so many.
 COUNT_BITS, GATHERED = 42, 4 << 20
+#: Bits of the map of tokens that several documents have: 32 MB, whatever the corpus.
+MAP_BITS = 28
 #: Packs of counted tokens for each shuffle partition; one is counted at a time.
 PACKS = 16
 #: Rows of the smaller side that are broadcast after a count; more are joined by a shuffle.
@@ -112,7 +115,7 @@ def unpacked(first: int, width: int, steps: bytes) -> np.ndarray:
 
 
 def _token_counts(docs: DataFrame, width: int) -> DataFrame:
-    """cell, count of the tokens of more than FREQUENT_LEAST rows of docs; equal rows count each."""
+    """cell, count of the tokens of more than FREQUENT_LEAST rows of docs; and at, bits: each pack's part of the map, from its byte on. Equal rows count each."""
     shuffled = partitions(docs.sparkSession)
     least, packs = FREQUENT_LEAST, PACKS * shuffled
 
@@ -142,8 +145,18 @@ def _token_counts(docs: DataFrame, width: int) -> DataFrame:
             cells = np.sort(np.concatenate(held))
             starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             counts = np.diff(np.append(starts, len(cells)))
-            some = counts > least
-            return pa.RecordBatch.from_arrays([pa.array(cells[starts[some]].astype(np.int64)), pa.array(counts[some])], names=["cell", "count"])
+            some, several = counts > least, np.unique(cells[starts[counts > 1]] >> np.uint64(COUNT_BITS - MAP_BITS)).astype(np.int64)
+            at = int(several[0]) // 8 if len(several) else 0
+            bits = np.zeros((int(several[-1]) // 8 + 1 - at) * 8 if len(several) else 0, bool)
+            bits[several - 8 * at] = True
+            n = int(some.sum())
+            columns = [
+                pa.array([*cells[starts[some]].tolist(), None], pa.int64()),
+                pa.array([*counts[some].tolist(), None], pa.int64()),
+                pa.array([None] * n + [at], pa.int64()),
+                pa.array([None] * n + [np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["cell", "count", "at", "bits"])
 
         for batch in batches:
             for own, first, bytes_a_step, steps in zip(*(batch.column(c).to_pylist() for c in ("pack", "first", "width", "steps")), strict=True):
@@ -157,12 +170,13 @@ def _token_counts(docs: DataFrame, width: int) -> DataFrame:
 
     packs_of = docs.select("text").mapInArrow(pack, "pack int, first long, width int, steps binary")
     dealt = packs_of.repartitionById(shuffled, F.col("pack") % shuffled).sortWithinPartitions("pack")
-    return dealt.mapInArrow(count, "cell long, count long")
+    return dealt.mapInArrow(count, "cell long, count long, at long, bits binary")
 
 
-def frequent_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells, ascending, and counts of the frequent tokens: MOST_FREQUENT of them at most, with the highest counts."""
-    counted = materialise(_token_counts(docs, width), "frequent")
+def frequent_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The map of tokens that several rows of docs have, and cells, ascending, and counts of the frequent tokens."""
+    known = materialise(_token_counts(docs, width), "frequent")
+    counted, parts = known.where("cell IS NOT NULL"), known.where("bits IS NOT NULL")
     by_size = counted.groupBy(F.floor(F.log2("count") * 8).alias("size")).count().orderBy(F.desc("size")).collect()  # at most a few hundred sizes
     least, total = 0, 0
     for r in by_size:
@@ -170,20 +184,26 @@ def frequent_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
         if total > MOST_FREQUENT:
             least = r["size"] + 1
             break
-    table = counted.where(F.floor(F.log2("count") * 8) >= least).toArrow()  # MOST_FREQUENT rows at most
-    release(docs.sparkSession, counted)
+    table = counted.where(F.floor(F.log2("count") * 8) >= least).select("cell", "count").toArrow()  # MOST_FREQUENT rows at most
+    several = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for r in parts.select("at", "bits").collect():  # one map in all
+        several[r["at"] : r["at"] + len(r["bits"])] |= np.frombuffer(r["bits"], np.uint8)
+    release(docs.sparkSession, known)
     cells, counts = table["cell"].to_numpy().astype(np.uint64), table["count"].to_numpy().astype(np.float32)
     order = np.argsort(cells)
-    return cells[order], counts[order]
+    return several, cells[order], counts[order]
 
 
-def looked_up(token: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The count of each token, 0 for rare ones."""
-    if not len(cells):
-        return np.zeros(len(token), np.float32)
-    cell = _counted(token)
-    at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
-    return np.where(cells[at] == cell, counts[at], np.float32(0))
+def looked_up(token: np.ndarray, several: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of each frequent token, 1 for others in the map, 0 for the rest."""
+    bit = (token >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    known = ((several[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(np.float32)
+    some = np.flatnonzero(known)
+    if len(cells) and len(some):
+        cell = _counted(token[some])
+        at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+        known[some] = np.where(cells[at] == cell, counts[at], np.float32(1))
+    return known
 
 
 def level_starts(largest: int, percent: int = PERCENT) -> list[int]:
@@ -215,7 +235,7 @@ def combination_keys(token: np.ndarray, rare: int, misses: int, level: int, grou
 
 
 def index_keys(doc: np.ndarray, token: np.ndarray, count: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, key and place of each index row. doc and token as from token_sets(), count is 0 for rare tokens."""
+    """Document, key and place of each index row. doc and token as from token_sets(), count is 1 at most for rare tokens."""
     if not len(doc):
         return doc, token, doc
     order = np.lexsort((token, count, doc))
@@ -223,7 +243,7 @@ def index_keys(doc: np.ndarray, token: np.ndarray, count: np.ndarray, percent: i
     starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     sizes = np.diff(np.append(starts, len(doc)))
     misses = sizes - -(-percent * sizes // 100)
-    rare = np.add.reduceat((count == 0).astype(np.int64), starts)
+    rare = np.add.reduceat((count <= 1).astype(np.int64), starts)
     place = np.arange(len(doc)) - np.repeat(starts, sizes)
     single = place < np.repeat(np.minimum(misses + 1, rare), sizes)
     keys, of, places = [token[single]], [doc[single]], [place[single]]
@@ -239,13 +259,13 @@ def index_keys(doc: np.ndarray, token: np.ndarray, count: np.ndarray, percent: i
     return np.concatenate(of), np.concatenate(keys), np.concatenate(places)
 
 
-def _keyed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
+def _keyed(docs: DataFrame, frequent: tuple[np.ndarray, ...], width: int, percent: int) -> DataFrame:
     """ident, h, n, digest of the set, common (mean logarithm of the counts), keys and their places of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # the map, and MOST_FREQUENT numbers at most
     least = 100 // (100 - percent) - 1 if percent < 100 else 0  # smaller sets link with equal ones only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, counts = shared.value
+        known = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = part.num_rows
@@ -253,7 +273,7 @@ def _keyed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int,
                 n = np.bincount(doc, minlength=rows)
                 ends = np.cumsum(n)
                 digests = [xxhash.xxh3_128_digest(token[e - k : e].tobytes()) for e, k in zip(ends, n, strict=True)]
-                count = looked_up(token, cells, counts)
+                count = looked_up(token, *known)
                 common = np.bincount(doc, weights=np.log2(count + 1.0), minlength=rows) / np.maximum(n, 1)
                 some = n[doc] >= least
                 of, key, place = index_keys(doc[some], token[some], count[some], percent)
@@ -276,7 +296,7 @@ def _level(size: Column) -> Column:
 
 
 def split_by_levels(rows: DataFrame, percent: int) -> DataFrame:
-    """key, node, n, common for each pair of size levels in which the row's key lies in the prefix that the pair needs.
+    """key, node, n, common, component for each pair of size levels in which the row's key lies in the prefix that the pair needs.
 
     Documents of a and b tokens link if they share p (a + b) / (100 + p) of them at least. Starts
     of levels are taken one too low at most, so rounding only lengthens a prefix.
@@ -289,7 +309,7 @@ def split_by_levels(rows: DataFrame, percent: int) -> DataFrame:
     allowed = n - F.ceil(percent * (n + smallest) / (100 + percent) - 1e-9)
     leveled = rows.withColumn("level", _level(n)).withColumn("other", F.explode(F.sequence(_level(least), _level(most))))
     key = F.xxhash64("key", F.least("level", "other"), F.greatest("level", "other"))
-    return leveled.where(F.col("place") <= allowed).select(key.alias("key"), "node", "n", "common")
+    return leveled.where(F.col("place") <= allowed).select(key.alias("key"), "node", "n", "common", "component")
 
 
 def _like_size(percent: int, a: str = "n", b: str = "other_n") -> Column:
@@ -419,6 +439,42 @@ def _compare_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, node, ...) of keys that hold several components, with each row's component."""
+    placed = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = (F.min("component") != F.max("component")).alias("several")
+    return placed.join(placed.groupBy("key").agg(several).where("several").select("key"), "key")
+
+
+def _crowded(index: DataFrame) -> DataFrame:
+    """Index rows whose key several documents have."""
+    several = (F.min("node") != F.max("node")).alias("several")
+    return index.join(index.groupBy("key").agg(several).where("several").select("key"), "key")
+
+
+def _top(*more: str) -> Column:
+    """Of a key's rows the one with the most common tokens, the likely origin of near copies; ties by the smallest node."""
+    return F.max(F.struct("common", (-F.col("node")).alias("minus"), *more)).alias("top")
+
+
+def _first_pairs(crowded: DataFrame, percent: int) -> DataFrame:
+    """leader, node: each document with the most common leader of like size of its keys."""
+    tops = crowded.groupBy("key").agg(_top("n")).select("key", F.col("top.common").alias("best"), (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("leader_n"))
+    led = crowded.join(tops, "key").where((F.col("node") != F.col("leader")) & _like_size(percent, "n", "leader_n"))
+    return led.groupBy("node").agg(F.max(F.struct("best", (-F.col("leader")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("leader"), "node")
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """key, node, n, component, leader, leader_n, leader_component; of entries with the same documents one is enough."""
+    # Tokens of one passage give many entries with the same documents, which are told by their ends, number and two 64-bit sums.
+    alike = [F.count(F.lit(1)).alias("rows"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2))]
+    rows = rows.dropDuplicates(["key", "node", "n"])
+    grouped = rows.groupBy("key").agg(_top("n", "component"), F.min("node").alias("low"), F.max("node").alias("high"), *alike)
+    one = grouped.dropDuplicates(["low", "high", "rows", "same0", "same1"])
+    led = one.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.component").alias("leader_component"))
+    return rows.drop("common").join(led, "key")
+
+
 def _merged(members: DataFrame) -> DataFrame:
     """Entries of one leader made one where this takes fewer comparisons: those of a group of near copies have much the same documents."""
     entries = members.groupBy("key").agg(F.first("leader").alias("leader"), F.first("members").alias("m"))
@@ -430,47 +486,43 @@ def _merged(members: DataFrame) -> DataFrame:
     return rows.select(key.alias("key"), "node", "component", F.coalesce("all", "members").alias("members")).distinct()
 
 
-def _entries(index: DataFrame, percent: int) -> DataFrame:
-    """key, node, n, leader, leader_n of the index entries that hold several documents."""
-    several = F.min("node") != F.max("node")
-    often = index.groupBy("key").agg(several.alias("several")).where("several").select("key")
-    split = materialise(split_by_levels(index.join(often, "key"), percent), "split")
-    # Tokens of one passage give many entries with the same documents, told by two 64-bit sums; one of these is enough.
-    alike = [F.count(F.lit(1)).alias("rows"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2))]
-    top = F.max(F.struct("common", (-F.col("node")).alias("minus"), F.col("n").alias("leader_n"))).alias("top")
-    grouped = split.distinct().groupBy("key").agg(top, F.min("node").alias("low"), F.max("node").alias("high"), *alike)
-    grouped = grouped.where("low <> high").dropDuplicates(["low", "high", "rows", "same0", "same1"])
-    found = split.distinct().join(grouped.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.leader_n").alias("leader_n")), "key")
-    found = materialise(found.select("key", "node", "n", "leader", "leader_n"), "entries")
-    release(index.sparkSession, split)
-    return found
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """The pairs (leader, node), each once in either order, that were not compared before."""
+    ends = [F.greatest("leader", "node").alias("x"), F.least("leader", "node").alias("y")]
+    fresh = pairs.select(*ends, "leader", "node").dropDuplicates(["x", "y"]).join(tested.select(*ends), ["x", "y"], "left_anti")
+    return fresh.select("leader", "node")
 
 
 def _components(index: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """node, component of the nodes that have links."""
     spark = docs.sparkSession
-    entries = _entries(index, percent)
-    sets = materialise(_sets(docs, materialise(entries.select("node").distinct(), "nodes"), width), "sets")
-    pair = [F.greatest("leader", "node").alias("x"), F.least("leader", "node").alias("y")]
-    led = entries.where((F.col("node") != F.col("leader")) & _like_size(percent, "n", "leader_n"))
-    tested = materialise(led.select(*pair, "leader", "node").dropDuplicates(["x", "y"]), "pairs")
-    found = materialise(_compare(tested.select("leader", "node"), sets, percent), "found")
+    crowded = materialise(_crowded(index), "crowded")
+    sets = materialise(_sets(docs, materialise(crowded.select("node").distinct(), "nodes"), width), "sets")
+    # First each document with one leader: most keys of near copies are settled by that.
+    tested = materialise(_first_pairs(crowded, percent), "pairs")
+    found = materialise(_compare(tested, sets, percent), "found")
     labels = components(found)
-    # Entries that hold several components still: small ones pair by pair, large ones in blocks.
-    placed = entries.join(labels, "node", "left").select("key", "node", "n", "leader", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
-    left = materialise(placed.join(apart.select("key", "members"), "key"), "open")
+    # Keys that hold several components still, split by size levels, each document with each leader.
+    split = materialise(split_by_levels(_apart(crowded, labels), percent), "split")
+    several = (F.min("component") != F.max("component")).alias("several")
+    kept = split.join(split.groupBy("key").agg(several).where("several").select("key"), "key")
+    entries = materialise(_entries(kept), "entries")
+    release(spark, crowded, split)
+    led = entries.where((F.col("component") != F.col("leader_component")) & _like_size(percent, "n", "leader_n"))
+    second = materialise(_untested(led.select("leader", "node"), tested), "pairs")
+    found = found.unionByName(materialise(_compare(second, sets, percent), "found"))
+    tested, labels = tested.unionByName(second), components(found)
+    # Entries that are open yet: small ones pair by pair, large ones in blocks.
+    left = materialise(_apart(entries.drop("component"), labels), "open")
+    sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    left = left.join(sizes, "key")
     small, large = left.where(F.col("members") <= PAIRED), _merged(left.where(F.col("members") > PAIRED))
     other = small.select("key", F.col("node").alias("second"), F.col("component").alias("other_component"), F.col("n").alias("other_n"))
     crossing = small.join(other, "key").where((F.col("node") < F.col("second")) & (F.col("component") != F.col("other_component")) & _like_size(percent))
-    pairs = crossing.select(F.col("second").alias("x"), F.col("node").alias("y")).distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
-    pairs = materialise(pairs.select(F.col("x").alias("leader"), F.col("y").alias("node")), "pairs")
-    more = _compare(pairs, sets, percent).unionByName(_compare_blocks(large, sets, percent))
-    again = materialise(more, "found")
-    release(spark, entries, tested, left, pairs, sets)
-    if not again.limit(1).count():
-        return labels
-    return components(found.unionByName(again))
+    third = materialise(_untested(crossing.select(F.col("second").alias("leader"), "node"), tested), "pairs")
+    more = materialise(_compare(third, sets, percent).unionByName(_compare_blocks(large, sets, percent)), "found")
+    release(spark, entries, third, sets)
+    return components(found.unionByName(more)) if more.limit(1).count() else labels
 
 
 def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
