@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +83,12 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     for table in tables:
         drop_dir(spark, table._tessera_dir)
     spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, but: str) -> Iterator[None]:
+    """Drop, at the end, all folders that work_dir() gave within the block."""
+    known = {*_written, but}
+    yield
+    for path in set(_written) - known:
+        drop_dir(spark, path)
