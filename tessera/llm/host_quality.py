@@ -2,7 +2,8 @@
 
 Each document is measured, the rules' failures are counted by host, each host's failure rates
 are shrunk towards a beta prior fitted to all hosts (method of moments), and the verdict on a
-host is joined back to its documents.
+host is joined back to its documents. What a host may fail is taken from the same prior: a host
+is rejected where a shrunk rate is a multiple of what hosts fail on average.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import materialise
+from tessera.llm.common import free_names, materialise, named
 from tessera.llm.words import Texts, Words, encoded, grouped, mixed, slices
 
 #: Characters that count as symbols.
@@ -33,8 +35,11 @@ RULES = {
     "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
 }
 BASE = ("short", "repeats")
-#: A host is rejected when the shrunk failure rate of some rule is above this.
-HOST_LIMIT = 0.5
+#: A host is rejected when the shrunk failure rate of some rule is above so many times the prior's mean,
+#: a limit that is held between the two others.
+HOST_TIMES, HOST_LEAST, HOST_MOST = 3.0, 0.25, 0.5
+#: Rejected hosts are broadcast up to this count, and joined by a shuffle beyond it.
+BROADCAST_HOSTS = 200_000
 
 
 def repeated_words(words: Words, n_docs: int, width: int = 3) -> np.ndarray:
@@ -71,9 +76,11 @@ def duplicate_lines(texts: Texts) -> np.ndarray:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column of each batch is a text; its MEASURES stand in its place, the other columns stay."""
     for batch in batches:
-        for part in slices(batch, "__text"):
-            texts = Texts(part.column("__text"))
+        text = batch.schema.names[-1]
+        for part in slices(batch, text):
+            texts = Texts(part.column(text))
             words = Words(texts)
             values = (
                 words.per_doc,
@@ -82,40 +89,42 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 duplicate_lines(texts),
                 repeated_words(words, texts.n),
             )
-            columns = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "__text"]
-            names = [n for n in part.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v.astype(np.int64)) for v in values)], names=[*names, *MEASURES])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(v.astype(np.int64)) for v in values)], names=[*part.schema.names[:-1], *MEASURES])
 
 
 def measure(docs: DataFrame, ident: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """ident, host and the MEASURES of each row's whole text; null counts as empty."""
-    slim = docs.select(F.col(ident).alias("__ident"), F.col(host).alias("__host"), F.col(text).alias("__text"))
+    """__ident, __host and the MEASURES of each row's whole text; null counts as empty."""
+    slim = docs.select(named(ident).alias("__ident"), named(host).alias("__host"), named(text).alias("__text"))
     shape = f"__ident {slim.schema['__ident'].dataType.simpleString()}, __host {slim.schema['__host'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
     return slim.mapInArrow(_measured, shape)
 
 
-def host_verdicts(measured: DataFrame, rules: dict[str, str] | None = None, limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(measured: DataFrame, rules: dict[str, str] | None = None, times: float = HOST_TIMES, least: float = HOST_LEAST, most: float = HOST_MOST) -> DataFrame:
     """For each host: docs, shrunk_<rule> for each rule, host_rejected.
 
     The prior of a rule is Beta(m k, (1 - m) k) with the mean m and variance v of the hosts'
-    rates and k = m (1 - m) / v - 1, at least 1; equal rates of all hosts give k = 1000.
+    rates and k = m (1 - m) / v - 1, at least 1; equal rates of all hosts give k = 1000. A host is
+    rejected where a shrunk rate is above times x m, held between least and most.
     """
     rules = rules or RULES
     counts = measured.groupBy("__host").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(F.expr(f"CASE WHEN {sql} THEN 1 ELSE 0 END")).alias(f"__f_{name}") for name, sql in rules.items()))
     rate = lambda name: F.col(f"__f_{name}") / F.col("docs")
     prior = counts.agg(*(f for name in rules for f in (F.avg(rate(name)).alias(f"m_{name}"), F.var_pop(rate(name)).alias(f"v_{name}")))).first()
+    mean = {name: prior[f"m_{name}"] or 0.0 for name in rules}
 
     def shrunk(name: str) -> Column:
-        m, v = prior[f"m_{name}"] or 0.0, prior[f"v_{name}"] or 0.0
+        m, v = mean[name], prior[f"v_{name}"] or 0.0
         k = max(1.0, m * (1 - m) / v - 1) if v > 0 else 1000.0
         return (F.col(f"__f_{name}") + m * k) / (F.col("docs") + k)
 
     rated = counts.select("__host", "docs", *(shrunk(name).alias(f"shrunk_{name}") for name in rules))
-    worst = F.greatest(*(F.col(f"shrunk_{name}") for name in rules)) if len(rules) > 1 else F.col(f"shrunk_{next(iter(rules))}")
-    return rated.withColumn("host_rejected", F.coalesce(worst > limit, F.lit(False)))
+    above = F.lit(False)
+    for name in rules:
+        above = above | (F.col(f"shrunk_{name}") > max(least, min(most, times * mean[name])))
+    return rated.withColumn("host_rejected", F.coalesce(above, F.lit(False)))
 
 
-def quality(docs: DataFrame, ident: str = "doc_id", host: str = "source", text: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
+def quality(docs: DataFrame, ident: str = "doc_id", host: str = "source", text: str = "text", **limits: float) -> DataFrame:
     """ident, the MEASURES, base_failed, kept and host_rejected for each row of docs.
 
     kept is false for a document that fails a base rule or whose host is rejected. Null texts
@@ -123,7 +132,7 @@ def quality(docs: DataFrame, ident: str = "doc_id", host: str = "source", text:
     measured each; an empty table gives an empty result; other columns are not looked at.
     """
     measured = materialise(measure(docs, ident, host, text), "quality")
-    verdicts = host_verdicts(measured, limit=limit).withColumnRenamed("__host", "__verdict_host")
+    verdicts = host_verdicts(measured, **limits).withColumnRenamed("__host", "__verdict_host")
     failed = F.expr(" OR ".join(f"({RULES[name]})" for name in BASE))
     return measured.join(verdicts, F.col("__host").eqNullSafe(F.col("__verdict_host")), "left").select(
         F.col("__ident").alias(ident),
@@ -134,27 +143,24 @@ def quality(docs: DataFrame, ident: str = "doc_id", host: str = "source", text:
     )
 
 
-def keep_good(docs: DataFrame, host: str = "source", text: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of docs that quality() keeps, with their columns.
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text", **limits: float) -> DataFrame:
+    """The rows of docs that quality() keeps, with their columns, whatever these are named.
 
-    The measures travel beside the rows of a written table, so that neither repeated nor null
-    identifiers matter; hosts are few or many, and the join is Spark's choice.
+    Hosts are judged in a first pass over the texts; a second one measures each row again beside
+    its columns, so that no text is written or shuffled, and repeated and null identifiers don't
+    matter. Nulls, repeated rows and empty tables are as in quality().
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    beside = docs.withColumns({"__host": F.col(host), "__text": F.col(text)})
-    shape = f"{fields}, __host {beside.schema['__host'].dataType.simpleString()}, " + ", ".join(f"__q_{m} long" for m in MEASURES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in _measured(batches):
-            yield out.rename_columns([f"__q_{n}" if n in MEASURES and i >= out.num_columns - len(MEASURES) else n for i, n in enumerate(out.schema.names)])
-
-    measured = materialise(beside.mapInArrow(run, shape), "quality-rows")
-    plain = measured.select("__host", *(F.col(f"__q_{m}").alias(m) for m in MEASURES))
-    rejected = host_verdicts(plain, limit=limit).where("host_rejected").select(F.col("__host").alias("__rejected_host"))
-    failed = " OR ".join(f"({RULES[name]})" for name in BASE)
-    for m in MEASURES:
-        failed = failed.replace(m, f"__q_{m}")
-    return measured.where(~F.expr(failed)).join(rejected, F.col("__host").eqNullSafe(F.col("__rejected_host")), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    row, own_host, own_text, rejected_host = free_names(docs, "row", "host", "text", "rejected")
+    judged = docs.select(named(host).alias("__host"), named(text).alias("__text"))
+    measured = judged.mapInArrow(_measured, StructType([judged.schema["__host"], *(StructField(m, LongType()) for m in MEASURES)]))
+    verdicts = host_verdicts(measured, **limits)
+    rejected = materialise(verdicts.where("host_rejected").select(F.col("__host").alias(rejected_host)), "rejected")
+    rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_HOSTS else rejected
+    beside = docs.select(F.struct(*map(named, docs.columns)).alias(row), named(host).alias(own_host), named(text).alias(own_text))
+    shape = StructType([beside.schema[row], beside.schema[own_host], *(StructField(m, LongType()) for m in MEASURES)])
+    failed = F.expr(" OR ".join(f"({RULES[name]})" for name in BASE))
+    good = beside.mapInArrow(_measured, shape).where(~failed)
+    return good.join(rejected, F.col(own_host).eqNullSafe(F.col(rejected_host)), "left_anti").select(*(F.col(row)[c].alias(c) for c in docs.columns))
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +193,7 @@ counts AS (
   FROM m GROUP BY host),
 prior AS (SELECT {", ".join(f"avg(f_{n} / docs) AS m_{n}, var_pop(f_{n} / docs) AS v_{n}" for n in RULES)} FROM counts),
 verdicts AS (
-  SELECT host, greatest({", ".join(f"(f_{n} + m_{n} * k_{n}) / (docs + k_{n})" for n in RULES)}) > {HOST_LIMIT} AS host_rejected
+  SELECT host, {" OR ".join(f"(f_{n} + m_{n} * k_{n}) / (docs + k_{n}) > greatest({HOST_LEAST}, least({HOST_MOST}, {HOST_TIMES} * m_{n}))" for n in RULES)} AS host_rejected
   FROM (SELECT *, {", ".join(f"CASE WHEN v_{n} > 0 THEN greatest(1.0, m_{n} * (1 - m_{n}) / v_{n} - 1) ELSE 1000.0 END AS k_{n}" for n in RULES)} FROM counts, prior))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        ({RULES["short"]} OR {RULES["repeats"]}) AS base_failed,
