@@ -1,10 +1,12 @@
 """Chat formatting from event logs.
 
 A log has events (conversation, seq, message, role, kind, text). Events are partitioned by
-conversation and message and sorted by seq; a fold of each message's deltas, edits and
+conversation, within it by message, and sorted by seq; a fold of each message's deltas, edits and
 regenerations gives its final text; messages are rendered one by one into turns of a template,
-whose pieces stand in the order of the messages. A conversation is so never held as a whole: a
-task holds one message, and a running state where turns are read in order.
+whose pieces stand in the order of the messages. An event changes its own message only, so the
+messages of a conversation that holds a third of a log are folded in many tasks, and a
+conversation is never held as a whole: a task holds one message, and a running state where turns
+are read in order.
 
 Template of a turn: <s>[ROLE]role[/ROLE]text</s>. Control strings inside roles and texts, and
 the escape character itself, are written as the escape character and a letter.
@@ -20,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
 #: Strings that a tokenizer may take for control, in this template or in others, by letter of their escape.
 CONTROL = {
     "a": "<s>", "b": "</s>", "c": "[INST]", "d": "[/INST]", "e": "<<SYS>>", "f": "<</SYS>>", "g": "[ROLE]", "h": "[/ROLE]",
@@ -163,6 +164,33 @@ def conversations_as_events(conversations: DataFrame) -> DataFrame:
     )
 
 
+def streamed(events: DataFrame) -> DataFrame:
+    """The same messages as a live log has them: as deltas, edits, regenerations and deletions.
+
+    events are whole messages. By msg modulo 4 an assistant's text comes as three deltas; as a
+    draft of two deltas, a regeneration and two deltas; as a draft and an edit; or as a delta, an
+    edit of it and a last delta. Others come whole, or as a draft and an edit. Beside every fourth
+    message stands one that is deleted again. Folding gives back what was streamed.
+    """
+    text, size = F.coalesce("text", F.lit("")), F.char_length(F.coalesce("text", F.lit("")))
+    third, half = (size / 3).cast("int"), (size / 2).cast("int")
+    part = lambda start, end: F.substring(text, start + 1, end - start)
+    one = lambda k, kind, said, msg=2 * F.col("msg"): F.struct((F.col("seq") * 8 + k).alias("seq"), msg.alias("msg"), F.lit(kind).alias("kind"), said.alias("text"))
+    draft, zero = F.concat(F.lit("draft: "), F.reverse(text)), F.lit(0)
+    ways = (
+        [one(0, "delta", part(zero, third)), one(1, "delta", part(third, 2 * third)), one(2, "delta", part(2 * third, size))],
+        [one(0, "delta", F.lit("draft")), one(1, "delta", part(half, size)), one(2, "regenerate", F.lit(None).cast("string")), one(3, "delta", part(zero, half)), one(4, "delta", part(half, size))],
+        [one(0, "message", draft), one(1, "edit", text)],
+        [one(0, "delta", draft), one(1, "edit", part(zero, half)), one(2, "delta", part(half, size))],
+    )
+    way = F.pmod("msg", F.lit(4))
+    learnt = F.when(way == 0, F.array(*ways[0])).when(way == 1, F.array(*ways[1])).when(way == 2, F.array(*ways[2])).otherwise(F.array(*ways[3]))
+    other = F.when(way < 2, F.array(one(0, "message", text))).otherwise(F.array(*ways[2]))
+    gone = F.when(way == 3, F.array(one(5, "message", draft, 2 * F.col("msg") + 1), one(6, "delete", F.lit(None).cast("string"), 2 * F.col("msg") + 1))).otherwise(F.array())
+    said = F.concat(F.when(F.col("role") == LEARNT_ROLE, learnt).otherwise(other), gone)
+    return events.select("conv_id", "role", F.explode(said).alias("e")).select("conv_id", "e.seq", "e.msg", "role", "e.kind", "e.text")
+
+
 def format_conversations(events: DataFrame) -> DataFrame:
     """The formatted pieces of a log's conversations, with where each begins in its conversation's string."""
     pieces = format_turns(fold_messages(events))
@@ -174,7 +202,7 @@ def op3_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(planted)
-    return digests(format_turns(fold_messages(conversations_as_events(conversations))))
+    return digests(format_turns(fold_messages(streamed(conversations_as_events(conversations)))))
 
 
 OP3_SQL = r"""
