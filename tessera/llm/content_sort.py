@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialise
+from tessera.llm.common import ascii_lower, materialise, named, release
 from tessera.session import partitions
 
 #: Leading bytes in a splitter, and sampled rows for each range.
@@ -40,7 +40,7 @@ def sampled_splitters(docs: DataFrame, ident: str, text: str, ranges: int) -> li
         return []
     share = min(1.0, SAMPLES_PER_RANGE * ranges / rows)
     sample = docs if share == 1.0 else docs.sample(share, seed=7)
-    keys = sorted((r["p"], r["h"], r["d"]) for r in sample.select(*_key(ascii_lower(F.col(text)), F.col(ident))).collect())
+    keys = sorted((r["p"], r["h"], r["d"]) for r in sample.select(*_key(ascii_lower(named(text)), named(ident))).collect())
     cuts = [keys[i * len(keys) // ranges] for i in range(1, ranges) if keys]
     return sorted(set(cuts))
 
@@ -53,35 +53,15 @@ def ranges_below(splitters: Column, key: Column, count: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(splitters, at + step - 1) <= key, at + step).otherwise(at))
 
 
-def content_sort(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep: str = "smallest", payload: bool = False, ranges: int | None = None) -> DataFrame:
-    """One row for each row of docs: ident, keep_id, group_size, kept, text_sha256 [, the columns of docs].
-
-    keep: which identifier of equal texts stays, "smallest" or "largest". Texts are equal when
-    identical after lower-casing A-Z; null counts as empty. Null identifiers sort lowest and stay
-    only in a group without others; of repeated rows with one identifier and text one is kept.
-    An empty table gives an empty result. With payload, the columns of docs are returned as they
-    are beside __keep_id, __group_size, __kept and __text_sha256.
-    """
-    spark = docs.sparkSession
-    ranges = ranges or partitions(spark)
-    cuts = sampled_splitters(docs.select(ident, text), ident, text, ranges)
-    shape = "array<struct<p:string,h:bigint,d:bigint>>"
-    cuts_json = json.dumps([{"p": p, "h": h, "d": d} for p, h, d in cuts])
-    splitters = F.from_json(F.lit(cuts_json), shape)
-    source = docs if payload else docs.select(F.col(ident).alias("__id"), ascii_lower(F.col(text)).alias("__norm"))
-    if payload:
-        source = docs.select("*", F.col(ident).alias("__id"))
-        norm = ascii_lower(F.col(text))
-    else:
-        norm = F.col("__norm")
+def _runs(source: DataFrame, cuts: list[tuple[str, int, int]], keep: str, only_kept: bool) -> DataFrame:
+    """The rows of source (__id, __norm [, __row]) in their ranges, with the run of equal texts that each is in."""
+    splitters = F.from_json(F.lit(json.dumps([{"p": p, "h": h, "d": d} for p, h, d in cuts])), "array<struct<p:string,h:bigint,d:bigint>>")
     dealt = (
-        source.withColumn("__key", F.struct(*_key(norm, F.col("__id"))))
+        source.withColumn("__key", F.struct(*_key(F.col("__norm"), F.col("__id"))))
         .withColumn("__range", ranges_below(splitters, F.col("__key"), len(cuts)))
         .repartitionById(len(cuts) + 1, F.col("__range"))
     )
     beside = lambda at: F.coalesce((F.get(splitters, at)["p"] == F.col("__key.p")) & (F.get(splitters, at)["h"] == F.col("__key.h")), F.lit(False))
-    if payload:
-        dealt = dealt.withColumn("__norm", norm)
     order = Window.partitionBy("__range").orderBy("__key.p", "__key.h", "__norm", F.col("__id").asc_nulls_first())
     runs = (
         dealt.withColumns(
@@ -100,27 +80,48 @@ def content_sort(docs: DataFrame, ident: str = "doc_id", text: str = "text", kee
     )
     of_run = Window.partitionBy("__range", "__run")
     chosen = F.min if keep == "smallest" else F.max
-    runs = materialise(runs.withColumns({"__keep": chosen("__id").over(of_run), "__n": F.count(F.lit(1)).over(of_run)}), "content-sort")
+    runs = runs.withColumns({"__keep": chosen("__id").over(of_run), "__n": F.count(F.lit(1)).over(of_run)})
+    if only_kept:  # the row that a group keeps is the one that its run keeps
+        runs = runs.withColumn("__row", F.when(F.col("__id").eqNullSafe(F.col("__keep")) & ~F.col("__repeat"), F.col("__row")))
+    return materialise(runs, "content-sort")
+
+
+def _sorted(docs: DataFrame, ident: str, text: str, keep: str, ranges: int | None, payload: bool, only_kept: bool = False) -> DataFrame:
+    cuts = sampled_splitters(docs.select(named(ident), named(text)), ident, text, ranges or partitions(docs.sparkSession))
+    row = [F.struct(*map(named, docs.columns)).alias("__row")] if payload else []
+    runs = _runs(docs.select(named(ident).alias("__id"), ascii_lower(named(text)).alias("__norm"), *row), cuts, keep, only_kept)
+    release(docs.sparkSession)
+    chosen = F.min if keep == "smallest" else F.max
     heads = runs.where(F.col("__cut_text").isNotNull()).select("__range", "__run", "__cut_text", "__keep", "__n")
     whole = heads.groupBy("__cut_text").agg(chosen("__keep").alias("__whole_keep"), F.sum("__n").alias("__whole_n"))
     # At most two runs a range are cut, of a few numbers each: the size is bound by the number of ranges.
     joined = F.broadcast(heads.join(whole, "__cut_text").select("__range", "__run", "__whole_keep", "__whole_n"))
     out = runs.join(joined, ["__range", "__run"], "left").withColumns(
         {
-            "__keep_id": F.when(F.col("__whole_n").isNotNull(), F.col("__whole_keep")).otherwise(F.col("__keep")),
-            "__group_size": F.coalesce("__whole_n", "__n"),
+            "keep_id": F.when(F.col("__whole_n").isNotNull(), F.col("__whole_keep")).otherwise(F.col("__keep")),
+            "group_size": F.coalesce("__whole_n", "__n"),
+            "text_sha256": F.col("__text_sha256"),
         }
     )
-    out = out.withColumn("__kept", F.col("__id").eqNullSafe(F.col("__keep_id")) & ~F.col("__repeat"))
-    if payload:
-        return out.select(*docs.columns, "__keep_id", "__group_size", "__kept", "__text_sha256")
-    return out.select(
-        F.col("__id").alias(ident),
-        F.col("__keep_id").alias("keep_id"),
-        F.col("__group_size").alias("group_size"),
-        F.col("__kept").alias("kept"),
-        F.col("__text_sha256").alias("text_sha256"),
-    )
+    return out.withColumn("kept", F.col("__id").eqNullSafe(F.col("keep_id")) & ~F.col("__repeat"))
+
+
+def content_sort(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep: str = "smallest", payload: bool = False, ranges: int | None = None) -> DataFrame:
+    """One row for each row of docs: ident, keep_id, group_size, kept, text_sha256; with payload, row beside the last four.
+
+    keep: which identifier of equal texts stays, "smallest" or "largest". Texts are equal when
+    identical after lower-casing A-Z; null counts as empty. Null identifiers sort lowest and stay
+    only in a group without others; of repeated rows with one identifier and text one is kept.
+    An empty table gives an empty result. row is a struct of docs' columns, whatever their names.
+    """
+    out = _sorted(docs, ident, text, keep, ranges, payload)
+    first = F.col("__row").alias("row") if payload else F.col("__id").alias(ident)
+    return out.select(first, "keep_id", "group_size", "kept", "text_sha256")
+
+
+def drop_equal(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep: str = "smallest", ranges: int | None = None) -> DataFrame:
+    """The rows of docs that content_sort() keeps, with docs' columns; only these rows are written after the sort."""
+    return _sorted(docs, ident, text, keep, ranges, True, only_kept=True).where("kept").select(*(F.col("__row")[c].alias(c) for c in docs.columns))
 
 
 def op6_content_sort(spark, sf_dir: str) -> DataFrame:

@@ -15,12 +15,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_PATTERN, materialise
+from tessera.llm.common import WORD_PATTERN, materialise, named
 
 #: Weights of the sources in code point order, repeating, and the share of all words that is taken.
 WEIGHTS, SHARE, MOST_ROUNDS = (5, 2, 1), 1.5, 2.0
 #: About so many rows of a source go to one range.
 RANGE_ROWS = 2_000
+#: The sources' numbers are broadcast up to this count, and joined by a shuffle beyond it.
+BROADCAST_SOURCES = 200_000
 
 
 def budgets(sizes: list[tuple], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, rounds: float = MOST_ROUNDS) -> dict:
@@ -47,23 +49,27 @@ def word_count(text: Column) -> Column:
 
 
 def plan_mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", payload: bool = False, **how) -> DataFrame:
-    """ident, size, source_size, target, taken for each row of docs [payload: docs' columns beside __size, __taken ...].
+    """ident, size, source_size, target, taken for each row of docs [payload: __row, a struct of docs' columns, beside __size, __taken].
 
     Null texts have size 0, null sources are one source, the last one. Repeated rows and equal
     keys are ordered by identifier and size; such rows are alike, so any order gives the same
     rows. A source without words has target 0. An empty table gives an empty result. The sums of
     taken are the targets' whole parts.
     """
-    key = F.md5(F.concat(F.coalesce(F.col(ident).cast("string"), F.lit("")), F.lit(f":{seed}")))
-    columns = {"__size": word_count(F.col(text)), "__key": key, "__ident": F.col(ident), "__source": F.col(source)}
-    sized = materialise(docs.withColumns(columns) if payload else docs.select(*(v.alias(k) for k, v in columns.items())), "mix")
+    key = F.md5(F.concat(F.coalesce(named(ident).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    columns = {"__size": word_count(named(text)), "__key": key, "__ident": named(ident), "__source": named(source)}
+    if payload:
+        columns["__row"] = F.struct(*map(named, docs.columns))
+    sized = materialise(docs.select(*(v.alias(k) for k, v in columns.items())), "mix")
     sources = sized.groupBy("__source").agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()  # a row a source
     target = budgets([(r["__source"], r["size"]) for r in sources], **how)
     spark = docs.sparkSession
     shape = "__m_source string, __source_size long, __target double, __ranges int"
     per_source = spark.createDataFrame([(r["__source"], r["size"], float(target[r["__source"]]), max(1, math.ceil(r["rows"] / RANGE_ROWS))) for r in sources], shape)
     of = sized.schema["__source"].dataType
-    joined = sized.join(F.broadcast(per_source.withColumn("__m_source", F.col("__m_source").cast(of))), F.col("__source").eqNullSafe(F.col("__m_source"))).drop("__m_source")
+    per_source = per_source.withColumn("__m_source", F.col("__m_source").cast(of))
+    per_source = F.broadcast(per_source) if len(sources) <= BROADCAST_SOURCES else per_source
+    joined = sized.join(per_source, F.col("__source").eqNullSafe(F.col("__m_source"))).drop("__m_source")
     ranged = joined.withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * F.col("__ranges") / F.lit(2**32)).cast("int"))
     in_range = Window.partitionBy("__source", "__range").orderBy("__key", "__ident", "__size").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("__source", "__range").agg(F.sum("__size").alias("__range_size"))
@@ -77,7 +83,7 @@ def plan_mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", tex
     rest = budget - rounds * whole - (F.col("__before") + F.col("__within"))
     placed = placed.withColumn("__taken", rounds * F.col("__size") + F.least(F.greatest(rest, F.lit(0)), F.col("__size")))
     if payload:
-        return placed.select(*docs.columns, "__size", "__taken")
+        return placed.select("__row", "__size", "__taken")
     return placed.select(
         F.col("__ident").alias(ident),
         F.col("__size").alias("size"),
@@ -91,15 +97,16 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: st
     """The rows of docs as often as the mix takes them, with docs' columns.
 
     A document that the budget cuts also comes with its first words only, up to the cut;
-    documents without words are not in a mix that counts words.
+    documents without words are not in a mix that counts words. Columns may have any names.
     """
     planned = plan_mix(docs, ident, source, text, seed, payload=True, **how)
     copies = F.when(F.col("__size") > 0, F.ceil(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
     repeated = planned.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(F.col("__taken") > 0)
     part = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(part < F.col("__size"), F.array_join(F.slice(words, F.lit(1), part.cast("int")), "")).otherwise(F.col(text))
-    return repeated.withColumn(text, cut).select(*docs.columns)
+    whole = F.col("__row")[text]
+    words = F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(part < F.col("__size"), F.array_join(F.slice(words, F.lit(1), part.cast("int")), "")).otherwise(whole)
+    return repeated.select(*((cut if c == text else F.col("__row")[c]).alias(c) for c in docs.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from tessera.llm.common import named
 from tessera.llm.words import Texts, encoded, slices
 
 MARK = "▁"
@@ -303,6 +305,25 @@ def encode_pieces(docs: DataFrame, model: str, ident: str = "doc_id", text: str
     return slim.mapInArrow(run, f"ident {kind}, ids array<int>, n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean").withColumnRenamed("ident", ident)
 
 
+def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """The columns of encoded and the text of its array of ids, as a column named by text.
+
+    Byte pieces are joined to characters (U+FFFD for bytes that are none), markers become spaces,
+    and the one before the text is taken away. Null arrays give null, empty ones the empty text;
+    an empty table gives an empty result; a column of encoded that is named so is replaced.
+    """
+    slim = encoded.select(F.struct(*(named(c) for c in encoded.columns if c != text)).alias("row"), named(ids).cast("array<int>").alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(model)
+        for batch in batches:
+            texts = [None if x is None else pieces.decode(x) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    done = slim.mapInArrow(run, StructType([slim.schema["row"], StructField("text", StringType())]))
+    return done.select(*(F.col("row")[c].alias(c) for c in encoded.columns if c != text), F.col("text").alias(text))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

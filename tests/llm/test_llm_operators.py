@@ -204,7 +204,7 @@ def test_content_sort_matches_brute_force(spark, keep):
 
 def test_content_sort_returns_clashing_columns_and_empty_tables(spark):
     docs = docs_of(spark, EDGES).selectExpr("*", "doc_id AS keep_id", "text AS group_size", "1 AS kept")
-    out = content_sort.content_sort(docs, payload=True).where("__kept").select(*docs.columns)
+    out = content_sort.content_sort(docs, payload=True).where("kept").select("row.*")
     assert out.columns == docs.columns and out.count() == 5
     assert content_sort.content_sort(docs.limit(0)).count() == 0
 
