@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents.
+
+In every stage null texts count as empty, repeated rows are rows of their own until a stage that
+drops copies meets them, null identifiers and sources are allowed, an empty table gives an empty
+result, and columns beside those of documents are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -9,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import work_dir
-from tessera.llm.content_sort import content_sort
+from tessera.llm.common import drop_dir, scratch, work_dir
+from tessera.llm.content_sort import drop_equal
 from tessera.llm.host_quality import keep_good
 from tessera.llm.mixing import mix
 from tessera.llm.ngram_join import one_of_each
@@ -26,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised texts the one with the smallest doc_id."""
-    return content_sort(docs, keep="smallest", payload=True).where("__kept").select(*docs.columns)
+    return drop_equal(docs, keep="smallest")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. What a stage wrote for itself, and its predecessor's result, go once its own result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = work_dir(spark, f"stage-{name}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        with scratch(spark, but=path):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            drop_dir(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
