@@ -65,10 +65,28 @@ def _clean() -> None:
             return
 
 
+#: Arrow batches of whole texts while a table is written: rows and bytes at most.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for the actions within; the session's own settings are restored."""
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write a table in the shared folder and read it again."""
     path = work_dir(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._tessera_dir = path
     return table

@@ -123,7 +123,10 @@ def _token_counts(docs: DataFrame, width: int) -> DataFrame:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            rows = list(packed(np.sort(np.concatenate(held)), packs))
+            cells = np.concatenate(held)
+            held.clear()
+            cells.sort()
+            rows = list(packed(cells, packs))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["pack", "first", "width", "steps"])
 
         for batch in batches:
@@ -134,7 +137,7 @@ def _token_counts(docs: DataFrame, width: int) -> DataFrame:
                     n += len(token)
                 if n >= GATHERED:
                     yield flush()
-                    held, n = [], 0
+                    n = 0
         if held:
             yield flush()
 
