@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 # Fixed values of the cleaning rules.
 MIN_CHARS, MAX_CHARS = 64, 500_000
@@ -51,10 +52,15 @@ def cjk_count(text: Column) -> Column:
     return F.char_length(F.regexp_replace(text, f"[^{CJK}]", ""))
 
 
+@F.pandas_udf(IntegerType())
+def _top_char_count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda t: max(Counter(t).values(), default=0), na_action="ignore").astype("Int32")
+
+
 def top_char_count(text: Column) -> Column:
-    """Occurrences of the most common character."""
-    each = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.char_length(text) - F.char_length(F.replace(text, c, F.lit(""))))
-    return F.coalesce(F.array_max(each), F.lit(0))
+    """Occurrences of the most common character, in time in proportion to the text whatever its alphabet."""
+    return _top_char_count(text)
 
 
 def max_line_repeat(text: Column) -> Column:
@@ -137,6 +143,8 @@ def duration_label(seconds: Column) -> Column:
 
 TAGGED = r"(?s)<think>(.*?)</think>\s*<answer>(.*?)</answer>"
 FENCED = r"(?is)```(?:python|py|json|rust|rs|go|typescript|ts|csharp|c#|cs)?\s*\n?(.*?)```"
+#: Fences of teachers' answers and of code to run; FENCED is that of responses.
+CODE_FENCED, RUN_FENCED = r"(?is)```(?:python|py|json)?\s*\n?(.*?)```", r"(?s)```(?:python|py)?\s*\n?(.*?)```"
 NUMBER = r"-?\d+(?:\.\d+)?"
 REFUSAL = r"(?i)\b(?:i\s+(?:can'?t|cannot|won'?t)\s+help|sorry[, ]+i\s+(?:can'?t|cannot)|i(?:'| a)?m sorry)\b"
 FALLBACK = r"(?is)\b(?:normalized from teacher output|def\s+solve\(\).*return\s+None|i\s+(?:can'?t|cannot|won'?t)\s+help|sorry[, ]+i\s+(?:can'?t|cannot))\b"
@@ -149,8 +157,9 @@ def tagged_answer(response: Column) -> Column:
     return F.when(sound, answer)
 
 
-def unfenced(response: Column) -> Column:
-    return strip_u(F.when(response.rlike(FENCED), F.regexp_extract(response, FENCED, 1)).otherwise(response))
+def unfenced(response: Column, fence: str = FENCED) -> Column:
+    """The first fenced block, or the whole without one."""
+    return strip_u(F.when(response.rlike(fence), F.regexp_extract(response, fence, 1)).otherwise(response))
 
 
 def last_number(text: Column) -> Column:
