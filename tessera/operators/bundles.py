@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import verifiers as V
+from tessera.operators.order import with_running
+from tessera.session import checkpoint
 
 # Fixed values of the record rules.
 LANES = ("detection", "code", "math", "stem_reasoning", "tool_use")
@@ -14,7 +16,7 @@ MIN_RESPONSE = {"code": 48, "math": 32, "stem_reasoning": 40, "tool_use": 16}
 MIN_REFERENCE = {"code": 12, "math": 1, "stem_reasoning": 1, "tool_use": 16}
 SCHEMA_RATE, VERIFIER_RATE, MOST_ONE_ANSWER = 0.98, 0.85, 0.60
 DESTRUCTIVE = r"(?i)(remove-item|rm -rf|del /|format |drop table|delete from|git reset --hard)"
-PLACEHOLDER = r"(?i)\bOption\s+[A-E]\b"
+PLACEHOLDER = r"(?i)^[A-E]\.\s*Option\s+[A-E]\s*$"
 
 
 def least_length(lane: Column, table: dict[str, int]) -> Column:
@@ -29,8 +31,8 @@ def zero_answer(answer: Column) -> Column:
 
 
 def concrete(json_text: Column) -> Column:
-    """Some value inside is a non-blank string, a number or a boolean."""
-    return F.coalesce(json_text.rlike(r'(:|\[|,)\s*("[^"]*[^"\s][^"]*"\s*[,\]}]|-?\d|true|false)'), F.lit(False))
+    """Some value inside, at any depth, is a non-blank string, a number or a boolean."""
+    return V.concrete_json(json_text)
 
 
 def destructive(arguments: Column) -> Column:
@@ -102,13 +104,16 @@ def code_reason(code: Column, verifier: Column, language: Column, task: Column,
 
 
 def reject_duplicates(rows: DataFrame, order: str, text: str = "text", prompt: str = "prompt", reason: str = "reason") -> DataFrame:
-    """duplicate_text, then duplicate_prompt among those left; only rows accepted so far count as seen."""
-    marked = rows
-    for column, label in ((text, "duplicate_text"), (prompt, "duplicate_prompt")):
-        keyed = marked.withColumn("__k", F.when(F.col(reason).isNull(), F.sha1(T.fingerprint(F.col(column)))))
+    """order, reason: duplicate_text, then duplicate_prompt among those left; only rows accepted so far count as seen.
+
+    Texts are read once, for their digests; what is joined afterwards is small rows.
+    """
+    marked = checkpoint(rows.select(order, reason, *(F.sha1(T.fingerprint(F.col(c))).alias(k) for c, k in ((text, "__t"), (prompt, "__p")))))
+    for key, label in (("__t", "duplicate_text"), ("__p", "duplicate_prompt")):
+        keyed = marked.withColumn("__k", F.when(F.col(reason).isNull(), F.col(key)))
         first = keyed.where(F.col("__k").isNotNull()).groupBy("__k").agg(F.min(order).alias("__first"))
         marked = keyed.join(first, "__k", "left").withColumn(reason, F.when(F.col("__k").isNotNull() & (F.col(order) > F.col("__first")), label).otherwise(F.col(reason))).drop("__k", "__first")
-    return marked
+    return marked.select(order, reason)
 
 
 def bundle_summary(records: DataFrame) -> DataFrame:
@@ -163,8 +168,7 @@ def failure_contrast(rows: DataFrame, failures: Column, score: Column) -> DataFr
 
 def reached_target(sizes: DataFrame, size: str, group: list[str], order: str, target: int) -> DataFrame:
     """Rows until the group's running size reaches the target."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("__b", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("__b") < target).drop("__b")
+    return with_running(sizes, size, group, [order], "__b").where(F.col("__b") < target).drop("__b")
 
 
 def stage_gate(lanes: DataFrame, required: int, least_records: int) -> DataFrame:

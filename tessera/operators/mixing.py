@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.order import with_ordinal
+from tessera.operators.order import with_ordinal, with_running
 
 
 def weighted_copies(ordinal: Column, weight: float) -> Column:
@@ -20,8 +20,7 @@ def weighted_repeat(df: DataFrame, weight: float, ordinal: str = "ord") -> DataF
 
 
 def running_before(df: DataFrame, size: str, group: list[str], order: list[str], name: str = "before") -> DataFrame:
-    window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(size).over(window), F.lit(0)))
+    return with_running(df, size, group, order, name)
 
 
 def byte_budget(df: DataFrame, size: str, group: list[str], order: list[str], budget: int) -> DataFrame:
@@ -74,3 +73,29 @@ def windows(df: DataFrame, tokens: str, width: int, stride: int | None = None) -
     count = F.floor((F.size(tokens) - (width + 1)) / F.lit(stride)).cast("int") + 1
     some = df.where(F.size(tokens) >= width + 1).withColumn("window", F.explode(F.sequence(F.lit(0), count - 1)))
     return some.withColumn(tokens, F.slice(F.col(tokens), F.col("window") * stride + 1, F.lit(width)))
+
+
+def with_end(tokens: Column, last: Column, end: Column) -> Column:
+    """A chunk's tokens, with the end id behind a document's last chunk."""
+    return F.when(last, F.array_append(tokens, end)).otherwise(tokens)
+
+
+def token_tail(df: DataFrame, size: str, order: list[str], fraction: float) -> DataFrame:
+    """train, val: how many of each row's tokens stand before the last int(total * fraction) of all, and in them.
+
+    Rows are numbered by a range sort; sizes are added up by ranges of rows, and within a range,
+    so no task sees all rows.
+    """
+    numbered = with_ordinal(df, order, name="__ord").withColumn("__range", F.floor(F.col("__ord") / 10_000))
+    sums = numbered.groupBy("__range").agg(F.sum(size).alias("__sum"))
+    upto = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a number for each 10,000 rows
+    total = upto.agg(F.sum("__sum")).first()[0] or 0
+    within = F.coalesce(F.sum(size).over(Window.partitionBy("__range").orderBy("__ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = numbered.withColumn("__within", within).join(upto.select("__range", "__before"), "__range")
+    train = F.least(F.col(size), F.greatest(F.lit(0), F.lit(total - int(total * fraction)) - F.col("__before") - F.col("__within"))).cast("long")
+    return placed.withColumn("train", train).withColumn("val", F.col(size) - F.col("train")).drop("__ord", "__range", "__within", "__before")
+
+
+def tightened(own: Column, limit: Column) -> Column:
+    """The smaller of a source's own limit and another; a missing one doesn't count."""
+    return F.least(own, limit)

@@ -8,24 +8,52 @@ from pyspark.sql import functions as F
 from tessera.session import checkpoint
 
 
+def ranged(df: DataFrame, keys: list[str | Column]) -> DataFrame:
+    """The rows range-sorted by keys, with their range (__part) and their place in it (__at), as a checkpoint: sorting anew may cut the ranges elsewhere."""
+    numbered = df.orderBy(*keys).withColumn("__part", F.spark_partition_id())
+    return checkpoint(numbered.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)))
+
+
+def _with_range_totals(rows: DataFrame, group: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Beside each of the ranged() rows, what its group has in its range (totals) and, as before_<name>, in the ranges before it.
+
+    A range has few groups or a group has few ranges, so the totals are a small table whatever
+    group is hot; it is joined back by Spark's choice.
+    """
+    each = rows.groupBy("__part", *group).agg(*(c.alias(name) for name, c in totals.items()))
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumns({f"before_{name}": F.coalesce(F.sum(name).over(earlier), F.lit(0)) for name in totals if not name.endswith("_first")})
+    other = each.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), *(c for c in each.columns if c != "__part" and c not in group))
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return rows.join(other, same).drop("__p", *(f"__g{i}" for i in range(len(group))))
+
+
 def with_ordinal(df: DataFrame, keys: list[str | Column], partition: list[str] | None = None, name: str = "ord") -> DataFrame:
     """1-based ordinal within each partition (or globally) in the order of keys.
 
-    The global form numbers range-sorted partitions and adds the rows of the partitions before,
-    so no task sees all rows. The sorted rows are a checkpoint: sorting anew may cut the ranges
-    elsewhere.
+    Rows are range-sorted and numbered by their place in their range, after the rows of the ranges
+    before, so neither all rows nor a partition of any size is one task.
     """
     if partition:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*keys)).cast("long"))
-    sorted_rows = df.orderBy(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
-    sorted_rows = checkpoint(sorted_rows)
-    counts = {r["__part"]: r["n"] for r in sorted_rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+        rows = _with_range_totals(ranged(df, [*partition, *keys]), partition, {"__n": F.count(F.lit(1)), "__n_first": F.min("__at")})
+        return rows.withColumn(name, F.col("before___n") + F.col("__at") - F.col("__n_first") + 1).drop("__part", "__at", "__n", "__n_first", "before___n")
+    rows = ranged(df, keys)
+    counts = {r["__part"]: r["n"] for r in rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
     before, total = [], 0
     for part in range(max(counts, default=-1) + 1):
         before.append(total)
         total += counts.get(part, 0)
     starts = F.array(*map(F.lit, before)) if before else F.array(F.lit(0))
-    return sorted_rows.withColumn(name, F.get(starts.cast("array<bigint>"), F.col("__part")) + F.col("__at") + 1).drop("__part", "__at")
+    return rows.withColumn(name, F.get(starts.cast("array<bigint>"), F.col("__part")) + F.col("__at") + 1).drop("__part", "__at")
+
+
+def with_running(df: DataFrame, size: str, group: list[str], order: list[str], name: str = "before") -> DataFrame:
+    """The sizes of the group's rows before each row in order: sums by ranges, and within a range."""
+    rows = _with_range_totals(ranged(df, [*group, *order]), group, {"__s": F.sum(size)})
+    within = F.sum(size).over(Window.partitionBy("__part", *group).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn(name, F.col("before___s") + F.coalesce(within, F.lit(0))).drop("__part", "__at", "__s", "before___s")
 
 
 def first_wins(df: DataFrame, key: list[str], order: str, payload: list[str]) -> DataFrame:
