@@ -92,34 +92,81 @@ def code_rules(spark, d):
     return table(spark, d, "benchmark").select("item_id", B.code_reason(code, verifier, F.lit("python"), F.lit("python_exec"), code, verifier).alias("reason"))
 
 
-@query("failure_contrast", "SELECT 2 * count(*) AS failures, 1.0::DOUBLE AS expected_zero_rate FROM benchmark")
+@query("failure_contrast", """SELECT 2 * count(*) AS failures, round((count(*) + count(*) FILTER (item_id % 5 <> 0)) / (2.0 * count(*)), 6) AS expected_zero_rate FROM benchmark""")
 def failure_contrast(spark, d):
-    """Two bad answers of each item, scored; the share that scores 0 as it should."""
-    bad = F.array(*(F.struct(F.concat(F.lit("<think>guessing here</think><answer>"), (F.col("item_id") + k).cast("string"), F.lit("</answer>")).alias("bad_response"), F.lit(f"off_by_{k}").alias("label")) for k in (1, 2)))
-    score = V.exact_math(F.col("bad_response"), F.col("item_id").cast("string"))
+    """Two bad answers of each item, scored; the share that scores 0 as it should. Every fifth item's second answer isn't bad."""
+    i = F.col("item_id")
+    off = (F.lit(1), i % 5)
+    bad = F.array(*(F.struct(F.concat(F.lit("<think>guessing here</think><answer>"), (i + k).cast("string"), F.lit("</answer>")).alias("bad_response"), F.lit(label).alias("label")) for k, label in zip(off, ("off_by_one", "off_by_rest"), strict=True)))
+    score = V.exact_math(F.col("bad_response"), i.cast("string"))
     rows = B.failure_contrast(table(spark, d, "benchmark").select("item_id"), bad, score)
-    return rows.agg(F.count(F.lit(1)).alias("failures"), F.avg((F.col("observed_score") == 0).cast("double")).alias("expected_zero_rate"))
+    return rows.agg(F.count(F.lit(1)).alias("failures"), F.round(F.avg((F.col("observed_score") == 0).cast("double")), 6).alias("expected_zero_rate"))
 
 
-@query("generated_bundle", "SELECT 'math' AS lane, 512::BIGINT AS records, 1.0::DOUBLE AS pass_rate, 52::BIGINT AS val UNION ALL SELECT 'tool_use', 512, 1.0, 52")
+@query("generated_bundle", """WITH n AS (SELECT count(*) AS n FROM benchmark)
+  SELECT lane, n AS records, round(1 - ((n + 3) // 7) / n, 6) AS pass_rate, (n + 9) // 10 AS val FROM n, (VALUES ('math'), ('tool_use')) l(lane)""")
 def generated_bundle(spark, d):
-    """512 records a lane: verifier pass rate and the tenth that is validation."""
-    out = None
+    """As many records a lane as there are items, every seventh with a reference that its response misses: pass rate, and the tenth that is validation."""
+    n, out = table(spark, d, "benchmark").count(), None
     for lane, verifier in (("math", V.exact_math), ("tool_use", V.json_match)):
-        rows = G.as_records(G.generate(spark, lane, 512)).withColumn("score", verifier(F.col("response"), F.col("reference")))
-        one = rows.agg(F.lit(lane).alias("lane"), F.count(F.lit(1)).alias("records"), F.avg("score").alias("pass_rate"), F.count_if(F.col("idx") % 10 == 0).alias("val"))
+        spoilt = F.when(F.col("idx") % 7 == 3, F.lit('["other"]')).otherwise(F.col("reference"))
+        rows = G.as_records(G.generate(spark, lane, n)).withColumn("score", verifier(F.col("response"), spoilt))
+        one = rows.agg(F.lit(lane).alias("lane"), F.count(F.lit(1)).alias("records"), F.round(F.avg("score"), 6).alias("pass_rate"), F.count_if(F.col("idx") % 10 == 0).alias("val"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("stage_gate", "SELECT 4::BIGINT AS lanes, false AS all_ok, false AS skip")
+_OK = "bool_and(records >= 10 AND rate >= 1 AND duplicates = 0)"
+
+
+@query("stage_gate", f"""WITH l AS (SELECT lang, count(*) AS records, count(*) - count(DISTINCT text) AS duplicates, avg((length(text) > 0)::INT) AS rate FROM documents GROUP BY 1),
+  u AS (SELECT lang, count(*) AS records, 0 AS duplicates, 1.0 AS rate FROM (SELECT DISTINCT lang, text FROM documents WHERE length(text) > 0) GROUP BY 1)
+  SELECT 'all' AS input, count(*) AS lanes, {_OK} AS all_ok, count(*) >= 4 AND {_OK} AS skip FROM l UNION ALL SELECT 'distinct', count(*), {_OK}, count(*) >= 4 AND {_OK} FROM u""")
 def stage_gate(spark, d):
-    lanes = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("records"), (F.count(F.lit(1)) - F.countDistinct("text")).alias("duplicates"), F.lit(1.0).alias("verifier_pass_rate"))
-    return B.stage_gate(lanes, 4, 10)
+    """The languages as lanes: all documents, and distinct texts only."""
+    docs, n = table(spark, d, "documents").select("lang", "text"), F.count(F.lit(1))
+    out = None
+    for name, rows in (("all", docs), ("distinct", docs.where("length(text) > 0").distinct())):
+        lanes = rows.groupBy("lang").agg(n.alias("records"), (n - F.countDistinct("text")).alias("duplicates"), F.avg((F.char_length("text") > 0).cast("int")).alias("verifier_pass_rate"))
+        one = B.stage_gate(lanes, 4, 10).select(F.lit(name).alias("input"), "lanes", "all_ok", "skip")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("preference_scores", "SELECT 1.0::DOUBLE AS chosen_min, 0.0::DOUBLE AS rejected_max, 64::BIGINT AS pairs")
+@query("preference_scores", "SELECT (count(*) - count(*) FILTER (item_id % 4 = 0))::DOUBLE AS chosen_right, (count(*) FILTER (item_id % 4 = 0))::DOUBLE AS rejected_right, count(*) AS pairs FROM (SELECT row_number() OVER () - 1 AS item_id FROM benchmark)")
 def preference_scores(spark, d):
-    p = G.preference_pairs(spark, 64)
-    reference = F.element_at(F.split("chosen", " = "), -1)
-    return p.agg(F.min(V.gsm8k(F.col("chosen"), reference)).alias("chosen_min"), F.max(V.gsm8k(F.col("rejected"), reference)).alias("rejected_max"), F.count(F.lit(1)).alias("pairs"))
+    """As many pairs as there are items, every fourth the wrong way round."""
+    p = G.preference_pairs(spark, table(spark, d, "benchmark").count())
+    gold, swapped = F.element_at(F.split("chosen", " = "), -1), F.col("idx") % 4 == 0
+    score = lambda a, b: V.gsm8k(F.when(swapped, F.col(b)).otherwise(F.col(a)), gold)
+    return p.agg(F.sum(score("chosen", "rejected")).alias("chosen_right"), F.sum(score("rejected", "chosen")).alias("rejected_right"), F.count(F.lit(1)).alias("pairs"))
+
+
+def _stem(item):
+    """A question with four choices whose right letter follows the item's number; some break one rule each."""
+    k, letter = item % 8, F.substring(F.lit("ABCD"), (item % 4 + 1).cast("int"), F.lit(1))
+    question = F.when(k == 1, "short?").otherwise(F.lit("Which of these statements on the motion of a pendulum is right for small swings?"))
+    bodies = ("its period grows with the mass", "its period depends on its length", "its speed is the same throughout", "its energy is lost at the turns")
+    choices = F.array(*(F.when(k == 2, f"{x}. Option {x}").when(k == 3, f"{x}. no").when(k == 4, f"{x}. not Option A but {b}").otherwise(f"{x}. {b}") for x, b in zip("ABCD", bodies, strict=True)))
+    final = F.when(k == 5, "E").when(k == 6, F.substring(F.lit("BCDA"), (item % 4 + 1).cast("int"), F.lit(1))).otherwise(letter)
+    said = F.when(k == 7, "Z").otherwise(final)
+    return question, F.lit("The period is two pi times the root of length over gravity, so mass plays no part."), choices, final, final, F.concat(F.lit("<think>as derived</think><answer>"), said, F.lit("</answer>"))
+
+
+@query("stem_rules", """SELECT item_id, CASE item_id % 8 WHEN 1 THEN 'too_shallow_stem_reasoning' WHEN 2 THEN 'placeholder_stem_choices' WHEN 3 THEN 'too_short_stem_choice'
+  WHEN 5 THEN 'invalid_stem_choice' WHEN 6 THEN 'stem_answer_distribution_mismatch' WHEN 7 THEN 'verifier_failed_stem' END AS reason FROM benchmark""")
+def stem_rules(spark, d):
+    i = F.col("item_id")
+    question, reasoning, choices, final, reference, response = _stem(i)
+    return table(spark, d, "benchmark").select("item_id", B.stem_reason(question, reasoning, choices, final, reference, response, i).alias("reason"))
+
+
+@query("math_rules", """SELECT item_id, CASE WHEN item_id % 10 = 0 THEN 'fallback_zero_answer' WHEN length(trim(text)) < 40 THEN 'too_shallow_math_reasoning' WHEN item_id % 3 = 0 THEN 'verifier_failed_math' END AS reason
+  FROM benchmark""")
+def math_rules(spark, d):
+    """Items as questions whose answer is the last digit of their number; every third response is off by one."""
+    i = F.col("item_id")
+    final = (i % 10).cast("string")
+    said = F.concat(F.lit("<think>adding up all that is given</think><answer>"), F.when(i % 3 == 0, i % 10 + 1).otherwise(i % 10), F.lit("</answer>"))
+    reasoning = F.lit("We add the numbers that are given one after another and keep the last digit.")
+    return table(spark, d, "benchmark").select("item_id", B.math_reason(F.col("text"), reasoning, final, said, final).alias("reason"))

@@ -98,7 +98,7 @@ def benchmark_cases(spark, d):
     return out.select("benchmark", "task", F.sha1("prompt").alias("prompt_sha1"), "reference")
 
 
-@query("source_wrap", "SELECT doc_id, 'org__set-' || source AS file, source AS source_repo_id, 'code' AS lane, 'sampled' AS status FROM documents WHERE doc_id % 50 = 7")
+@query("source_wrap", "SELECT doc_id, 'org__set-' || source AS file, source AS source_repo_id, 'code' AS lane, 'sampled' AS status FROM documents")
 def source_wrap(spark, d):
     """Every document as a fetched row with its source's metadata."""
     return table(spark, d, "documents").select("doc_id", T.file_safe(F.concat(F.lit("org/set-"), F.col("source"))).alias("file"), F.col("source").alias("source_repo_id"), F.lit("code").alias("lane"), F.lit("sampled").alias("status"))
@@ -171,7 +171,9 @@ def verify_mcq(spark, d):
     return table(spark, d, "documents").select("doc_id", V.multiple_choice(answer, F.substring(F.lit("ABCD"), (i % 3 + 1).cast("int"), F.lit(1))).alias("score"))
 
 
-@query("verify_code_spec", """SELECT doc_id, (length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 40 AND NOT regexp_matches(text, '(?i)\\b(todo|pass|return\\s+none)'))::DOUBLE AS score FROM documents WHERE NOT regexp_matches(text, '```')""")
+@query("verify_code_spec", """WITH f AS (SELECT doc_id, CASE WHEN regexp_matches(text, 'FENCE') THEN regexp_extract(text, 'FENCE', 1) ELSE text END AS t FROM documents),
+  c AS (SELECT doc_id, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS code FROM f)
+  SELECT doc_id, (length(code) >= 40 AND NOT regexp_matches(code, '(?i)\\b(todo|pass|return\\s+none)'))::DOUBLE AS score FROM c""".replace("FENCE", T.FENCED))
 def verify_code_spec(spark, d):
     return table(spark, d, "documents").select("doc_id", V.code_static_spec(F.col("text"), F.lit("it should return the sum of both numbers")).alias("score"))
 
@@ -194,19 +196,21 @@ def repeat_penalty(spark, d):
     return table(spark, d, "documents").select("doc_id", T.ngram_excess(F.col("text")).cast("long").alias("excess"))
 
 
-@query("verify_json_match", "SELECT event_id, 1.0::DOUBLE AS score FROM events")
+@query("verify_json_match", "SELECT event_id, (event_id % 3 <> 0)::INT::DOUBLE AS score FROM events")
 def verify_json_match(spark, d):
-    """Parsed equality, whatever the spacing."""
+    """Parsed equality, whatever the spacing; every third reference has one key more."""
     spaced = F.regexp_replace("props", r"\s", "")
-    return table(spark, d, "events").select("event_id", V.json_match(F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")), spaced).alias("score"))
+    reference = F.when(F.col("event_id") % 3 == 0, F.regexp_replace(spaced, r"\}$", ',"more":1}')).otherwise(spaced)
+    return table(spark, d, "events").select("event_id", V.json_match(F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")), reference).alias("score"))
 
 
-@query("verify_tool_call", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 1.0 WHEN event_id % 4 = 1 THEN 0.85 WHEN event_id % 4 = 2 THEN 0.49 ELSE 0.0 END AS score FROM events")
+@query("verify_tool_call", """WITH e AS (SELECT event_id, (event_id % 5 <> 0)::INT AS name, event_id % 7 = 0 AS safe, (event_type = 'click')::INT + (event_id % 3 = 1)::INT + (user_id % 2 = 0)::INT AS hits, 3 + (event_id % 7 = 0)::INT AS keys FROM events)
+  SELECT event_id, round(CASE WHEN name = 1 AND hits = keys THEN 1.0 WHEN safe THEN least(0.49, 0.35 * name + 0.35 + 0.3 * hits / keys) ELSE 0.35 * name + 0.35 + 0.3 * hits / keys END, 6) AS score FROM e""")
 def verify_tool_call(spark, d):
-    """Exact call; one of two arguments wrong (.35 + .15 + .20 + .15); a safety argument wrong; not JSON."""
-    gold = '{"tool_name": "mcp.read", "arguments": {"path": "a", "limit": 3}}'
-    safe = '{"tool_name": "mcp.read", "arguments": {"path": "a", "dry_run": true}}'
-    kind = F.col("event_id") % 4
-    answer = F.when(kind == 0, gold).when(kind == 1, gold.replace("3", "4")).when(kind == 2, safe.replace("true", "false")).otherwise("not json")
-    reference = F.when(kind == 2, safe).otherwise(gold)
-    return table(spark, d, "events").select("event_id", F.round(V.json_tool_call(answer, reference), 6).alias("score"))
+    """Calls that hit some of the wanted arguments; every fifth has another name, every seventh misses a safety argument."""
+    e = table(spark, d, "events")
+    safe = F.col("event_id") % 7 == 0
+    call = lambda name, kind, k, u, dry: F.to_json(F.struct(name.alias("tool_name"), F.struct(kind.alias("kind"), k.alias("k"), u.alias("u"), F.when(safe, dry).alias("dry_run")).alias("arguments")))
+    gold = call(F.lit("mcp.read"), F.col("event_type"), F.col("event_id") % 3, F.col("user_id") % 2, F.lit(True))
+    said = call(F.when(F.col("event_id") % 5 == 0, "mcp.write").otherwise("mcp.read"), F.lit("click"), F.lit(1), F.lit(0), F.lit(False))
+    return e.select("event_id", F.round(V.json_tool_call(said, gold), 6).alias("score"))

@@ -151,15 +151,21 @@ def run_complete(spark, d):
 _LINK = "sha256('{\"action\": \"' || event_type || '\", \"payload\": ' || props || ', \"prev_hash\": \"' || PREV || '\", \"ts\": ' || event_id || '}')"
 
 
-@query("hash_chain", f"""WITH a AS (SELECT user_id AS log, event_id AS ord, event_type, props, event_id, coalesce(lag(sha256(event_id::VARCHAR)) OVER (PARTITION BY user_id ORDER BY event_id), '') AS prev FROM events)
-  SELECT log, count(*) AS events, bool_and({_LINK.replace('PREV', 'prev')} IS NULL) AS valid FROM a GROUP BY log""")
+@query("hash_chain", f"""WITH a AS (SELECT event_id // 2 AS log, event_id AS ord, event_type, props, event_id, {_LINK.replace('PREV', "''")} AS h FROM events),
+  b AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY log ORDER BY ord), '') AS before FROM a),
+  c AS (SELECT *, {_LINK.replace('PREV', 'before')} AS hash, CASE WHEN log % 3 = 1 AND before <> '' THEN 'x' ELSE before END AS prev, CASE WHEN log % 3 = 2 THEN '{{}}' ELSE props END AS seen FROM b)
+  SELECT log, count(*) AS events, bool_and(prev = before AND seen = props) AS valid FROM c GROUP BY log""")
 def hash_chain(spark, d):
-    """A log whose hashes are of identifiers only: every link holds, no hash recomputes."""
+    """Logs of two events: a third is whole, in a third a link is cut, and in a third the payloads were changed afterwards."""
     from pyspark.sql import Window
 
-    e = table(spark, d, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("ts"), F.col("event_type").alias("action"), F.col("props").alias("payload"), F.sha2(F.col("event_id").cast("string"), 256).alias("hash"))
-    linked = e.withColumn("prev_hash", F.coalesce(F.lag("hash").over(Window.partitionBy("log").orderBy("ord")), F.lit("")))
-    return t.chain_valid(linked)
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 2).alias("log"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("ts"), F.col("event_type").alias("action"), F.col("props").alias("payload"))
+    link = lambda prev: t.chain_hash(F.col("ts"), F.col("action"), F.col("payload"), prev)
+    before = F.coalesce(F.lag("first").over(Window.partitionBy("log").orderBy("ord")), F.lit(""))
+    linked = e.withColumn("first", link(F.lit(""))).withColumn("before", before).withColumn("hash", link(F.col("before")))
+    kind = F.col("log") % 3
+    spoilt = linked.withColumn("prev_hash", F.when((kind == 1) & (F.col("before") != ""), "x").otherwise(F.col("before"))).withColumn("payload", F.when(kind == 2, "{}").otherwise(F.col("payload")))
+    return t.chain_valid(spoilt).select("log", "events", "valid")
 
 
 @query("chain_hashes", f"SELECT event_id, {_LINK.replace('PREV', 'props_prev')} AS hash FROM (SELECT *, 'p' || user_id AS props_prev FROM events)")
@@ -168,7 +174,7 @@ def chain_hashes(spark, d):
     return e.select("event_id", t.chain_hash(F.col("event_id").cast("string"), F.col("event_type"), F.col("props"), F.concat(F.lit("p"), F.col("user_id"))).alias("hash"))
 
 
-@query("stage_fill", """WITH s AS (SELECT DISTINCT n_name AS stage FROM nation), e AS (SELECT user_id % 25 AS nk, event_type, event_id FROM events WHERE user_id % 25 < 20),
+@query("stage_fill", """WITH s AS (SELECT DISTINCT n_name AS stage FROM nation), e AS (SELECT user_id % 25 AS nk, event_type, event_id FROM events),
   l AS (SELECT n.n_name AS stage, arg_max(event_type, event_id) AS status FROM e JOIN nation n ON n.n_nationkey = e.nk GROUP BY 1)
   SELECT stage, coalesce(status, 'marker') AS status FROM s LEFT JOIN l USING (stage)""")
 def stage_fill(spark, d):
