@@ -57,11 +57,24 @@ def drain(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     return query
 
 
-def drain_to_table(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run over what is there into a table in memory, for small aggregates."""
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drain_to_table(result: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run over what is there; the table as of the last batch is in files of the shared folder, not in the driver's memory."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return result.sparkSession.table(name)
+    return result.sparkSession.read.schema(result.schema).parquet(path)
+
+
+def refreshed(result: DataFrame, path: str, checkpoint: str, seconds: int = 5, mode: str = "complete") -> StreamingQuery:
+    """The same table, written anew every few seconds while the query runs; the caller stops it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -102,7 +102,7 @@ def test_streams(spark, tmp_path):
     folder.mkdir()
     (folder / "1.jsonl").write_text('{"ts": 1.0, "event": "a", "step": 1}\nbroken\n{"ts": 2.0, "event": "a", "step": 2}\n{"ts": 3.0, "event": "b", "step": 9}\n')
     stream = live.event_stream(spark, str(folder))
-    latest = live.drain_to_table(live.latest_state(stream, ["event"], "ts", ["step"]), "latest_test")
+    latest = live.drain_to_table(live.latest_state(stream, ["event"], "ts", ["step"]), f"file://{tmp_path}/latest", f"file://{tmp_path}/latest-state")
     assert sorted((r.event, r.step) for r in latest.collect()) == [("a", 2), ("b", 9)]
     out, state = f"{tmp_path}/out", f"{tmp_path}/state"
     first = lambda: live.unseen(live.event_stream(spark, str(folder)).select("event"), "event")
