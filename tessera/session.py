@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,20 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. On one machine, where it is unset, a folder of our own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    own = f"file:///tmp/tessera-shared-{os.getuid()}"
-    spark.conf.set("spark.checkpoint.dir", own) if _settable(spark) else None
-    return own
-
-
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return spark.conf.isModifiable("spark.checkpoint.dir")
-    except Exception:  # noqa: BLE001 - older sessions raise for unknown keys
-        return False
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), f'tessera-shared-{os.getuid()}')}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
