@@ -219,3 +219,19 @@ def annealed(step: Column, start: float, end: float, steps: int) -> Column:
 
 def entropy_floor(level: Column, start: float, end: float) -> Column:
     return start * level + end * (1 - level)
+
+
+def reward_composition(rows: DataFrame, group: list[str]) -> DataFrame:
+    """reward_mean, reward_std (of the group as a whole), correct_rate and format_rate of each rollout group; nulls are passed over."""
+    return rows.groupBy(*group).agg(F.avg("reward").alias("reward_mean"), F.stddev_pop("reward").alias("reward_std"), F.avg("correct").alias("correct_rate"), F.avg("format").alias("format_rate"))
+
+
+def clip_fraction(tokens: DataFrame, group: list[str], ratio: str, mask: str, epsilon: float) -> DataFrame:
+    """The share of a group's unmasked tokens whose probability ratio is further than epsilon from 1; 0 without any."""
+    far = (F.abs(F.col(ratio) - 1) > epsilon).cast("double") * F.col(mask)
+    return tokens.groupBy(*group).agg((F.coalesce(F.sum(far), F.lit(0.0)) / F.greatest(F.sum(mask), F.lit(1))).alias("clip_frac"))
+
+
+def validation_probe(batches: DataFrame, loss: str, order: str, most: int) -> DataFrame:
+    """The mean loss of the first `most` batches."""
+    return batches.orderBy(order).limit(most).agg(F.avg(loss).alias("val_loss"), F.count(F.lit(1)).alias("batches"))

@@ -132,3 +132,38 @@ def run_complete(events: DataFrame, total_steps: int, run: str = "run", order: s
     final = F.when((F.col("event") == "checkpoint") & (F.col("kind") == "final"), F.col(order))
     step = F.max_by(soft_long(F.col("step")), final)
     return events.groupBy(run).agg(F.coalesce(F.nullif(step, F.lit(0)), F.lit(-1)).alias("final_step")).withColumn("complete", F.col("final_step") >= total_steps)
+
+
+def training_series(events: DataFrame, run: str = "run") -> DataFrame:
+    """run, step and the training values of each step event, by run: train steps, or policy steps in runs that have no train step.
+
+    A value that an event lacks is 0, but tokens_per_sec stays null.
+    """
+    steps = events.where(F.col("event").isin("train_step", "grpo_step"))
+    trained = steps.groupBy(run).agg(F.bool_or(F.col("event") == "train_step").alias("__trained"))
+    mine = F.when(F.col("__trained"), "train_step").otherwise("grpo_step")
+    zero = ("loss", "lr", "lambda_value", "reward_mean", "correct_rate", "format_rate", "kl", "clip_frac")
+    values = [F.coalesce(F.col(c) if c in events.columns else F.lit(None).cast("double"), F.lit(0.0)).alias(c) for c in zero]
+    speed = F.col("tokens_per_sec") if "tokens_per_sec" in events.columns else F.lit(None).cast("double").alias("tokens_per_sec")
+    return steps.join(trained, run).where(F.col("event") == mine).select(run, "step", speed, *values)
+
+
+def prefetch_totals(events: DataFrame, group: list[str]) -> DataFrame:
+    """bytes_read, reads_completed, avg_mbps and pinned_hit_rate by group; both rates are 0 without time or lookups."""
+    sums = events.groupBy(*group).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("bytes_read", "reads_completed", "total_latency_us", "pinned_hits", "pinned_misses")))
+    looked = F.col("pinned_hits") + F.col("pinned_misses")
+    speed = F.when(F.col("total_latency_us") > 0, F.col("bytes_read") / F.greatest(F.lit(1.0), F.col("total_latency_us") / 1e6) / 1e6).otherwise(0.0)
+    return sums.select(*group, "bytes_read", "reads_completed", speed.alias("avg_mbps"), F.when(looked > 0, F.col("pinned_hits") / looked).otherwise(0.0).alias("pinned_hit_rate"))
+
+
+def layer_times(events: DataFrame, order: str, n: int = 200) -> DataFrame:
+    """layer, tier, duration_ms of the last n layer events, in order."""
+    rows = events.select(order, F.col("layer_idx").alias("layer"), "tier", (F.coalesce(F.col("duration_us").cast("double"), F.lit(0.0)) / 1000.0).alias("duration_ms"))
+    return rows.orderBy(F.desc(order)).limit(n)
+
+
+def inventory(files: DataFrame, now: float) -> DataFrame:
+    """name, length and age in seconds of checkpoint files (path, length, modified), rolling slots and milestones told apart."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    kind = F.when(name.rlike(r"^(slot|rolling)_"), "rolling").otherwise("milestone")
+    return files.select(name.alias("name"), kind.alias("kind"), "length", F.greatest(F.lit(0.0), F.lit(now) - F.col("modified").cast("double")).alias("age_sec"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import bundles, corpus, evaluation, files, mixing, records, telemetry  # noqa: F401 - they register
+from tessera.plans import bundles, checks, corpus, evaluation, files, ingest, lanes, mixing, records, telemetry  # noqa: F401 - they register
 from tessera.plans.base import ORACLES, QUERIES, Query
 
 
