@@ -343,7 +343,8 @@ def test_isotonic_pools_violators():
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secret_forest.train_forest(secret_forest.labelled_findings(spark, 3000))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    return secret_forest.train_forest(secret_forest.labelled_findings(spark, 3000), secret_forest.vocabulary(docs))
 
 
 def test_secret_candidates_have_their_places(spark):
@@ -360,9 +361,9 @@ def test_forest_tells_secrets_from_look_alikes(spark, forest):
     ]
     out = {r.doc_id: r.secret for r in secret_forest.scan_secrets(docs_of(spark, [(i, t, "app/main.py") for i, (t, _) in enumerate(cases)]), forest).collect()}
     assert out == {i: want for i, (_, want) in enumerate(cases)}
-    other = secret_forest._assembled(secret_forest.labelled_findings(spark, 1000, "other"))
-    scored = forest.transform(other)  # findings of another seed
-    assert scored.where(f"{forest.getPredictionCol()} = cast(secret AS double)").count() >= 970
+    other = secret_forest._assembled(secret_forest.labelled_findings(spark, 1000, "other"), forest.known)
+    scored = forest.forest.transform(other)  # findings of another seed
+    assert scored.where(f"{forest.forest.getPredictionCol()} = cast(secret AS double)").count() >= 970
 
 
 @pytest.mark.parametrize(
@@ -395,6 +396,32 @@ def test_forest_scores_assigned_values(spark, forest):
     assert out == {i: want for i, (_, want) in enumerate(cases)}
 
 
-def test_distinct_characters_of_the_whole_candidate(spark):
+def test_distinct_characters_of_the_whole_candidate(spark, forest):
     row = spark.createDataFrame([("a" * 256 + "bcdefghij0123456", "", "", "s")], "candidate string, before string, after string, path string")
-    assert secret_forest._featured(row).first()["__distinct"] == pytest.approx(17 / 64)
+    assert secret_forest._featured(row, forest.known).first()["__distinct"] == pytest.approx(17 / 64)
+
+
+def test_features_by_hand(spark, forest):
+    """Coverage and transitions of candidates against Python over the same vocabulary."""
+    import math
+
+    words = {r.word: r.n for r in secret_forest.vocabulary(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    counted = Counter(w for t in texts for w in re.findall("(?<![a-z])[a-z]{3,20}(?![a-z])", t.lower()))
+    assert words == counted
+    pairs = Counter()
+    for w, n in counted.items():
+        if n >= secret_forest.COMMON_COUNT:
+            for a, b in zip(w, w[1:]):
+                pairs[a + b] += n
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    log = lambda p: math.log((pairs[p] + 1) / sum(pairs[p[0] + x] + 1 for x in letters))
+    common = max((w for w, n in counted.items() if n >= secret_forest.COMMON_COUNT), key=len)
+    for c in (f"xq{common.upper()}9", f"{common}Zqx_12", "12345", "", "q"):
+        row = spark.createDataFrame([(c, "", "", None)], "candidate string, before string, after string, path string")
+        got = secret_forest._featured(row, forest.known).first()
+        runs = re.findall("[A-Za-z]{3,}", re.sub("([a-z])([A-Z])", r"\1 \2", c))
+        covered = sum(len(x) for x in runs if counted[x.lower()] >= secret_forest.COMMON_COUNT)
+        steps = [log(p) for p in (c.lower()[i : i + 2] for i in range(len(c) - 1)) if re.fullmatch("[a-z]{2}", p)]
+        assert got["__coverage"] == pytest.approx(covered / max(len(c), 1))
+        assert got["__transitions"] == pytest.approx(sum(steps) / len(steps) if steps else 0.0)
