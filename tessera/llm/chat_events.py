@@ -167,7 +167,7 @@ def conversations_as_events(conversations: DataFrame) -> DataFrame:
 def streamed(events: DataFrame) -> DataFrame:
     """The same messages as a live log has them: as deltas, edits, regenerations and deletions.
 
-    events are whole messages. By msg modulo 4 an assistant's text comes as three deltas; as a
+    events are whole messages. By half its msg, modulo 4, an assistant's text comes as three deltas; as a
     draft of two deltas, a regeneration and two deltas; as a draft and an edit; or as a delta, an
     edit of it and a last delta. Others come whole, or as a draft and an edit. Beside every fourth
     message stands one that is deleted again. Folding gives back what was streamed.
@@ -183,7 +183,7 @@ def streamed(events: DataFrame) -> DataFrame:
         [one(0, "message", draft), one(1, "edit", text)],
         [one(0, "delta", draft), one(1, "edit", part(zero, half)), one(2, "delta", part(half, size))],
     )
-    way = F.pmod("msg", F.lit(4))
+    way = F.pmod(F.floor(F.col("msg") / 2), F.lit(4))
     learnt = F.when(way == 0, F.array(*ways[0])).when(way == 1, F.array(*ways[1])).when(way == 2, F.array(*ways[2])).otherwise(F.array(*ways[3]))
     other = F.when(way < 2, F.array(one(0, "message", text))).otherwise(F.array(*ways[2]))
     gone = F.when(way == 3, F.array(one(5, "message", draft, 2 * F.col("msg") + 1), one(6, "delete", F.lit(None).cast("string"), 2 * F.col("msg") + 1))).otherwise(F.array())
