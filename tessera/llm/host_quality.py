@@ -8,12 +8,14 @@ is rejected where a shrunk rate is a multiple of what hosts fail on average.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType, arrow_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import free_names, materialise, named
@@ -75,21 +77,32 @@ def duplicate_lines(texts: Texts) -> np.ndarray:
     return np.bincount(doc[order[~new]], minlength=texts.n)[: texts.n]
 
 
+def measures(texts: pa.Array) -> list[pa.Array]:
+    """The MEASURES of each text."""
+    whole = Texts(texts)
+    words = Words(whole)
+    values = (
+        words.per_doc,
+        whole.sums(words.inside & ((whole.bytes & 0xC0) != 0x80)),
+        whole.sums(_IS_SYMBOL[whole.bytes]),
+        duplicate_lines(whole),
+        repeated_words(words, whole.n),
+    )
+    return [pa.array(v.astype(np.int64)) for v in values]
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column of each batch is a text; its MEASURES stand in its place, the other columns stay."""
     for batch in batches:
         text = batch.schema.names[-1]
         for part in slices(batch, text):
-            texts = Texts(part.column(text))
-            words = Words(texts)
-            values = (
-                words.per_doc,
-                texts.sums(words.inside & ((texts.bytes & 0xC0) != 0x80)),
-                texts.sums(_IS_SYMBOL[texts.bytes]),
-                duplicate_lines(texts),
-                repeated_words(words, texts.n),
-            )
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(v.astype(np.int64)) for v in values)], names=[*part.schema.names[:-1], *MEASURES])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *measures(part.column(text))], names=[*part.schema.names[:-1], *MEASURES])
+
+
+def _measures_beside(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in arrays:
+        parts = [pa.StructArray.from_arrays(measures(p.column("text")), names=list(MEASURES)) for p in slices(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(m, pa.int64()) for m in MEASURES]))
 
 
 def measure(docs: DataFrame, ident: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
@@ -146,21 +159,22 @@ def quality(docs: DataFrame, ident: str = "doc_id", host: str = "source", text:
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text", **limits: float) -> DataFrame:
     """The rows of docs that quality() keeps, with their columns, whatever these are named.
 
-    Hosts are judged in a first pass over the texts; a second one measures each row again beside
-    its columns, so that no text is written or shuffled, and repeated and null identifiers don't
-    matter. Nulls, repeated rows and empty tables are as in quality().
+    Hosts are judged in a first pass over the texts; in a second one a document's text alone goes
+    to Python, and its measures come back beside its row, so that no text is written or shuffled,
+    and repeated and null identifiers don't matter. Nulls, repeated rows and empty tables are as
+    in quality().
     """
-    row, own_host, own_text, rejected_host = free_names(docs, "row", "host", "text", "rejected")
+    own, rejected_host = free_names(docs, "measures", "rejected")
     judged = docs.select(named(host).alias("__host"), named(text).alias("__text"))
     measured = judged.mapInArrow(_measured, StructType([judged.schema["__host"], *(StructField(m, LongType()) for m in MEASURES)]))
-    verdicts = host_verdicts(measured, **limits)
-    rejected = materialise(verdicts.where("host_rejected").select(F.col("__host").alias(rejected_host)), "rejected")
+    rejected = materialise(host_verdicts(measured, **limits).where("host_rejected").select(F.col("__host").alias(rejected_host)), "rejected")
     rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_HOSTS else rejected
-    beside = docs.select(F.struct(*map(named, docs.columns)).alias(row), named(host).alias(own_host), named(text).alias(own_text))
-    shape = StructType([beside.schema[row], beside.schema[own_host], *(StructField(m, LongType()) for m in MEASURES)])
-    failed = F.expr(" OR ".join(f"({RULES[name]})" for name in BASE))
-    good = beside.mapInArrow(_measured, shape).where(~failed)
-    return good.join(rejected, F.col(own_host).eqNullSafe(F.col(rejected_host)), "left_anti").select(*(F.col(row)[c].alias(c) for c in docs.columns))
+    beside = arrow_udf(_measures_beside, StructType([StructField(m, LongType()) for m in MEASURES]), ArrowUDFType.SCALAR_ITER)
+    failed = " OR ".join(f"({RULES[name]})" for name in BASE)
+    for m in MEASURES:
+        failed = re.sub(rf"\b{m}\b", f"{own}.{m}", failed)
+    good = docs.withColumn(own, beside(named(text))).where(~F.expr(failed))
+    return good.join(rejected, named(host).eqNullSafe(F.col(rejected_host)), "left_anti").select(*map(named, docs.columns))
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,12 +99,13 @@ def _counted(token: np.ndarray) -> np.ndarray:
 
 def packed(cells: np.ndarray, packs: int) -> Iterator[tuple[int, int, int, bytes]]:
     """Pack, first cell, bytes a difference and differences of the sorted cells in each of so many even ranges."""
-    pack = ((cells >> np.uint64(COUNT_BITS - 32)) * np.uint64(packs)) >> np.uint64(32)
-    starts = np.flatnonzero(np.concatenate(([True], pack[1:] != pack[:-1]))) if len(pack) else []
-    for a, b in zip(starts, [*starts[1:], len(pack)], strict=True):
-        steps = np.diff(cells[a:b])
+    bounds = [-(-(k << COUNT_BITS) // packs) for k in range(packs + 1)]  # a pack's first cell, and the end
+    edges = np.searchsorted(cells, np.array(bounds, np.uint64))
+    for k in np.flatnonzero(np.diff(edges)):
+        own = cells[edges[k] : edges[k + 1]]
+        steps = np.diff(own)
         width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-        yield int(pack[a]), int(cells[a]), width, steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        yield int(k), int(own[0]), width, steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpacked(first: int, width: int, steps: bytes) -> np.ndarray:

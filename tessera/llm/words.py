@@ -13,8 +13,8 @@ SPACE_BYTES = (32, 9, 10, 11, 12, 13)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 
-#: Text bytes handled at once; a longer single text is a slice of its own.
-SLICE_BYTES = 4 << 20
+#: Text bytes handled at once (arrays of eight bytes a character then fit a core's cache); a longer single text is a slice of its own.
+SLICE_BYTES = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
