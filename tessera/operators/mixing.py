@@ -60,19 +60,26 @@ def interleave(streams: list[DataFrame], order: str, limit: int | None = None) -
     return out.limit(limit) if limit else out
 
 
+def _pieces(df: DataFrame, column: str, piece: Column, name: str) -> DataFrame:
+    """A row for each of an array of (number, piece): the pieces are cut before rows are made, so the whole isn't in each of them."""
+    others = [c for c in df.columns if c != column]
+    made = df.select(*others, F.explode(piece).alias("__piece"))
+    return made.select(*(F.col("__piece.piece").alias(column) if c == column else F.col(c) for c in df.columns), F.col("__piece.number").alias(name))
+
+
 def chunks(df: DataFrame, text: str = "text", size: int = 200_000) -> DataFrame:
     """One row for each chunk of size characters; an empty text has none."""
     count = F.ceil(F.char_length(text) / F.lit(size)).cast("int")
-    exploded = df.where(count > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), count - 1)))
-    return exploded.withColumn(text, F.substring(F.col(text), F.col("chunk") * size + 1, F.lit(size)))
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("number"), F.substring(F.col(text), i * size + 1, F.lit(size)).alias("piece")))
+    return _pieces(df.where(count > 0), text, cut, "chunk")
 
 
 def windows(df: DataFrame, tokens: str, width: int, stride: int | None = None) -> DataFrame:
     """(n - (width + 1)) // stride + 1 windows of width tokens, each with one more token behind it."""
     stride = stride or width
     count = F.floor((F.size(tokens) - (width + 1)) / F.lit(stride)).cast("int") + 1
-    some = df.where(F.size(tokens) >= width + 1).withColumn("window", F.explode(F.sequence(F.lit(0), count - 1)))
-    return some.withColumn(tokens, F.slice(F.col(tokens), F.col("window") * stride + 1, F.lit(width)))
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("number"), F.slice(F.col(tokens), i * stride + 1, F.lit(width)).alias("piece")))
+    return _pieces(df.where(F.size(tokens) >= width + 1), tokens, cut, "window")
 
 
 def with_end(tokens: Column, last: Column, end: Column) -> Column:
