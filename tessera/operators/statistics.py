@@ -235,3 +235,11 @@ def clip_fraction(tokens: DataFrame, group: list[str], ratio: str, mask: str, ep
 def validation_probe(batches: DataFrame, loss: str, order: str, most: int) -> DataFrame:
     """The mean loss of the first `most` batches."""
     return batches.orderBy(order).limit(most).agg(F.avg(loss).alias("val_loss"), F.count(F.lit(1)).alias("batches"))
+
+
+def group_report(scores: DataFrame, by: list[str], group: str = "group", block: str = "block") -> DataFrame:
+    """by, kind, name, value, n of the full comparison: means of the groups, mean deltas of all pairs, and the omnibus statistic where there are three groups or more."""
+    means = group_summary(scores, [*by, group]).select(*by, F.lit("summary").alias("kind"), F.col(group).cast("string").alias("name"), F.col("mean").alias("value"), F.col("n").cast("long").alias("n"))
+    deltas = paired(scores, by, group, block).select(*by, F.lit("pairwise").alias("kind"), F.concat_ws("-", "left", "right").alias("name"), F.col("mean_delta").alias("value"), F.size("diffs").cast("long").alias("n"))
+    omnibus = friedman(scores, by, group, block).where("groups >= 3").select(*by, F.lit("omnibus").alias("kind"), F.lit("friedman").alias("name"), F.col("statistic").alias("value"), F.col("blocks").cast("long").alias("n"))
+    return means.unionByName(deltas).unionByName(omnibus)

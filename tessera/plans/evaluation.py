@@ -71,6 +71,15 @@ def perm_exact(spark, d):
     return _rounded(st.pairwise_exact(_scores(spark, d), ["benchmark"]).select("benchmark", "left", "right", "p_value"), "p_value")
 
 
+@query("group_report", f"""WITH {_S}, r AS (SELECT benchmark, "group", rank() OVER (PARTITION BY benchmark, block ORDER BY score) + (count(*) OVER (PARTITION BY benchmark, block, score) - 1) / 2.0 AS rank FROM s),
+  g AS (SELECT benchmark, "group", sum(rank) AS r, count(*) AS n FROM r GROUP BY 1, 2), x AS (SELECT benchmark, count(*) AS k, max(n) AS b, sum(r * r) AS q FROM g GROUP BY 1)
+  SELECT benchmark, 'summary' AS kind, "group" AS name, round(avg(score), 6) AS value, count(*) AS n FROM s GROUP BY 1, 3
+  UNION ALL SELECT a.benchmark, 'pairwise', a."group" || '-' || b."group", round(avg(a.score) - avg(b.score), 6), count(*) FROM s a JOIN s b ON a.benchmark = b.benchmark AND a.block = b.block AND a."group" < b."group" GROUP BY 1, 3
+  UNION ALL SELECT benchmark, 'omnibus', 'friedman', round(greatest(0, 12.0 / (b * k * (k + 1)) * q - 3.0 * b * (k + 1)), 6), b FROM x WHERE k >= 3""")
+def group_report(spark, d):
+    return _rounded(st.group_report(_scores(spark, d), ["benchmark"]), "value")
+
+
 @query("perm_sampled")
 def perm_sampled(spark, d):
     """All pairs by 10,000 random flips of a seeded generator (more than 16 blocks are sampled)."""

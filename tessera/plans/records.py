@@ -214,3 +214,12 @@ def verify_tool_call(spark, d):
     gold = call(F.lit("mcp.read"), F.col("event_type"), F.col("event_id") % 3, F.col("user_id") % 2, F.lit(True))
     said = call(F.when(F.col("event_id") % 5 == 0, "mcp.write").otherwise("mcp.read"), F.lit("click"), F.lit(1), F.lit(0), F.lit(False))
     return e.select("event_id", F.round(V.json_tool_call(said, gold), 6).alias("score"))
+
+
+@query("verify_python_exec", "SELECT item_id, (item_id % 3 <> 0)::INT::DOUBLE AS score, NULL::DOUBLE AS lint FROM benchmark")
+def verify_python_exec(spark, d):
+    """Functions of the items' numbers, run with an assert; every third is off by one. A linter that isn't installed gives null."""
+    i = F.col("item_id")
+    answer = F.concat(F.lit("Here:\n```python\ndef f(x: int) -> int:\n    return x + "), i + (i % 3 == 0).cast("int"), F.lit("\n```"))
+    score = V.python_exec(answer, F.concat(F.lit("assert f(1) == 1 + "), i), allowed=True, seconds=20)
+    return table(spark, d, "benchmark").select("item_id", score.alias("score"), V.linter("no_such_linter", answer).alias("lint"))

@@ -120,3 +120,14 @@ def expanded(spark: SparkSession, entries: list[dict]) -> list[dict]:
                 found.append(name)
         out += [e | {"path": name} for name in sorted(found)]
     return out
+
+
+def landed(spark: SparkSession, root: str, repo: str, config: str = "default", split: str = "train") -> DataFrame:
+    """A remote dataset's split as it was landed: Parquet at root/<repo, file-safe>/<config>/<split>."""
+    place = "".join(c if c.isalnum() or c in "_.-" else "_" for c in repo.replace("/", "__"))
+    return spark.read.parquet(f"{root}/{place}/{config}/{split}")
+
+
+def landed_configs(spark: SparkSession, root: str, repo: str, configs: list[str], split: str = "train") -> DataFrame:
+    """Several configs of a dataset one after another, each row with its config."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (landed(spark, root, repo, c, split).withColumn("config", F.lit(c)) for c in configs))
