@@ -29,7 +29,10 @@ def drop_reasons(docs: DataFrame, ident: str = "doc_id", source: str = "source")
 
 
 def clean_documents(docs: DataFrame, ident: str = "doc_id", source: str = "source") -> DataFrame:
-    """ident, source, normalised text of the documents that are kept."""
+    """ident, source, normalised text of the documents that are kept.
+
+    Rows of one identifier are kept or dropped together. Texts are normalised in a second pass, so that none is written in between.
+    """
     kept = drop_reasons(docs, ident, source).where(F.col("reason").isNull()).select(ident)
     return docs.select(ident, source, T.normalize(F.col("text")).alias("text")).join(kept, ident, "left_semi")
 
