@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD_PATTERN, materialise, named
+from tessera.operators.order import with_ordinal
 
 #: Weights of the sources in code point order, repeating, and the share of all words that is taken.
 WEIGHTS, SHARE, MOST_ROUNDS = (5, 2, 1), 1.5, 2.0
 #: About so many rows of a source go to one range.
 RANGE_ROWS = 2_000
-#: The sources' numbers are broadcast up to this count, and joined by a shuffle beyond it.
+#: Up to this count the sources' numbers come to the driver and are broadcast; beyond it they stay a table.
 BROADCAST_SOURCES = 200_000
 
 
@@ -44,6 +45,27 @@ def budgets(sizes: list[tuple], weights: tuple[float, ...] = WEIGHTS, share: flo
     return target
 
 
+def budget_table(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, rounds: float = MOST_ROUNDS) -> DataFrame:
+    """budgets() for any number of sources: __source, size, rows with __target.
+
+    A source is full where its cap for its weight is below the level of the others; the level
+    rises until no further source is full, by one sum over the sources a round.
+    """
+    ranked = with_ordinal(sources, [F.col("__source").asc_nulls_last()], name="__rank")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.col("__rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    ranked = materialise(ranked.withColumn("__weight", weight).withColumn("__cap", rounds * F.col("size")), "sources")
+    level, total = -1.0, ranked.agg(F.sum("size")).first()[0] or 0
+    while True:
+        full = F.col("__cap") <= level * F.col("__weight")
+        sums = ranked.agg(F.sum(F.when(full, F.col("__cap")).otherwise(0.0)).alias("taken"), F.sum(F.when(full, 0.0).otherwise(F.col("__weight"))).alias("weight")).first()
+        following = (share * total - (sums["taken"] or 0.0)) / sums["weight"] if sums["weight"] else math.inf
+        if following <= level or math.isinf(following):
+            break
+        level = following
+    last = F.col("__cap") if math.isinf(following) else F.least(F.col("__cap"), level * F.col("__weight"))
+    return ranked.select("__source", "size", "rows", last.cast("double").alias("__target"))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
@@ -61,14 +83,17 @@ def plan_mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", tex
     if payload:
         columns["__row"] = F.struct(*map(named, docs.columns))
     sized = materialise(docs.select(*(v.alias(k) for k, v in columns.items())), "mix")
-    sources = sized.groupBy("__source").agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()  # a row a source
-    target = budgets([(r["__source"], r["size"]) for r in sources], **how)
-    spark = docs.sparkSession
-    shape = "__m_source string, __source_size long, __target double, __ranges int"
-    per_source = spark.createDataFrame([(r["__source"], r["size"], float(target[r["__source"]]), max(1, math.ceil(r["rows"] / RANGE_ROWS))) for r in sources], shape)
+    sources = materialise(sized.groupBy("__source").agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("rows")), "sizes")  # a row a source
     of = sized.schema["__source"].dataType
-    per_source = per_source.withColumn("__m_source", F.col("__m_source").cast(of))
-    per_source = F.broadcast(per_source) if len(sources) <= BROADCAST_SOURCES else per_source
+    if sources.count() <= BROADCAST_SOURCES:
+        rows = sources.collect()
+        target = budgets([(r["__source"], r["size"]) for r in rows], **how)
+        shape = "__m_source string, __source_size long, __target double, __ranges int"
+        numbers = [(r["__source"], r["size"], float(target[r["__source"]]), max(1, math.ceil(r["rows"] / RANGE_ROWS))) for r in rows]
+        per_source = F.broadcast(docs.sparkSession.createDataFrame(numbers, shape).withColumn("__m_source", F.col("__m_source").cast(of)))
+    else:
+        ranges = F.greatest(F.lit(1), F.ceil(F.col("rows") / RANGE_ROWS)).cast("int")
+        per_source = budget_table(sources, **how).select(F.col("__source").alias("__m_source"), F.col("size").alias("__source_size"), "__target", ranges.alias("__ranges"))
     joined = sized.join(per_source, F.col("__source").eqNullSafe(F.col("__m_source"))).drop("__m_source")
     ranged = joined.withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * F.col("__ranges") / F.lit(2**32)).cast("int"))
     in_range = Window.partitionBy("__source", "__range").orderBy("__key", "__ident", "__size").rowsBetween(Window.unboundedPreceding, -1)

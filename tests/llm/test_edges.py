@@ -157,3 +157,15 @@ def test_one_class_of_labels_gives_its_rate(spark):
     docs = spark.createDataFrame(texts(40), DOCS)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     assert all(r.score > 0.5 for r in quality_model.quality_scores(docs, labels).collect())
+
+
+@pytest.mark.parametrize("share", [1.5, 3.0])
+def test_budgets_of_many_sources_stay_a_table(spark, monkeypatch, share):
+    """The same budgets without bringing the sources to the driver."""
+    rows = [(i, "w " * (1 + i % 40), "en", None if i % 11 == 0 else f"s{i % 17:02}" if i % 3 else "hot", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = {r.doc_id: (r.source_size, r.target, r.taken) for r in mixing.plan_mix(docs, share=share).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    got = {r.doc_id: (r.source_size, r.target, r.taken) for r in mixing.plan_mix(docs, share=share).collect()}
+    assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1]) and abs(got[i][2] - want[i][2]) <= 1 for i in want)
