@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_events, content_sort, host_quality, mixing, ngram_join, pieces, quality_model, secret_forest, token_counts, token_files
+from tessera.llm import chat_events, content_sort, host_quality, merkle, mixing, ngram_join, pieces, quality_model, secret_forest, token_counts, token_files
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_pieces": pieces.op8_pieces,
         "op9_quality_model": quality_model.op9_quality_model,
         "op10_secret_forest": secret_forest.op10_secret_forest,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_events": chat_events.OP3_SQL,
         "op4_mixing": mixing.OP4_SQL,
         "op6_content_sort": content_sort.OP6_SQL,
+        "op13_merkle_manifest": merkle.OP13_SQL,
     }
