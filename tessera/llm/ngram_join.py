@@ -15,17 +15,10 @@ a rare token or a combination. The groups grow with the size of a document, so c
 in proportion to it; as linked documents are of like size, each is indexed under the groups of its
 own size level and the next.
 
-How much a document may miss depends on its partner: t is largest for the smallest partner, about
-half for one of its own size, and zero for the largest. Keys that several documents have are
-therefore split by pairs of size levels, and a document stays in an entry only where its key lies
-in the prefix that this pair of levels needs. This parts near copies from near misses: an edited
-document whose own tokens fill its prefix meets none of the others.
-
-Documents with equal sets are one class and stand in the index once. First each document is
-compared with one leader, that of its keys with the most common tokens, and then, in entries that
-hold several components, with each leader; where an entry holds several components still, its
-documents of different ones are compared pair by pair, in blocks if there are many. No candidate is left out, and a large group of near copies takes about as many
-comparisons as it has members.
+Documents with equal sets are one class and stand in the index once. Candidates are verified by
+linking.py: each document with one leader, that of its keys with the most common tokens, then those
+of different components in blocks, where bit maps rule out most pairs for certain. No candidate is
+left out, and a large group of near copies takes about as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -37,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, UPPER, free_names, materialise, named, release
-from tessera.llm.components import components
+from tessera.llm.linking import counted_hint, crowded, link
 from tessera.llm.words import Texts, Words, mixed, slices
 from tessera.session import partitions
 
@@ -55,16 +48,8 @@ COUNT_BITS, GATHERED = 42, 4 << 20
 MAP_BITS = 28
 #: Packs of counted tokens for each shuffle partition; one is counted at a time.
 PACKS = 16
-#: Rows of the smaller side that are broadcast after a count; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-#: Members of a leader that one task compares; more are dealt over several.
-MEMBERS_PER_TASK = 2_000
-#: Entries of up to so many documents are compared as pairs, larger ones in blocks of so many.
-PAIRED, BLOCK = 32, 128
-#: Size levels are single sizes up to the first number, and grow by the second from there.
-SINGLE_SIZES, LEVEL_GROWTH = 34, 1.03
-#: Distinct tokens whose incidence matrix is in memory at once.
-MATRIX_TOKENS = 1 << 15
+KEYED_SHAPE = "ident long, h long, n long, digest binary, common float, keys array<bigint>"
+KEYED = [c.split()[0] for c in KEYED_SHAPE.split(", ")]
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[[ord(c) for c in UPPER]] = [ord(c) for c in LOWER]
@@ -218,30 +203,26 @@ def level_starts(largest: int, percent: int = PERCENT) -> list[int]:
     return starts
 
 
-def combination_keys(token: np.ndarray, rare: int, misses: int, level: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and places of a document's frequent prefix (token is in the global order) in a level with so many groups.
-
-    A key's place is what rare tokens and groups count before its later token.
-    """
-    need, members, pairs, places = misses + 1 - rare, defaultdict(list), [], []
+def combination_keys(token: np.ndarray, rare: int, misses: int, level: int, groups: int) -> np.ndarray:
+    """Keys of a document's frequent prefix (token is in the global order) in a level with so many groups."""
+    need, members, pairs = misses + 1 - rare, defaultdict(list), []
     for t, group in zip(token[rare:].tolist(), (token[rare:] % np.uint64(groups)).tolist(), strict=True):
         own = members[group]
         pairs += [(min(t, before), max(t, before)) for before in own]
-        places += [misses + 1 - need] * len(own)
         need -= bool(own)
         own.append(t)
         if not need:
             break
     if not pairs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     a, b = np.array(pairs, np.uint64).T
-    return mixed(np.full(len(a), level + 1), a, b), np.array(places, np.int64)
+    return mixed(np.full(len(a), level + 1), a, b)
 
 
-def index_keys(doc: np.ndarray, token: np.ndarray, count: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, key and place of each index row. doc and token as from token_sets(), count is 1 at most for rare tokens."""
+def index_keys(doc: np.ndarray, token: np.ndarray, count: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Document and key of each index row. doc and token as from token_sets(), count is 1 at most for rare tokens."""
     if not len(doc):
-        return doc, token, doc
+        return doc, token
     order = np.lexsort((token, count, doc))
     doc, token, count = doc[order], token[order], count[order]
     starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
@@ -250,21 +231,20 @@ def index_keys(doc: np.ndarray, token: np.ndarray, count: np.ndarray, percent: i
     rare = np.add.reduceat((count <= 1).astype(np.int64), starts)
     place = np.arange(len(doc)) - np.repeat(starts, sizes)
     single = place < np.repeat(np.minimum(misses + 1, rare), sizes)
-    keys, of, places = [token[single]], [doc[single]], [place[single]]
+    keys, of = [token[single]], [doc[single]]
     levels = level_starts(int(sizes.max()) * 2, percent)
     for i in np.flatnonzero(rare <= misses):
         size, own = int(sizes[i]), token[starts[i] : starts[i] + sizes[i]]
         level = int(np.searchsorted(levels, size, "right")) - 1
         for at in (level, level + 1):
-            some, where = combination_keys(own, int(rare[i]), int(misses[i]), at, max(1, levels[at] // 30))
+            some = combination_keys(own, int(rare[i]), int(misses[i]), at, max(1, levels[at] // 30))
             keys.append(some)
-            places.append(where)
             of.append(np.full(len(some), doc[starts[i]]))
-    return np.concatenate(of), np.concatenate(keys), np.concatenate(places)
+    return np.concatenate(of), np.concatenate(keys)
 
 
 def _keyed(docs: DataFrame, frequent: tuple[np.ndarray, ...], width: int, percent: int) -> DataFrame:
-    """ident, h, n, digest of the set, common (mean logarithm of the counts), keys and their places of each row."""
+    """ident, h, n, digest of the set, common (mean logarithm of the counts), keys of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # the map, and MOST_FREQUENT numbers at most
     least = 100 // (100 - percent) - 1 if percent < 100 else 0  # smaller sets link with equal ones only
 
@@ -280,47 +260,17 @@ def _keyed(docs: DataFrame, frequent: tuple[np.ndarray, ...], width: int, percen
                 count = looked_up(token, *known)
                 common = np.bincount(doc, weights=np.log2(count + 1.0), minlength=rows) / np.maximum(n, 1)
                 some = n[doc] >= least
-                of, key, place = index_keys(doc[some], token[some], count[some], percent)
+                of, key = index_keys(doc[some], token[some], count[some], percent)
                 order = np.argsort(of, kind="stable")
                 offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=rows)))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (key.view(np.int64), place.astype(np.int32))]
-                columns = [part.column("ident"), part.column("h"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(common.astype(np.float32)), *lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["ident", "h", "n", "digest", "common", "keys", "places"])
-
-    return docs.mapInArrow(run, "ident long, h long, n long, digest binary, common float, keys array<bigint>, places array<int>")
-
-
-def _counted_hint(some: DataFrame) -> DataFrame:
-    """For broadcast if it is small, counted first."""
-    return F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
-
-
-def _level(size: Column) -> Column:
-    return F.when(size <= SINGLE_SIZES, size).otherwise(SINGLE_SIZES + F.floor(F.log(size / SINGLE_SIZES) / F.log(F.lit(LEVEL_GROWTH)))).cast("int")
-
-
-def split_by_levels(rows: DataFrame, percent: int) -> DataFrame:
-    """key, node, n, common, component for each pair of size levels in which the row's key lies in the prefix that the pair needs.
-
-    Documents of a and b tokens link if they share p (a + b) / (100 + p) of them at least. Starts
-    of levels are taken one too low at most, so rounding only lengthens a prefix.
-    """
-    n = F.col("n")
-    least, most = F.ceil(percent * n / 100), F.floor(100 * n / percent)
-    other = F.col("other")
-    start = F.when(other <= SINGLE_SIZES, other.cast("long")).otherwise(F.ceil(SINGLE_SIZES * F.pow(F.lit(LEVEL_GROWTH), other - SINGLE_SIZES)) - 1)
-    smallest = F.greatest(start, least, F.when(other > F.col("level"), n))
-    allowed = n - F.ceil(percent * (n + smallest) / (100 + percent) - 1e-9)
-    leveled = rows.withColumn("level", _level(n)).withColumn("other", F.explode(F.sequence(_level(least), _level(most))))
-    key = F.xxhash64("key", F.least("level", "other"), F.greatest("level", "other"))
-    return leveled.where(F.col("place") <= allowed).select(key.alias("key"), "node", "n", "common", "component")
-
+                keys = pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64)[order]))
+                columns = [part.column("ident"), part.column("h"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(common.astype(np.float32)), keys]
+                yield pa.RecordBatch.from_arrays(columns, names=KEYED)
 
-def _like_size(percent: int, a: str = "n", b: str = "other_n") -> Column:
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+    return docs.mapInArrow(run, KEYED_SHAPE)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, set (sorted hashes, 8 bytes each) of the nodes; one row for each text of a repeated identifier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,202 +281,46 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 sets = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(token)])
                 yield pa.RecordBatch.from_arrays([part.column("ident"), sets.cast(pa.binary())], names=["node", "set"])
 
-    some = docs.join(_counted_hint(nodes.select(F.col("node").alias("ident"))), "ident", "left_semi")
+    some = docs.join(counted_hint(nodes.select(F.col("node").alias("ident"))), "ident", "left_semi")
     return some.select("ident", "text").mapInArrow(run, "node long, set binary").distinct()
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def _components(index: DataFrame, docs: DataFrame, width: int, percent: int, scored: bool) -> DataFrame:
+    """node, component of the nodes that have links. index: key, node, n, common."""
+    rows = materialise(crowded(index, scored), "crowded")
+    sets = materialise(node_sets(docs, materialise(rows.select("node").distinct(), "nodes"), width), "sets")
+    labels = link(rows, sets, percent)
+    release(docs.sparkSession, rows, sets)
+    return labels
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (leader, node) whose sets link.
+def components_of(keyed: DataFrame, slim: DataFrame, width: int, percent: int, ident: str, scored: bool = True) -> DataFrame:
+    """ident, h, n_shingles, component_id from the rows with their keys (KEYED_SHAPE) and the texts (slim: ident, h, text).
 
-    A leader's row comes first in each task that has members of it; members are read one batch
-    after another. A leader with many members is dealt over several tasks.
+    Unless they are scored, common is null, and how crowded the keys are stands for it.
     """
-    many = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > MEMBERS_PER_TASK)
-    many = _counted_hint(materialise(many, "leaders"))
-    shares = F.coalesce(F.ceil(F.col("members") / MEMBERS_PER_TASK), F.lit(1)).cast("int")
-    members = pairs.join(many, "leader", "left").select("leader", F.pmod(F.hash("node"), shares).alias("share"), "node", F.lit(1).alias("turn"))
-    leaders = members.select("leader", "share").distinct().select("leader", "share", F.col("leader").alias("node"), F.lit(0).alias("turn"))
-    rows = members.unionByName(leaders).join(sets, "node")
-    ordered = rows.repartition("leader", "share").sortWithinPartitions("leader", "share", "turn")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, own = None, []
-        for batch in batches:
-            out = []
-            for a, b, turn, raw in zip(*(batch.column(c).to_pylist() for c in ("leader", "node", "turn", "set")), strict=True):
-                mine = np.frombuffer(raw, np.uint64)
-                if not turn:
-                    own = [mine, *own] if a == leader else [mine]  # a node has several sets at most if its identifier was repeated
-                    leader = a
-                elif any(_linked(x, mine, percent) for x in own):
-                    out.append((a, b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-
-    return ordered.mapInArrow(run, "a long, b long")
-
-
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many tokens each two of the sets share: products of incidence matrices, MATRIX_TOKENS tokens at a time."""
-    token = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    column = np.cumsum(np.concatenate(([False], token[1:] != token[:-1])))
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    distinct = int(column[-1]) + 1 if len(column) else 0
-    for start in range(0, distinct, MATRIX_TOKENS):
-        a, b = np.searchsorted(column, (start, start + MATRIX_TOKENS))
-        table = np.zeros((len(sets), min(MATRIX_TOKENS, distinct - start)), np.float32)
-        table[owner[a:b], column[a:b] - start] = 1
-        total += table @ table.T
-    return total
-
-
-def block_links(nodes: list[int], parts: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the components (parts) of a block's nodes: no more than there are nodes."""
-    sizes = np.array([len(s) for s in sets], np.float64)
-    both = shared_counts(sets)
-    linked = np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1)
-    root = {p: p for p in parts}
-
-    def find(p: int) -> int:
-        while root[p] != p:
-            root[p] = p = root[root[p]]
-        return p
-
-    out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        x, y = find(parts[i]), find(parts[j])
-        if x != y:
-            root[x] = y
-            out.append((nodes[i], nodes[j]))
-    return out
-
-
-def _compare_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between documents of different components of large entries (key, node, component, members).
-
-    An entry's documents are dealt into blocks; each two blocks of an entry meet in one task, so a
-    document's set is sent as often as its entry has blocks.
-    """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = members.select("key", "node", "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.select("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "node", "component").join(sets, "node")
-    ordered = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+    rows = materialise(keyed, "keyed")
+    base = rows.select("ident", "h", "n", "digest")
+    # One row of a class is indexed; min_by passes over null identifiers.
+    one = F.min_by(F.struct("n", "common", "keys"), F.col("ident")).alias("one")
+    classes = materialise(rows.where("n > 0").groupBy("digest").agg(F.min("ident").alias("node"), one), "classes")
+    indexed = classes.where("node IS NOT NULL").select("node", "one.n", "one.common", F.explode("one.keys").alias("key"))
+    labels = _components(indexed, slim, width, percent, scored)
+    of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    done = base.join(of_class, "digest", "left").select(
+        F.col("ident").alias(ident),
+        "h",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("ident")).otherwise(F.col("component")).alias("component_id"),
+    )
+    result = materialise(done, "similar")
+    release(slim.sparkSession, rows, classes)
+    return result
 
-        def found() -> Iterator[pa.RecordBatch]:
-            if links := block_links(*(list(c) for c in zip(*held, strict=True)), percent):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
-        for batch in batches:
-            for key, x, y, node, part, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y", "node", "component", "set")), strict=True):
-                if (key, x, y) != now and held:
-                    yield from found()
-                    held = []
-                now = (key, x, y)
-                held.append((node, part, np.frombuffer(raw, np.uint64)))
-        if held:
-            yield from found()
-
-    return ordered.mapInArrow(run, "a long, b long")
-
-
-def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, node, ...) of keys that hold several components, with each row's component."""
-    placed = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = (F.min("component") != F.max("component")).alias("several")
-    return placed.join(placed.groupBy("key").agg(several).where("several").select("key"), "key")
-
-
-def _crowded(index: DataFrame) -> DataFrame:
-    """Index rows whose key several documents have."""
-    several = (F.min("node") != F.max("node")).alias("several")
-    return index.join(index.groupBy("key").agg(several).where("several").select("key"), "key")
-
-
-def _top(*more: str) -> Column:
-    """Of a key's rows the one with the most common tokens, the likely origin of near copies; ties by the smallest node."""
-    return F.max(F.struct("common", (-F.col("node")).alias("minus"), *more)).alias("top")
-
-
-def _first_pairs(crowded: DataFrame, percent: int) -> DataFrame:
-    """leader, node: each document with the most common leader of like size of its keys."""
-    tops = crowded.groupBy("key").agg(_top("n")).select("key", F.col("top.common").alias("best"), (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("leader_n"))
-    led = crowded.join(tops, "key").where((F.col("node") != F.col("leader")) & _like_size(percent, "n", "leader_n"))
-    return led.groupBy("node").agg(F.max(F.struct("best", (-F.col("leader")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("leader"), "node")
-
-
-def _entries(rows: DataFrame) -> DataFrame:
-    """key, node, n, component, leader, leader_n, leader_component; of entries with the same documents one is enough."""
-    # Tokens of one passage give many entries with the same documents, which are told by their ends, number and two 64-bit sums.
-    alike = [F.count(F.lit(1)).alias("rows"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2))]
-    rows = rows.dropDuplicates(["key", "node", "n"])
-    grouped = rows.groupBy("key").agg(_top("n", "component"), F.min("node").alias("low"), F.max("node").alias("high"), *alike)
-    one = grouped.dropDuplicates(["low", "high", "rows", "same0", "same1"])
-    led = one.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.component").alias("leader_component"))
-    return rows.drop("common").join(led, "key")
-
-
-def _merged(members: DataFrame) -> DataFrame:
-    """Entries of one leader made one where this takes fewer comparisons: those of a group of near copies have much the same documents."""
-    entries = members.groupBy("key").agg(F.first("leader").alias("leader"), F.first("members").alias("m"))
-    apart = entries.groupBy("leader").agg(F.sum(F.col("m") * F.col("m")).alias("squares"))
-    together = members.select("leader", "node").distinct().groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
-    chosen = apart.join(together, "leader").where("m * m <= squares").select("leader", F.col("m").alias("all"))
-    rows = members.join(_counted_hint(materialise(chosen, "merged")), "leader", "left")
-    key = F.when(F.col("all").isNotNull(), F.xxhash64(F.lit("leader"), "leader")).otherwise(F.col("key"))
-    return rows.select(key.alias("key"), "node", "component", F.coalesce("all", "members").alias("members")).distinct()
-
-
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    """The pairs (leader, node), each once in either order, that were not compared before."""
-    ends = [F.greatest("leader", "node").alias("x"), F.least("leader", "node").alias("y")]
-    fresh = pairs.select(*ends, "leader", "node").dropDuplicates(["x", "y"]).join(tested.select(*ends), ["x", "y"], "left_anti")
-    return fresh.select("leader", "node")
-
-
-def _components(index: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """node, component of the nodes that have links."""
-    spark = docs.sparkSession
-    crowded = materialise(_crowded(index), "crowded")
-    sets = materialise(_sets(docs, materialise(crowded.select("node").distinct(), "nodes"), width), "sets")
-    # First each document with one leader: most keys of near copies are settled by that.
-    tested = materialise(_first_pairs(crowded, percent), "pairs")
-    found = materialise(_compare(tested, sets, percent), "found")
-    labels = components(found)
-    # Keys that hold several components still, split by size levels, each document with each leader.
-    split = materialise(split_by_levels(_apart(crowded, labels), percent), "split")
-    several = (F.min("component") != F.max("component")).alias("several")
-    kept = split.join(split.groupBy("key").agg(several).where("several").select("key"), "key")
-    entries = materialise(_entries(kept), "entries")
-    release(spark, crowded, split)
-    led = entries.where((F.col("component") != F.col("leader_component")) & _like_size(percent, "n", "leader_n"))
-    second = materialise(_untested(led.select("leader", "node"), tested), "pairs")
-    found = found.unionByName(materialise(_compare(second, sets, percent), "found"))
-    tested, labels = tested.unionByName(second), components(found)
-    # Entries that are open yet: small ones pair by pair, large ones in blocks.
-    left = materialise(_apart(entries.drop("component"), labels), "open")
-    sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    left = left.join(sizes, "key")
-    small, large = left.where(F.col("members") <= PAIRED), _merged(left.where(F.col("members") > PAIRED))
-    other = small.select("key", F.col("node").alias("second"), F.col("component").alias("other_component"), F.col("n").alias("other_n"))
-    crossing = small.join(other, "key").where((F.col("node") < F.col("second")) & (F.col("component") != F.col("other_component")) & _like_size(percent))
-    third = materialise(_untested(crossing.select(F.col("second").alias("leader"), "node"), tested), "pairs")
-    more = materialise(_compare(third, sets, percent).unionByName(_compare_blocks(large, sets, percent)), "found")
-    release(spark, entries, third, sets)
-    return components(found.unionByName(more)) if more.limit(1).count() else labels
+def slim_of(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """ident, h (digest of the text), text."""
+    return docs.select(named(ident).cast("long").alias("ident"), F.xxhash64(named(text)).alias("h"), named(text).alias("text"))
 
 
 def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -540,24 +334,8 @@ def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     empty result. Other columns are not looked at. n_shingles counts distinct 64-bit hashes: two
     n-grams of a text of a million words fall together with a chance of about 3 in 100 million.
     """
-    slim = docs.select(named(ident).cast("long").alias("ident"), F.xxhash64(named(text)).alias("h"), named(text).alias("text"))
-    rows = materialise(_keyed(slim, frequent_tokens(slim.select("text"), width), width, percent), "keyed")
-    base = rows.select("ident", "h", "n", "digest")
-    # One row of a class is indexed; min_by passes over null identifiers.
-    one = F.min_by(F.struct("n", "common", "keys", "places"), F.col("ident")).alias("one")
-    classes = materialise(rows.where("n > 0").groupBy("digest").agg(F.min("ident").alias("node"), one), "classes")
-    indexed = classes.where("node IS NOT NULL").select("node", "one.n", "one.common", F.explode(F.arrays_zip("one.keys", "one.places")).alias("at"))
-    labels = _components(indexed.select(F.col("at.keys").alias("key"), "node", "n", "common", F.col("at.places").alias("place")), slim, width, percent)
-    of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    done = base.join(of_class, "digest", "left").select(
-        F.col("ident").alias(ident),
-        "h",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("ident")).otherwise(F.col("component")).alias("component_id"),
-    )
-    result = materialise(done, "similar")
-    release(docs.sparkSession, rows, classes, labels)
-    return result
+    slim = slim_of(docs, ident, text)
+    return components_of(_keyed(slim, frequent_tokens(slim.select("text"), width), width, percent), slim, width, percent, ident)
 
 
 def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -576,9 +354,9 @@ def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", widt
     release(docs.sparkSession, similar)
     keyed = docs.withColumns({own_ident: named(ident).cast("long"), own_hash: F.xxhash64(named(text))})
     both = [own_ident, own_hash]
-    kept = keyed.join(_counted_hint(gone), both, "left_anti")
+    kept = keyed.join(counted_hint(gone), both, "left_anti")
     if repeated.limit(1).count():
-        known = _counted_hint(repeated)
+        known = counted_hint(repeated)
         kept = kept.join(known, both, "left_anti").unionByName(kept.join(known, both, "left_semi").dropDuplicates(both))
     return kept.select(*map(named, docs.columns))
 

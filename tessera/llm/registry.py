@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_events, content_sort, divergence, host_quality, merkle, mixing, ngram_join, pieces, quality_model, secret_forest, token_counts, token_files
+from tessera.llm import chat_events, content_sort, divergence, host_quality, merkle, minhash, mixing, ngram_join, pieces, quality_model, secret_forest, token_counts, token_files
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_pieces": pieces.op8_pieces,
         "op9_quality_model": quality_model.op9_quality_model,
         "op10_secret_forest": secret_forest.op10_secret_forest,
+        "op11_minhash": minhash.op11_minhash,
         "op12_source_divergence": divergence.op12_source_divergence,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }

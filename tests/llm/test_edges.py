@@ -105,25 +105,6 @@ def test_token_order_knows_frequencies(spark, monkeypatch):
     assert ngram_join.looked_up(token("x7 y7 z7"), several, cells, counts).tolist() == [0.0]
 
 
-@pytest.mark.parametrize("percent", [80, 90])
-def test_block_links_join_what_is_linked(percent):
-    r = np.random.default_rng(percent)
-    base = [np.unique(r.integers(0, 1 << 60, 80, dtype=np.uint64)) for _ in range(6)]
-    sets = [np.unique(np.concatenate((b[k:], r.integers(0, 1 << 60, k, dtype=np.uint64)))) for b in base for k in (0, 2, 5, 30)]
-    parts = list(range(len(sets)))
-    links = ngram_join.block_links(parts, parts, sets, percent)
-    same = lambda edges: {frozenset(g) for g in _groups(len(sets), edges)}
-    every = [(i, j) for i in parts for j in parts if i < j and ngram_join._linked(sets[i], sets[j], percent)]
-    assert same(links) == same(every) and len(links) < len(sets)
-
-
-def _groups(n, edges):
-    label = list(range(n))
-    for a, b in edges:
-        label = [label[a] if x == label[b] else x for x in label]
-    return [[i for i in range(n) if label[i] == g] for g in set(label)]
-
-
 def test_secret_candidates_by_pythons_patterns(spark):
     """Long runs of key characters with a digit, found in the same texts without the engine's pattern."""
     text = "see AbC1dEfG2hIjK3lMnO4 and plainlongwordwithoutdigits then x/y1z2w3v4u5t6s7r8 q9 short1"
