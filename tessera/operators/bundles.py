@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import json_values as J
 from tessera.functions import text as T
 from tessera.functions import verifiers as V
 from tessera.operators.order import with_running
@@ -32,7 +35,7 @@ def zero_answer(answer: Column) -> Column:
 
 def concrete(json_text: Column) -> Column:
     """Some value inside, at any depth, is a non-blank string, a number or a boolean."""
-    return V.concrete_json(json_text)
+    return J.concrete(json_text)
 
 
 def destructive(arguments: Column) -> Column:
@@ -103,17 +106,48 @@ def code_reason(code: Column, verifier: Column, language: Column, task: Column,
     )
 
 
+def accept_in_order(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """order, keys, round of the rows that a walk in order accepts: those that share no key with a row accepted before.
+
+    The walk is done in rounds over what is undecided: a row that comes first under each of its keys is
+    accepted, and what shares a key with it goes. Rows in random order are decided in a few rounds; a
+    round is needed for each link of the longest chain of rows that each wait for the one before.
+    order tells rows apart; keys are not null.
+    """
+    left, accepted, number = rows.select(order, *keys), [], 0
+    while True:
+        number += 1
+        marked = left
+        for i, key in enumerate(keys):
+            marked = marked.join(left.groupBy(key).agg(F.min(order).alias(f"__first{i}")), key)
+        ahead = F.lit(True)
+        for i in range(len(keys)):
+            ahead = ahead & (F.col(order) == F.col(f"__first{i}"))
+        marked = checkpoint(marked.select(order, *keys, ahead.alias("__ahead")), "round")
+        taken, rest = marked.where("__ahead"), marked.where("NOT __ahead")
+        accepted.append(taken.select(order, *keys, F.lit(number).alias("round")))
+        for key in keys:
+            rest = rest.join(taken.select(key), key, "left_anti")
+        left = checkpoint(rest.select(order, *keys), "undecided")
+        if left.isEmpty():
+            return functools.reduce(DataFrame.unionByName, accepted)
+
+
 def reject_duplicates(rows: DataFrame, order: str, text: str = "text", prompt: str = "prompt", reason: str = "reason") -> DataFrame:
-    """order, reason: duplicate_text, then duplicate_prompt among those left; only rows accepted so far count as seen.
+    """order, reason, round: a row without a reason is refused as duplicate_text, else duplicate_prompt, where a row that was accepted before it has its text or prompt.
 
-    Texts are read once, for their digests; what is joined afterwards is small rows.
+    Refused rows block nothing. round is the round in which a row was accepted, null for others.
+    Texts are read once, for their digests; what is joined afterwards is small rows. Null texts and
+    prompts count as empty.
     """
-    marked = checkpoint(rows.select(order, reason, *(F.sha1(T.fingerprint(F.col(c))).alias(k) for c, k in ((text, "__t"), (prompt, "__p")))))
-    for key, label in (("__t", "duplicate_text"), ("__p", "duplicate_prompt")):
-        keyed = marked.withColumn("__k", F.when(F.col(reason).isNull(), F.col(key)))
-        first = keyed.where(F.col("__k").isNotNull()).groupBy("__k").agg(F.min(order).alias("__first"))
-        marked = keyed.join(first, "__k", "left").withColumn(reason, F.when(F.col("__k").isNotNull() & (F.col(order) > F.col("__first")), label).otherwise(F.col(reason))).drop("__k", "__first")
-    return marked.select(order, reason)
+    digest = lambda c: F.sha1(T.fingerprint(F.coalesce(F.col(c), F.lit(""))))
+    marked = checkpoint(rows.select(order, reason, digest(text).alias("__t"), digest(prompt).alias("__p")), "digests")
+    accepted = accept_in_order(marked.where(F.col(reason).isNull()), order, ["__t", "__p"])
+    by = lambda key: accepted.select(key, F.col(order).alias(f"{key}_by"), *([F.col("round")] if key == "__t" else []))
+    known = marked.join(by("__t"), "__t", "left").join(by("__p"), "__p", "left")
+    before = lambda key: F.col(f"{key}_by") < F.col(order)
+    told = F.coalesce(F.col(reason), F.when(before("__t"), "duplicate_text").when(before("__p"), "duplicate_prompt"))
+    return known.select(order, told.alias(reason), F.when(told.isNull(), F.col("round")).alias("round"))
 
 
 def bundle_summary(records: DataFrame) -> DataFrame:

@@ -68,6 +68,12 @@ def latest_by(df: DataFrame, key: list[str], order: str, payload: list[str]) ->
     return df.groupBy(*key).agg(F.max_by(row, order).alias("__last")).select(*key, *(F.col(f"__last.{c}").alias(c) for c in payload))
 
 
+def first_n(df: DataFrame, group: list[str], order: list[str | Column], n: int) -> DataFrame:
+    """The first n rows of each group: each task keeps n rows a group before they are shuffled."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+
+
 def last_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The last n rows in rising order: a top-k, then a sort of n rows."""
     return df.orderBy(*(F.desc(c) for c in order)).limit(n).orderBy(*order)

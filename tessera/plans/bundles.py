@@ -49,15 +49,36 @@ def unique_ratio(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.round(F.countDistinct(F.sha1(T.fingerprint(F.col("text")))) / F.count(F.lit(1)), 6).alias("ratio"))
 
 
-@query("reject_duplicates", f"""WITH {_R}, a AS (SELECT doc_id, prompt, text, CASE WHEN NOT valid THEN 'too_short_response' END AS reason FROM r),
-  f AS (SELECT *, lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS ft, lower(regexp_replace(regexp_replace(prompt, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS fp FROM a),
-  b AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY reason, ft ORDER BY doc_id) > 1 THEN 'duplicate_text' ELSE reason END AS r2 FROM f)
-  SELECT doc_id, CASE WHEN r2 IS NULL AND row_number() OVER (PARTITION BY r2, fp ORDER BY doc_id) > 1 THEN 'duplicate_prompt' ELSE r2 END AS reason FROM b""")
+_FP = "lower(regexp_replace(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def walked(rows: str) -> str:
+    """SQL: a walk over rows (n from 1, doc_id, t, p, reason) that keeps lists of the texts and prompts accepted so far; walk has doc_id and reason."""
+    empty = "{'ts': []::UBIGINT[], 'ps': []::UBIGINT[], 'out': []::VARCHAR[]}"
+    told = "CASE WHEN x.reason IS NOT NULL THEN x.reason WHEN list_contains(seen.ts, x.t) THEN 'duplicate_text' WHEN list_contains(seen.ps, x.p) THEN 'duplicate_prompt' ELSE '' END"
+    step = f"{{'ts': CASE WHEN {told} = '' THEN list_append(seen.ts, x.t) ELSE seen.ts END, 'ps': CASE WHEN {told} = '' THEN list_append(seen.ps, x.p) ELSE seen.ps END, 'out': list_append(seen.out, {told})}}"
+    return f"""rows AS MATERIALIZED ({rows}),
+  walked AS (SELECT list_reduce(list({{'t': t, 'p': p, 'reason': reason}} ORDER BY n), lambda seen, x: {step}, {empty}).out AS out FROM rows),
+  walk AS (SELECT doc_id, nullif(out[n], '') AS reason FROM rows, walked)"""
+
+
+@query("reject_duplicates", f"""WITH {_R}, {walked(f"SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, hash({_FP.format('text')}) AS t, hash({_FP.format('prompt')}) AS p, CASE WHEN NOT valid THEN 'too_short_response' END AS reason FROM r")}
+  SELECT doc_id, reason FROM walk""")
 def reject_duplicates(spark, d):
     rows = _records(spark, d).select("doc_id", "prompt", "text", F.when(~F.col("valid"), "too_short_response").alias("reason"))
     return B.reject_duplicates(rows, "doc_id").select("doc_id", "reason")
 
 
+@query("ordered_acceptance", f"""WITH {walked("SELECT row_number() OVER (ORDER BY md5(event_id::VARCHAR), event_id) AS n, event_id AS doc_id, hash(user_id) AS t, hash(event_type || date_trunc('hour', ts)::VARCHAR) AS p, NULL::VARCHAR AS reason FROM events")}
+  SELECT doc_id AS event_id, reason FROM walk""")
+def ordered_acceptance(spark, d):
+    """Events in random order as records that share users and hours in long alternating chains."""
+    key = F.concat(F.md5(F.col("event_id").cast("string")), F.lpad(F.col("event_id").cast("string"), 20, "0"))
+    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss")
+    rows = table(spark, d, "events").select(key.alias("ord"), F.col("user_id").cast("string").alias("text"), F.concat("event_type", hour).alias("prompt"), F.lit(None).cast("string").alias("reason"))
+    return B.reject_duplicates(rows, "ord").select(F.substring("ord", 33, 20).cast("long").alias("event_id"), "reason")
+
+
 @query("common_reasons", """SELECT doc_id, CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < [1, 48, 32, 40, 16][(doc_id % 5 + 1)::INT] THEN 'too_short_response'
   WHEN length(source) < [1, 12, 1, 1, 16][(doc_id % 5 + 1)::INT] THEN 'too_short_reference' END AS reason FROM documents""")
 def common_reasons(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import mixing
-from tessera.operators.order import with_ordinal
+from tessera.operators.order import first_n, with_ordinal
 from tessera.plans.base import query
 from tessera.session import table
 
@@ -38,7 +38,8 @@ def min_length_16(spark, d):
 
 @query("max_docs_per_source", f"WITH {_ORD} SELECT doc_id, source FROM o WHERE ord <= 7")
 def max_docs_per_source(spark, d):
-    return _ordered(spark, d).where("ord <= 7").select("doc_id", "source")
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return first_n(docs, ["source"], ["doc_id"], 7)
 
 
 @query("byte_budget", """WITH b AS (SELECT doc_id, source, strlen(text) + 1 AS bytes FROM documents),
@@ -62,20 +63,17 @@ def tail_split(spark, d):
     return mixing.tail_split(table(spark, d, "documents").select("doc_id"), 0.05, ["doc_id"]).select("doc_id", "split")
 
 
-@query("lane_mix", """WITH l AS (SELECT doc_id, 'distill' AS bucket, row_number() OVER (ORDER BY doc_id) AS ord FROM documents WHERE source = 'src0'),
-  o AS (SELECT doc_id, 'original' AS bucket, row_number() OVER (ORDER BY doc_id) AS ord FROM documents WHERE source = 'src1'),
-  c AS (SELECT doc_id, 'clean' AS bucket, row_number() OVER (ORDER BY doc_id) AS ord FROM documents WHERE source = 'src2'),
-  t AS (SELECT ceil(count(*) / 0.6) AS total FROM l)
-  SELECT doc_id, bucket FROM l UNION ALL SELECT doc_id, bucket FROM o, t WHERE ord <= round_even(total * 0.35, 0)
-  UNION ALL SELECT doc_id, bucket FROM c, t WHERE ord <= round_even(total * 0.05, 0)""")
+@query("lane_mix", """WITH b AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'distill' WHEN lang = 'de' THEN 'original' ELSE 'clean' END AS bucket FROM documents),
+  o AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) AS ord FROM b), t AS (SELECT ceil(count(*) / 0.6) AS total FROM b WHERE bucket = 'distill')
+  SELECT doc_id, bucket FROM o, t WHERE ord <= CASE bucket WHEN 'distill' THEN ord WHEN 'original' THEN round_even(total * 0.35, 0) ELSE round_even(total * 0.05, 0) END""")
 def lane_mix(spark, d):
-    """60 : 35 : 5 around a lane that is used up; the others rounded half to even and cut by order."""
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    lead = docs.where("source = 'src0'")
+    """60 : 35 : 5 around a lane that is used up; the others rounded half to even and cut by order. English, German and all other documents are the three lanes."""
+    bucket = F.when(F.col("lang") == "en", "distill").when(F.col("lang") == "de", "original").otherwise("clean")
+    docs = table(spark, d, "documents").select("doc_id", bucket.alias("bucket"))
+    lead = docs.where("bucket = 'distill'")
     targets = mixing.mix_targets(lead.count(), (0.60, 0.35, 0.05))
-    parts = [(lead, "distill", targets[0]), (docs.where("source = 'src1'"), "original", targets[1]), (docs.where("source = 'src2'"), "clean", targets[2])]
-    cut = [p.orderBy("doc_id").limit(n).select("doc_id", F.lit(b).alias("bucket")) for p, b, n in parts]
-    return cut[0].unionByName(cut[1]).unionByName(cut[2])
+    others = [docs.where(F.col("bucket") == b).orderBy("doc_id").limit(n) for b, n in zip(("original", "clean"), targets[1:], strict=True)]
+    return lead.unionByName(others[0]).unionByName(others[1])
 
 
 @query("mix_source_counts", """WITH l AS (SELECT lang, source FROM documents) SELECT lang, count(*) AS n, count(DISTINCT source) AS sources FROM l GROUP BY lang""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import verifiers as V
+from tessera.functions.algebra import same_function
 from tessera.operators import records as R
 from tessera.plans.base import query
 from tessera.session import table
@@ -216,10 +217,45 @@ def verify_tool_call(spark, d):
     return e.select("event_id", F.round(V.json_tool_call(said, gold), 6).alias("score"))
 
 
-@query("verify_python_exec", "SELECT item_id, (item_id % 3 <> 0)::INT::DOUBLE AS score, NULL::DOUBLE AS lint FROM benchmark")
+@query("symbolic_equality", """WITH e AS (SELECT event_id, event_id % 97 + 1 AS a, user_id % 89 + 1 AS b, (event_id % 3 = 0)::INT AS off FROM events), p AS (SELECT unnest([2, -5, 11, 40]) AS x, unnest([3, 7, -13, 1]) AS y)
+  SELECT event_id, bool_and((x + a) * (x + a) * (y - b) = x * x * y - b * x * x + 2 * a * x * y - 2 * a * b * x + a * a * y - (a * a * b + off)) AS equal FROM e, p GROUP BY event_id""")
+def symbolic_equality(spark, d):
+    """A product and its expansion for each event; every third expansion is off by one. The SQL compares values at points."""
+    a, b = F.col("event_id") % 97 + 1, F.col("user_id") % 89 + 1
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    product = text("(x+", a, ")^2*(y-", b, ")/sqrt(9)")
+    expanded = text("(x^2*y - ", b, "*x**2 + ", 2 * a, "*x*y - ", 2 * a * b, "*x + ", a * a, "*y - ", a * a * b + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0), ")/3")
+    return table(spark, d, "events").select("event_id", same_function(product, expanded).alias("equal"))
+
+
+@query("reward_dispatch", """WITH e AS (SELECT event_id, ['gsm8k', 'exact_match', 'exact_math', 'mcq_reasoning', 'json_match', 'json_tool_call_match'][(event_id % 6 + 1)::INT] AS task, user_id % 10 AS v, floor(value)::BIGINT % 10 AS w FROM events)
+  SELECT event_id, task, CASE WHEN event_id % 11 = 0 THEN 0.0 WHEN task = 'mcq_reasoning' THEN (v % 4 = w % 4)::DOUBLE WHEN task = 'json_tool_call_match' THEN CASE WHEN v = w THEN 1.0 ELSE 0.7 END ELSE (v = w)::DOUBLE END AS score FROM e""")
+def reward_dispatch(spark, d):
+    """Six tasks in turn, each with an answer that hits its reference where two numbers agree; every eleventh answer refuses."""
+    e, tasks = table(spark, d, "events"), ("gsm8k", "exact_match", "exact_math", "mcq_reasoning", "json_match", "json_tool_call_match")
+    task = F.element_at(F.array(*map(F.lit, tasks)), (F.col("event_id") % 6 + 1).cast("int"))
+    v, w = F.col("user_id") % 10, F.floor("value") % 10
+    letter = lambda n: F.substring(F.lit("ABCD"), (n % 4 + 1).cast("int"), F.lit(1))
+    call = lambda n: F.concat(F.lit('{"tool_name": "mcp.x", "arguments": {"n": '), n.cast("string"), F.lit("}}"))
+
+    def form(n, said: bool):
+        text = n.cast("string")
+        by = {"gsm8k": F.concat(F.lit("So it is " if said else "#### "), text), "exact_math": F.concat(F.lit("x + "), text, F.lit(" + y")) if said else F.concat(F.lit("y + "), text, F.lit(" + x"))}
+        by |= {"mcq_reasoning": letter(n), "json_match": F.concat(F.lit('{"n": '), text, F.lit(".0}" if said else "}")), "json_tool_call_match": call(n)}
+        out = F
+        for name, column in by.items():
+            out = out.when(F.col("task") == name, column)
+        return out.otherwise(text)
+
+    answer = F.when(F.col("event_id") % 11 == 0, "I'm sorry, no.").otherwise(form(v, True))
+    rows = e.select("event_id", task.alias("task"), "user_id", "value")
+    return rows.select("event_id", "task", F.round(V.correctness(F.col("task"), answer, form(w, False)), 6).alias("score"))
+
+
+@query("verify_python_exec", "SELECT item_id, (item_id % 3 <> 0)::INT::DOUBLE AS score FROM benchmark")
 def verify_python_exec(spark, d):
-    """Functions of the items' numbers, run with an assert; every third is off by one. A linter that isn't installed gives null."""
+    """Functions of the items' numbers, run with an assert; every third is off by one."""
     i = F.col("item_id")
     answer = F.concat(F.lit("Here:\n```python\ndef f(x: int) -> int:\n    return x + "), i + (i % 3 == 0).cast("int"), F.lit("\n```"))
     score = V.python_exec(answer, F.concat(F.lit("assert f(1) == 1 + "), i), allowed=True, seconds=20)
-    return table(spark, d, "benchmark").select("item_id", score.alias("score"), V.linter("no_such_linter", answer).alias("lint"))
+    return table(spark, d, "benchmark").select("item_id", score.alias("score"))

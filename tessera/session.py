@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this driver in the shared folder.
+_written: list[tuple[SparkSession, str]] = []
+
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -49,12 +54,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{os.path.join(tempfile.gettempdir(), f'tessera-shared-{os.getuid()}')}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if not re.search(r"Some\(", str(spark.sparkContext._jsc.sc().getCheckpointDir().toString())):
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone
+            return
+
+
+def checkpoint(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage: write a table in the shared folder and read it again. It goes when the driver ends."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

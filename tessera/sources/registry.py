@@ -8,13 +8,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions import text as T
 from tessera.operators import records as R
 from tessera.sources import readers
 
 TURNS = "array<struct<from:string,role:string,value:string,content:string>>"
-LABELS = ("label", "category", "severity", "confidence", "language")
+#: Columns of the detection sources beside the text; a source that lacks one leaves it null.
+LABELS = ("label", "category", "severity", "confidence", "language", "nsfw_label", "instruction", "target")
 
 
 @dataclass(frozen=True)
@@ -61,14 +63,28 @@ PRETRAIN = (
     Entry("webdataset_phi35", "phi35_integrated/phi35_ppo_optimized_integrated.jsonl", "jsonl", _TEXT, _first("text", "original_text")),
 )
 
-_LABELLED = "text STRING, label STRING, category STRING, severity STRING, confidence DOUBLE, language STRING, source_dataset STRING"
-_OWN = {n: (lambda n=n: F.col(n)) for n in LABELS}
+def _or(name: str, default: str) -> Callable[[], Column]:
+    """A field, or the default where it is missing."""
+    return lambda: F.coalesce(F.col(name).cast("string"), F.lit(default))
+
+
+def _col(name: str) -> Callable[[], Column]:
+    return lambda: F.col(name)
+
+
+# Fixed values of the detection registry: stems, places, fields, defaults and names.
+_NSFW = "text STRING, nsfw_label STRING, category STRING, nsfw_severity STRING, nsfw_confidence DOUBLE, language STRING"
+_FOUR = "instruction STRING, input STRING, output STRING, four_class_label STRING, category STRING, nsfw_label STRING, language STRING"
+_OF_NSFW = {"label": _or("nsfw_label", "unknown"), "category": _or("category", ""), "severity": _col("nsfw_severity"), "confidence": _col("nsfw_confidence"), "language": _col("language")}
+_OF_DRUG = {"label": _or("category", "unknown"), "language": _col("language")}
+_OF_FOUR = {"label": _or("four_class_label", "unknown"), "category": _or("category", ""), "nsfw_label": _col("nsfw_label"), "instruction": _col("instruction"), "target": _col("output"), "language": _col("language")}
+_OF_NOVELS = {"label": lambda: F.lit("nsfw_raw"), "category": lambda: F.lit("japanese_nsfw_fiction")}
 DETECTION = (
-    *(Entry(f"detection_nsfw_{s}", f"nsfw_detection_dataset/nsfw_detection_{s}.jsonl", "jsonl", _LABELLED, _first("text"), labels=_OWN, dataset="nsfw_detection") for s in ("train", "val")),
-    *(Entry(f"detection_drug_{s}", f"drug_pharmaceutical_detection_dataset/drug_pharmaceutical_detection_{s}.jsonl", "jsonl", _LABELLED, _first("text"), labels=_OWN, dataset="drug_pharmaceutical_detection") for s in ("train", "val")),
-    Entry("detection_4class_qlora", "nsfw_drug_detection_qlora_training_data/*.jsonl", "jsonl", "instruction STRING, input STRING, output STRING", _first("input"), labels={"label": lambda: F.col("output")}, dataset="nsfw_drug_detection_qlora"),
-    Entry("detection_elizezen_nsfw", "datasets/Elizezen_japanese-nsfw-syosetsu-dataset/nsfw_0.json", "array", _TEXT, _first("text", "original_text"), labels={"label": lambda: F.lit("nsfw")}, dataset="elizezen_nsfw"),
-    *(Entry(f"detection_nsfw_safe_{s}", f"datasets/eliasalbouzidi_NSFW-Safe-Dataset/data/{s}-*.parquet", "parquet", "text STRING, label STRING", _first("text"), labels={"label": lambda: F.col("label")}, dataset="nsfw_safe") for s in ("train", "test")),
+    *(Entry(f"detection_nsfw_{s}", f"nsfw_detection_dataset/nsfw_detection_{s}.jsonl", "jsonl", _NSFW, _first("text"), labels=_OF_NSFW, dataset="nsfw_detection") for s in ("train", "val")),
+    *(Entry(f"detection_drug_{s}", f"drug_pharmaceutical_detection_dataset/drug_pharmaceutical_detection_{s}.jsonl", "jsonl", "text STRING, category STRING, language STRING", _first("text"), labels=_OF_DRUG, dataset="drug_detection") for s in ("train", "val")),
+    Entry("detection_4class_qlora", "nsfw_drug_detection_qlora_training_data/*.jsonl", "jsonl", _FOUR, _first("input"), labels=_OF_FOUR, dataset="nsfw_drug_qlora"),
+    Entry("detection_elizezen_nsfw", "datasets/Elizezen_japanese-nsfw-syosetsu-dataset/nsfw_0.json", "array", "text STRING, content STRING, data array<struct<text:string,content:string>>", _first("text", "content"), labels=_OF_NOVELS, dataset="elizezen_nsfw_syosetsu"),
+    *(Entry(f"detection_nsfw_safe_{s}", f"datasets/eliasalbouzidi_NSFW-Safe-Dataset/data/{s}-*.parquet", "parquet", "text STRING, content STRING, label STRING", _first("text", "content"), labels={"label": _or("label", "unknown")}, dataset="eliasalbouzidi_nsfw_safe") for s in ("train", "test")),
 )
 
 
@@ -80,10 +96,17 @@ def _files(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def _read(spark: SparkSession, entry: Entry, files: list[str]) -> DataFrame:
+    """The entry's fields. Parquet files may have them as other types, or lack some; an array may also be the field `data` of an object."""
     if entry.kind == "parquet":
-        return spark.read.schema(entry.schema).parquet(*files)
+        rows = spark.read.parquet(*files)
+        fields = StructType.fromDDL(entry.schema).fields
+        return rows.select(*((F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
     if entry.kind == "array":
-        return spark.read.schema(entry.schema).option("multiLine", True).json(files)
+        rows = spark.read.schema(entry.schema).option("multiLine", True).json(files)
+        if "data" not in rows.columns:
+            return rows
+        nested = F.struct(*(c for c in rows.columns if c != "data"))
+        return rows.select(F.explode(F.coalesce("data", F.array(nested))).alias("o")).select("o.*")
     return readers.jsonl(spark, files, entry.schema)
 
 

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,37 +33,6 @@ def rolling_slot(sequence: int, keep: int) -> str:
     return f"slot_{sequence % keep:02d}"
 
 
-def write_tokens(tokens: DataFrame, folder: str, order: list[str], column: str = "tokens", files: int = 8) -> DataFrame:
-    """Headerless little-endian u32 files, in order over the files; one row (file, ids) for each."""
-    spark = tokens.sparkSession
-    ranged = tokens.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        files_of, root = fs.FileSystem.from_uri(folder)
-        number, count, out, name = TaskContext.get().partitionId(), 0, None, ""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                name = f"{root}/tokens-{number:05d}.bin"
-                out = files_of.open_output_stream(f"{name}.part")
-            ids = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.dtype("<u4"))
-            out.write(ids.tobytes())
-            count += len(ids)
-        if out is not None:
-            out.close()
-            files_of.move(f"{name}.part", name)
-            yield pa.RecordBatch.from_pydict({"file": [name], "ids": pa.array([count], pa.int64())})
-
-    return ranged.select(column).mapInArrow(run, "file string, ids long")
-
-
 def csv_report(rows: DataFrame, path: str, columns: list[str]) -> None:
     """One CSV file with a fixed header; columns that rows lack are empty."""
     rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -2,7 +2,6 @@
 
 import gzip
 import json
-import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,13 +68,7 @@ def test_events_logs_and_runs(spark, tmp_path):
     assert readers.distill_runs(spark, f"{tmp_path}/runs").first().has_metrics
 
 
-def test_token_files_and_sinks(spark, tmp_path):
-    tokens = spark.createDataFrame([(i, [i, i + 1]) for i in range(10)], "i long, tokens array<int>")
-    written = sinks.write_tokens(tokens, f"file://{tmp_path}/bin", ["i"], files=3).collect()
-    assert sum(r.ids for r in written) == 20
-    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "bin").glob("*.bin")))
-    assert struct.unpack("<20I", whole) == tuple(x for i in range(10) for x in (i, i + 1))
-    assert sum(len(r.tokens) for r in readers.token_file(spark, f"{tmp_path}/bin/*.bin").collect()) == 20
+def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(i, "s", "t" * 40) for i in range(4)], "ord long, source string, text string")
     sinks.write_jsonl(rows, f"{tmp_path}/out", by=["source"])
     assert spark.read.json(f"{tmp_path}/out").count() == 4
@@ -85,6 +78,8 @@ def test_token_files_and_sinks(spark, tmp_path):
     js, md = sinks.report(rows.agg(F.count(F.lit(1)).alias("n")), rows.select("ord"), "Audit")
     assert json.loads(js)["summary"] == {"n": 4} and "- n: 4" in md
     assert sinks.yaml_manifest([{"name": "a", "n": 1}]) == '- name: "a"\n  n: 1\n'
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin" / "a.bin").write_bytes(b"abc")
     assert sinks.spdx(sinks.file_digests(spark, f"{tmp_path}/bin"), "x")["files"]
     assert sinks.rolling_slot(7, 3) == "slot_01"
 

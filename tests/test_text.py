@@ -58,7 +58,7 @@ def test_verifiers(spark):
     gold = '{"tool_name": "t", "arguments": {"a": 1, "dry_run": true}}'
     assert score(V.json_tool_call, gold, gold) == 1
     assert 0 < score(V.json_tool_call, '{"tool_name": "t", "arguments": {"a": 1}}', gold) <= 0.49
-    assert 0.49 < V.tool_call_score({"tool_name": "t", "arguments": {"a": 2, "b": 1}}, {"tool_name": "t", "arguments": {"a": 1, "b": 1}}) < 1
+    assert 0.49 < score(V.json_tool_call, '{"tool_name": "t", "arguments": {"a": 2, "b": 1}}', '{"tool_name": "t", "arguments": {"a": 1, "b": 1}}') < 1
     assert score(V.code_static_spec, "fn add(a: i32, b: i32) -> i32 { a + b } // adds", "the test should assert that it adds up") == 1
     total = value(spark, V.reward_total(V.verifier_total(F.lit(1.0), F.lit(1.0), F.lit(-0.1), F.lit(0.0)), F.lit(0.5), 0.3, 0.7))
     assert total == pytest.approx(0.7 * 0.9 + 0.3 * 0.5)
