@@ -11,6 +11,7 @@ after round, until its budget is met to the word.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,43 +27,46 @@ RANGE_ROWS = 2_000
 BROADCAST_SOURCES = 200_000
 
 
+def _level(total: float, share: float, sums: Callable[[float], tuple[float, float]]) -> float:
+    """The words for a weight of 1 that the sources which aren't full take; infinite where all are full.
+
+    A source is full where its cap is not above the level x its weight. The level rises until no further source is
+    full. sums gives, for a level, the caps of the full sources and the weights of the others.
+    """
+    level = -1.0
+    while True:
+        taken, weight = sums(level)
+        following = (share * total - taken) / weight if weight else math.inf
+        if following <= level or math.isinf(following):
+            return max(level, following) if math.isinf(following) else level
+        level = following
+
+
 def budgets(sizes: list[tuple], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, rounds: float = MOST_ROUNDS) -> dict:
     """Each source's target, from (source, size): by weight, at most rounds x its size, the excess shared again."""
     ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {source: weights[i % len(weights)] for i, (source, _) in enumerate(ordered)}
-    size = dict(ordered)
-    left, target = share * sum(size.values()), {}
-    free = set(size)
-    while free:
-        level = left / sum(weight[s] for s in free)
-        full = {s for s in free if level * weight[s] >= rounds * size[s]}
-        if not full:
-            target |= {s: level * weight[s] for s in free}
-            break
-        target |= {s: float(rounds * size[s]) for s in full}
-        left -= sum(rounds * size[s] for s in full)
-        free -= full
-    return target
+    rows = [(source, float(weights[i % len(weights)]), rounds * size) for i, (source, size) in enumerate(ordered)]
 
+    def sums(level: float) -> tuple[float, float]:
+        return sum(cap for _, w, cap in rows if cap <= level * w), sum(w for _, w, cap in rows if cap > level * w)
 
-def budget_table(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, rounds: float = MOST_ROUNDS) -> DataFrame:
-    """budgets() for any number of sources: __source, size, rows with __target.
+    level = _level(sum(size for _, size in sizes), share, sums)
+    return {source: float(cap if math.isinf(level) else min(cap, level * w)) for source, w, cap in rows}
 
-    A source is full where its cap for its weight is below the level of the others; the level
-    rises until no further source is full, by one sum over the sources a round.
-    """
+
+def budget_table(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, rounds: float = MOST_ROUNDS) -> DataFrame:
+    """budgets() for any number of sources: __source, size, rows with __target; the sums are taken by Spark, once a round."""
     ranked = with_ordinal(sources, [F.col("__source").asc_nulls_last()], name="__rank")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.col("__rank") - 1, F.lit(len(weights))) + 1).cast("int"))
     ranked = materialise(ranked.withColumn("__weight", weight).withColumn("__cap", rounds * F.col("size")), "sources")
-    level, total = -1.0, ranked.agg(F.sum("size")).first()[0] or 0
-    while True:
+
+    def sums(level: float) -> tuple[float, float]:
         full = F.col("__cap") <= level * F.col("__weight")
-        sums = ranked.agg(F.sum(F.when(full, F.col("__cap")).otherwise(0.0)).alias("taken"), F.sum(F.when(full, 0.0).otherwise(F.col("__weight"))).alias("weight")).first()
-        following = (share * total - (sums["taken"] or 0.0)) / sums["weight"] if sums["weight"] else math.inf
-        if following <= level or math.isinf(following):
-            break
-        level = following
-    last = F.col("__cap") if math.isinf(following) else F.least(F.col("__cap"), level * F.col("__weight"))
+        found = ranked.agg(F.sum(F.when(full, F.col("__cap")).otherwise(0.0)).alias("taken"), F.sum(F.when(full, 0.0).otherwise(F.col("__weight"))).alias("weight")).first()
+        return found["taken"] or 0.0, found["weight"] or 0.0
+
+    level = _level(ranked.agg(F.sum("size")).first()[0] or 0, share, sums)
+    last = F.col("__cap") if math.isinf(level) else F.least(F.col("__cap"), level * F.col("__weight"))
     return ranked.select("__source", "size", "rows", last.cast("double").alias("__target"))
 
 
@@ -75,10 +79,12 @@ def plan_mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", tex
 
     Null texts have size 0, null sources are one source, the last one. Repeated rows and equal
     keys are ordered by identifier and size; such rows are alike, so any order gives the same
-    rows. A source without words has target 0. An empty table gives an empty result. The sums of
-    taken are the targets' whole parts.
+    rows. A source without words has target 0. A very long text is counted whole and may be cut by the
+    budget. An empty table gives an empty result. The sums of taken are the targets' whole parts.
     """
-    key = F.md5(F.concat(F.coalesce(named(ident).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    known = named(ident).cast("string")
+    # Rows without an identifier are dealt by their texts.
+    key = F.md5(F.concat(F.coalesce(known, F.lit("")), F.lit(f":{seed}"), F.when(known.isNull(), F.sha2(F.coalesce(named(text), F.lit("")), 256)).otherwise("")))
     columns = {"__size": word_count(named(text)), "__key": key, "__ident": named(ident), "__source": named(source)}
     if payload:
         columns["__row"] = F.struct(*map(named, docs.columns))
@@ -141,7 +147,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS key
+         md5(coalesce(doc_id::VARCHAR, '') || ':mix' || CASE WHEN doc_id IS NULL THEN sha256(coalesce(text, '')) ELSE '' END) AS key
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT] AS weight
