@@ -120,7 +120,8 @@ def host_verdicts(measured: DataFrame, rules: dict[str, str] | None = None, time
     rejected where a shrunk rate is above times x m, held between least and most.
     """
     rules = rules or RULES
-    counts = measured.groupBy("__host").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(F.expr(f"CASE WHEN {sql} THEN 1 ELSE 0 END")).alias(f"__f_{name}") for name, sql in rules.items()))
+    failed = [F.sum(F.expr(f"CASE WHEN {sql} THEN 1 ELSE 0 END")).alias(f"__f_{name}") for name, sql in rules.items()]
+    counts = materialise(measured.groupBy("__host").agg(F.count(F.lit(1)).alias("docs"), *failed), "hosts")  # read for the prior and for the rates
     rate = lambda name: F.col(f"__f_{name}") / F.col("docs")
     prior = counts.agg(*(f for name in rules for f in (F.avg(rate(name)).alias(f"m_{name}"), F.var_pop(rate(name)).alias(f"v_{name}")))).first()
     mean = {name: prior[f"m_{name}"] or 0.0 for name in rules}
@@ -142,7 +143,8 @@ def quality(docs: DataFrame, ident: str = "doc_id", host: str = "source", text:
 
     kept is false for a document that fails a base rule or whose host is rejected. Null texts
     count as empty and fail as short; a null host is a host of its own; repeated rows are
-    measured each; an empty table gives an empty result; other columns are not looked at.
+    measured each; a text of any length is measured whole; there are no ties, as every rule and
+    host is judged by itself; an empty table gives an empty result; other columns are not looked at.
     """
     measured = materialise(measure(docs, ident, host, text), "quality")
     verdicts = host_verdicts(measured, **limits).withColumnRenamed("__host", "__verdict_host")
@@ -169,7 +171,8 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", **limit
     measured = judged.mapInArrow(_measured, StructType([judged.schema["__host"], *(StructField(m, LongType()) for m in MEASURES)]))
     rejected = materialise(host_verdicts(measured, **limits).where("host_rejected").select(F.col("__host").alias(rejected_host)), "rejected")
     rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_HOSTS else rejected
-    beside = arrow_udf(_measures_beside, StructType([StructField(m, LongType()) for m in MEASURES]), ArrowUDFType.SCALAR_ITER)
+    # Called non-deterministic, as conditions on its fields would otherwise call it once each.
+    beside = arrow_udf(_measures_beside, StructType([StructField(m, LongType()) for m in MEASURES]), ArrowUDFType.SCALAR_ITER).asNondeterministic()
     failed = " OR ".join(f"({RULES[name]})" for name in BASE)
     for m in MEASURES:
         failed = re.sub(rf"\b{m}\b", f"{own}.{m}", failed)
