@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, work_dir
+from tessera.llm.common import materialise, named, work_dir
 from tessera.llm.content_sort import ranges_below
 from tessera.llm.words import Texts, Words, slices
 from tessera.session import partitions
@@ -185,8 +185,8 @@ def encoded(docs: DataFrame, tokenizer: str, ident: str, text: str, end_id: int
     """
     size = _encoder(tokenizer).library.get_vocab_size(with_added_tokens=True) + 1
     kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-    slim = docs.select(F.col(ident).cast("long").alias("__ident"), F.xxhash64(F.col(text)).alias("__h"), F.col(text).alias("__text"))
-    names = ["doc", "h", "n", "ids", "counts"]
+    slim = docs.select(named(ident).cast("long").alias("__ident"), F.xxhash64(named(text)).alias("__h"), named(text).alias("__text"))
+    names = ["doc", "h", "n", "ids", "id", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
@@ -198,21 +198,18 @@ def encoded(docs: DataFrame, tokenizer: str, ident: str, text: str, end_id: int
                     counts[end_id] += part.num_rows
                 ends = np.concatenate(([0], np.cumsum(n) * kind.itemsize)).astype(np.int32)
                 raw = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))])
-                yield pa.RecordBatch.from_arrays([part.column("__ident"), part.column("__h"), pa.array(n), raw, pa.nulls(part.num_rows, pa.binary())], names=names)
-        if counts.any():
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([counts.tobytes()], pa.binary())], names=names)
-
-    table = materialise(slim.mapInArrow(run, "doc long, h long, n long, ids binary, counts binary"), "token-ids", "zstd")
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for raw in batch.column("counts").to_pylist():
-                total += np.frombuffer(raw, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
-
-    sums = table.where(F.col("counts").isNotNull()).select("counts").repartition(4).mapInArrow(added, "counts binary").collect()  # four vocabularies of numbers
-    return table.where(F.col("counts").isNull()).drop("counts"), sum((np.frombuffer(r["counts"], np.int64) for r in sums), np.zeros(size, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("__ident"), part.column("__h"), pa.array(n), raw, *(pa.nulls(part.num_rows, pa.list_(k)) for k in (pa.int32(), pa.int64()))], names=names)
+        some = np.flatnonzero(counts)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([some], pa.list_(pa.int32())), pa.array([counts[some]], pa.list_(pa.int64()))], names=names)
+
+    table = materialise(slim.mapInArrow(run, "doc long, h long, n long, ids binary, id array<int>, count array<bigint>"), "token-ids", "zstd")
+
+    counted = table.where(F.col("id").isNotNull()).select(F.explode(F.arrays_zip("id", "count")).alias("c"))
+    sums = counted.groupBy("c.id").agg(F.sum("c.count").alias("n")).toArrow()  # a row an id of the vocabulary
+    counts = np.zeros(size, np.int64)
+    counts[sums["id"].to_numpy()] = sums["n"].to_numpy()
+    return table.where(F.col("id").isNull()).drop("id", "count"), counts
 
 
 class _Writer:
