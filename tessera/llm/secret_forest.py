@@ -39,13 +39,13 @@ CANDIDATE = (
     r"|(?<![\"'`])(?![=:>])[^\s\"'`&;,#<>(){}\[\]|]*[^\s\"'`&;,#<>(){}\[\]|.:])"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+(?:={1,2}+(?![A-Za-z0-9_+/=-]|[\"'`][^\s,;)}\]]))?+"
 )
-#: Code points of context on either side; a context ends at the next candidate, but holds one that the value is assigned to.
-CONTEXT = 48
+#: Words of context on either side, on the candidate's line; a context ends at the next candidate, but holds one that the value is assigned to.
+CONTEXT_WORDS = 8
 JOINED = r"^[\"'`]?\]?[ \t]*[=:]{1,2}>?[ \t]*[\"'`]?$"
-#: Letters of a word of the vocabulary, and the occurrences of a common word.
-LETTERS, COMMON_COUNT = (3, 20), 20
-#: Words beside a candidate on its line whose odds are learnt, on either side, and how many words and path parts are known at most.
-WORDS_BESIDE, KNOWN_WORDS = 3, 512
+#: Least letters of a word of the vocabulary, and the occurrences of a common word.
+LETTERS, COMMON_COUNT = 3, 20
+#: Words beside a candidate on its line whose odds are learnt, on either side.
+WORDS_BESIDE = 3
 NEAR_OTHER = r"(?i)(sha-?\d|hash|commit|checksum|digest|md5|uuid|guid|card|isbn|version|revision|etag|build|integrity|order|phone)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|your|placeholder|changeme|xxxx|0000|1234567|abcdef|test)"
 BENIGN_PATH = r"(?i)(test|spec|example|sample|fixture|doc|mock|demo)"
@@ -59,10 +59,18 @@ TREES, DEPTH, SEED = 24, 7, 5
 LABELLED_ROWS = 6_000
 
 
+def _near(gap: Column, ahead: bool) -> Column:
+    """The CONTEXT_WORDS words of a gap that are next to a candidate on its line, with what stands between them."""
+    line = F.substring_index(gap, "\n", -1 if ahead else 1)
+    words = F.regexp_extract_all(line, F.lit("[^A-Za-z]++[A-Za-z]*+|[A-Za-z]++"), F.lit(0)) if ahead else F.regexp_extract_all(line, F.lit("[A-Za-z]++[^A-Za-z]*+|[^A-Za-z]++"), F.lit(0))
+    return F.array_join(F.reverse(F.slice(F.reverse(words), 1, CONTEXT_WORDS + 1)) if ahead else F.slice(words, 1, CONTEXT_WORDS + 1), "")
+
+
 def find_candidates(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """ident, path, start_char, end_char, candidate, before, after for each candidate of the whole texts.
 
-    start_char and end_char count code points from 0, the end not included. Null and empty texts
+    start_char and end_char count code points from 0, the end not included. before and after are
+    the neighbouring words on the line. Null and empty texts
     and tables have no candidates; repeated rows have theirs each; other columns are not looked at.
     """
     whole = docs.select(
@@ -86,8 +94,8 @@ def find_candidates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
         lambda found, i: F.struct(
             found.alias("candidate"),
             F.get("__starts", i).alias("start_char"),
-            F.right(F.when((i > 0) & F.get("__gaps", i).rlike(JOINED), F.concat(F.get("__found", i - 1), F.get("__gaps", i))).otherwise(F.get("__gaps", i)), F.lit(CONTEXT)).alias("before"),
-            F.left(F.get("__gaps", i + 1), F.lit(CONTEXT)).alias("after"),
+            _near(F.when((i > 0) & F.get("__gaps", i).rlike(JOINED), F.concat(F.get("__found", i - 1), F.get("__gaps", i))).otherwise(F.get("__gaps", i)), True).alias("before"),
+            _near(F.get("__gaps", i + 1), False).alias("after"),
         ),
     )
     one = gaps.select("__ident", "__path", F.explode(each).alias("__c"))
@@ -103,8 +111,8 @@ def find_candidates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word, n of the words of LETTERS letters in the whole texts, in lower case: counts by a pre-aggregated shuffle."""
-    words = F.regexp_extract_all(F.lower(named(text)), F.lit(rf"(?<![a-z])[a-z]{{{LETTERS[0]},{LETTERS[1]}}}(?![a-z])"), F.lit(0))
+    """word, n of the words of LETTERS letters or more in the whole texts, in lower case: counts by a pre-aggregated shuffle."""
+    words = F.regexp_extract_all(F.lower(named(text)), F.lit(rf"(?<![a-z])[a-z]{{{LETTERS},}}+"), F.lit(0))
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -148,9 +156,9 @@ def path_parts(path: Column) -> Column:
 
 
 def odds(labelled: DataFrame, parts: Column) -> dict[str, float]:
-    """For each part the logarithm of the odds of a secret with it, drawn towards the overall odds; the KNOWN_WORDS most frequent parts."""
+    """For each part the logarithm of the odds of a secret with it, drawn towards the overall odds; as many as the labelled rows have."""
     each = labelled.select(F.col("secret").cast("double").alias("s"), F.explode(F.array_distinct(parts)).alias("part"))
-    rows = each.groupBy("part").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "part").limit(KNOWN_WORDS).collect()
+    rows = each.groupBy("part").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).collect()  # a few for each labelled row
     whole = labelled.agg(F.avg(F.col("secret").cast("double"))).first()[0]
     mean = min(max(whole if whole is not None else 0.5, 0.01), 0.99)
     share = {r["part"]: (r["s"] + 4 * mean) / (r["n"] + 4) for r in rows}
@@ -172,7 +180,7 @@ def _coverage(findings: DataFrame, words: DataFrame) -> DataFrame:
 
     Its runs of letters are cut at capitals too, as in clientSecret, and looked up by a join.
     """
-    runs = F.regexp_extract_all(F.regexp_replace("candidate", r"([a-z])([A-Z])", "$1 $2"), F.lit(rf"[A-Za-z]{{{LETTERS[0]},}}"), F.lit(0))
+    runs = F.regexp_extract_all(F.regexp_replace("candidate", r"([a-z])([A-Z])", "$1 $2"), F.lit(rf"[A-Za-z]{{{LETTERS},}}"), F.lit(0))
     each = findings.select("candidate").where("candidate IS NOT NULL").distinct().select("candidate", F.explode_outer(F.transform(runs, F.lower)).alias("word"))
     covered = F.sum(F.when(F.col("n").isNotNull(), F.char_length("word")).otherwise(0))
     return each.join(words, "word", "left").groupBy("candidate").agg(covered.alias("__covered")).select(F.col("candidate").alias("__candidate"), "__covered")
@@ -280,7 +288,7 @@ class Detector:
 
 
 def train_forest(labelled: DataFrame, words: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Detector:
-    """Fit on labelled findings (candidate, before, after, path, secret); null labels and candidates are passed over.
+    """Fit on labelled findings (candidate, before, after, path, secret), a table that fits the driver; null labels and candidates are passed over.
 
     words is the vocabulary() of the corpus; its common words are written and kept for scoring.
     A table without labelled findings is an error of the forest.
