@@ -281,7 +281,7 @@ def encode_pieces(docs: DataFrame, model: str, ident: str = "doc_id", text: str
     so a text that holds it doesn't come back (round_trip false). Repeated rows are encoded
     each, an empty table gives an empty result, and other columns are not looked at.
     """
-    slim = docs.select(F.col(ident).alias("__ident"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    slim = docs.select(named(ident).alias("__ident"), F.coalesce(named(text), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, named
 from tessera.llm.host_quality import duplicate_lines, repeated_words
 from tessera.llm.words import Texts, Words, slices
 
@@ -97,7 +97,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def measure(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """__ident and stats (array) of each row's whole text."""
-    slim = docs.select(F.col(ident).alias("__ident"), F.col(text).alias("__text"))
+    slim = docs.select(named(ident).alias("__ident"), named(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +237,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", te
     an empty table gives an empty result; other columns are not looked at.
     """
     measured = materialise(measure(docs, ident, text), "quality-stats")
-    known = labels.where(F.col(label).isNotNull() & (fold(F.col(ident)) != HELD_OUT)).groupBy(F.col(ident).alias("__ident")).agg(F.avg(F.col(label)).alias("label"))
+    known = labels.where(named(label).isNotNull() & (fold(named(ident)) != HELD_OUT)).groupBy(named(ident).alias("__ident")).agg(F.avg(named(label)).alias("label"))
     labelled = materialise(measured.join(known, "__ident").select("stats", fold(F.col("__ident")).alias("fold"), "label"), "quality-labelled")
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled))
 

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import named
 from tessera.llm.words import slices
 
 #: Code points of a text that is encoded at once, of a chunk, and of the first overlap.
@@ -89,7 +90,7 @@ def token_counts(docs: DataFrame, model: str, ident: str = "doc_id", text: str =
     Null and empty texts have 0 tokens. Repeated rows are counted each, an empty table gives an
     empty result, and other columns are not looked at.
     """
-    slim = docs.select(F.col(ident).alias("__ident"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    slim = docs.select(named(ident).alias("__ident"), F.coalesce(named(text), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(model)

@@ -150,3 +150,45 @@ def test_budgets_of_many_sources_stay_a_table(spark, monkeypatch, share):
     got = {r.doc_id: (r.source_size, r.target, r.taken) for r in mixing.plan_mix(docs, share=share).collect()}
     assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items()}
     assert all(got[i][1] == pytest.approx(want[i][1]) and abs(got[i][2] - want[i][2]) <= 1 for i in want)
+
+
+def test_columns_with_dots_in_their_names(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words here"), (2, None), (3, "x " * 2000)], "`my.id` long, `te.xt` string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "`my.id` long, `go.od` int")
+    names = {"ident": "my.id", "text": "te.xt"}
+    assert token_counts.token_counts(docs, public_tokenizers.path(MODEL), **names).count() == 3
+    assert pieces.encode_pieces(docs, public_tokenizers.path(MODEL), **names).count() == 3
+    manifest, ranks = token_files.write_ids(docs, public_tokenizers.path(BPE), f"file://{tmp_path}/ids", end_id=1, **names)
+    assert token_files.read_ids(manifest, ranks).count() == 3
+    assert quality_model.quality_scores(docs, labels, label="go.od", **names).count() == 3
+
+
+def test_hosts_are_judged_in_one_pass_and_rows_kept_in_another(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def watched(text):
+        seen.add(1)
+        return text
+
+    good = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, good if i % 3 else "short", "en", f"s{i % 4}", 1) for i in range(60)], DOCS)
+    kept = host_quality.keep_good(docs.withColumn("text", watched.asNondeterministic()("text")))
+    assert len(kept.collect()) == 40 and seen.value == 120
+
+
+def test_rows_without_identifiers_are_dealt_by_their_texts(spark):
+    rows = [(None, f"{'w ' * (1 + i % 7)}{i}", "en", "a", 1) for i in range(200)] + [(i, "w w", "en", "b", 1) for i in range(20)]
+    planned = mixing.plan_mix(spark.createDataFrame(rows, DOCS), share=0.5).collect()
+    taken = [r for r in planned if r.doc_id is None]
+    assert sum(r.taken for r in taken) == int(taken[0].target) and 0 < sum(r.taken > 0 for r in taken) < 200
+
+
+def test_neighbouring_words_of_a_candidate_are_whole(spark):
+    long = "z" * 90
+    text = f"other line\nfirst {long} one two three four five six seven password = \"aB3dE5gH7jK9\" behind {long} it\nnext"
+    got = secret_forest.find_candidates(spark.createDataFrame([(1, text, "en", "s", 1)], DOCS)).first()
+    assert got.before == ' one two three four five six seven password = "'
+    assert got.after.startswith(f"\" behind {long} it") and "\n" not in got.before + got.after
