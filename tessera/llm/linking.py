@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, release
 from tessera.llm.components import components
+from tessera.llm.words import give_back
 
 #: Rows of the smaller side that are broadcast after a count; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -82,6 +83,7 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+        give_back()
 
     return ordered.mapInArrow(run, "a long, b long")
 
@@ -111,6 +113,7 @@ def _maps(sets: DataFrame, nodes: DataFrame) -> DataFrame:
             own = [np.frombuffer(raw, np.uint64) for raw in batch.column("set").to_pylist()]
             columns = [batch.column("node"), pa.array([len(s) for s in own], pa.int64()), pa.array([bit_map(s).tobytes() for s in own], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "bits"])
+        give_back()
 
     return sets.join(counted_hint(nodes), "node", "left_semi").select("node", "set").mapInArrow(run, "node long, n long, bits binary")
 
@@ -220,6 +223,8 @@ def _block_pairs(members: DataFrame, sets: DataFrame, percent: int, first: int |
                 held.append(row)
         if held:
             yield from found()
+        held.clear()
+        give_back()
 
     return materialise(ordered.mapInArrow(run, "leader long, node long, grp long, more boolean"), "passing")
 

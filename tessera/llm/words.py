@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,14 @@ _IS_SPACE[list(SPACE_BYTES)] = True
 SLICE_BYTES = 1 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task would otherwise keep what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch of about limit text bytes each."""
     if not batch.num_rows:
@@ -28,6 +37,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         end = max(start + 1, int(np.searchsorted(sizes, done + limit, "right")))
         yield batch.slice(start, end - start)
         start = end
+    give_back()
 
 
 class Texts:
