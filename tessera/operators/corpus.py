@@ -76,3 +76,17 @@ def issue_rates(audits: DataFrame) -> DataFrame:
     """Low-quality, prefix and simhash duplicates (not exact ones) a document."""
     issues = F.col("low_quality") + F.col("prefix_duplicates") + (F.col("simhash_duplicates") if "simhash_duplicates" in audits.columns else F.lit(0))
     return audits.withColumn("issue_rate", F.coalesce(F.try_divide(issues, F.col("docs")), F.lit(0.0)))
+
+
+#: Logarithm of a sketch's registers: a standard error of 0.8 %.
+SKETCH_BITS = 14
+
+
+def distinct_sketches(rows: DataFrame, group: list[str], key: Column, bits: int = SKETCH_BITS) -> DataFrame:
+    """group, sketch: what each group has of distinct keys, in a few kilobytes that can be stored and merged. Null keys don't count."""
+    return rows.groupBy(*group).agg(F.hll_sketch_agg(key, F.lit(bits)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, group: list[str]) -> DataFrame:
+    """group, sketch of the union of all sketches of a group; no group gives the union of all."""
+    return (sketches.groupBy(*group) if group else sketches).agg(F.hll_union_agg("sketch").alias("sketch"))

@@ -75,7 +75,7 @@ def lane_decision(summaries: DataFrame, policy: dict | None = None, lane: str =
     return summaries.withColumn("classification", kind).withColumn("priority", priority).withColumn("warnings", notes).orderBy("priority", lane)
 
 
-def health(state: Column, updated_at: Column, now: float | Column, stall_after: float = 1800.0) -> Column:
+def health(state: Column, updated_at: Column, now: float | Column, stall_after: float | Column = 1800.0) -> Column:
     s = F.lower(F.coalesce(state, F.lit("unknown")))
     now = now if isinstance(now, Column) else F.lit(float(now))
     return (
@@ -167,3 +167,33 @@ def inventory(files: DataFrame, now: float) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     kind = F.when(name.rlike(r"^(slot|rolling)_"), "rolling").otherwise("milestone")
     return files.select(name.alias("name"), kind.alias("kind"), "length", F.greatest(F.lit(0.0), F.lit(now) - F.col("modified").cast("double")).alias("age_sec"))
+
+
+def monitor_report(status: DataFrame, heartbeats: DataFrame, summaries: DataFrame, plans: DataFrame, now: float, run: str = "run") -> DataFrame:
+    """One row a run that has any of the four: its state, progress, errors, age and health, defaults where a part is missing.
+
+    status and heartbeats have state, updated_at and what a run says of itself; a run without a heartbeat is judged by
+    its status. plans has stall_after_sec (0 and null stand for half an hour), summaries total_records and schema_valid_rate.
+    """
+    as_beat = heartbeats.select(run, F.col("state").alias("beat_state"), F.col("updated_at").alias("beat_at"), F.lit(True).alias("beats"))
+    whole = status.join(as_beat, run, "full").join(summaries.select(run, "total_records", "schema_valid_rate"), run, "full").join(plans.select(run, "stall_after_sec"), run, "left")
+    after = F.coalesce(F.nullif(F.col("stall_after_sec"), F.lit(0.0)), F.lit(1800.0))
+    beat = lambda a, b: F.when(F.col("beats"), F.col(a)).otherwise(F.col(b))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return whole.select(
+        run,
+        F.coalesce("state", F.lit("unknown")).alias("state"),
+        F.coalesce("current_stage", F.lit("-")).alias("current_stage"),
+        health(beat("beat_state", "state"), beat("beat_at", "updated_at"), now, after).alias("health"),
+        count("processed_tasks"),
+        count("total_tasks"),
+        F.coalesce("progress_pct", F.lit(0.0)).alias("progress_pct"),
+        "eta_sec",
+        count("error_count"),
+        F.coalesce("last_error", F.lit("")).alias("last_error"),
+        "updated_at",
+        F.greatest(F.lit(0.0), F.lit(float(now)) - F.coalesce("updated_at", F.lit(float(now)))).alias("age_sec"),
+        F.coalesce("total_records", F.lit(0)).cast("long").alias("summary_records"),
+        F.coalesce("schema_valid_rate", F.lit(0.0)).alias("schema_valid_rate"),
+        after.alias("stall_after_sec"),
+    )

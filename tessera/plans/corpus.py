@@ -116,3 +116,18 @@ def near_copies_simhash(spark, d):
 
     rows = table(spark, d, "documents").select("doc_id", simhash64(T.normalize(F.col("text"))).alias("simhash"))
     return rows.groupBy("simhash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@query("distinct_sketches", """WITH s AS (SELECT source, count(DISTINCT text) AS n FROM documents GROUP BY source UNION ALL SELECT 'all sources', count(DISTINCT text) FROM documents)
+  SELECT source, n, true AS near, true AS merged FROM s""")
+def distinct_sketches(spark, d):
+    """Distinct texts by source and in all: exact, whether the sketch is within 2 %, and whether the merged sketches of the sources say what one sketch of all documents says."""
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("-")).alias("source"), "text")
+    key, estimate = F.sha2("text", 256), F.hll_sketch_estimate("sketch")
+    by_source = corpus.distinct_sketches(docs, ["source"], key)
+    whole = corpus.distinct_sketches(docs.withColumn("source", F.lit("all sources")), ["source"], key).select("source", estimate.alias("of_all"))
+    union = corpus.merged_sketches(by_source, []).select(F.lit("all sources").alias("source"), estimate.alias("estimate")).join(whole, "source")
+    told = by_source.select("source", estimate.alias("estimate"), F.lit(None).cast("long").alias("of_all")).unionByName(union.select("source", "estimate", "of_all"))
+    exact = docs.groupBy("source").agg(F.countDistinct(key).alias("n")).unionByName(docs.agg(F.countDistinct(key).alias("n")).select(F.lit("all sources").alias("source"), "n"))
+    near = F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(1.0), 0.02 * F.col("n"))
+    return exact.join(told, "source").select("source", "n", near.alias("near"), F.coalesce(F.col("of_all") == F.col("estimate"), F.lit(True)).alias("merged"))

@@ -192,3 +192,21 @@ def dimension_lookup(spark, d):
 @query("stage_counts", "SELECT count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed FROM events")
 def stage_counts(spark, d):
     return table(spark, d, "events").agg(F.count_if(F.col("event_type") == "purchase").alias("completed"), F.count_if(F.col("event_type") == "error").alias("failed"))
+
+
+@query("monitor_report", f"""WITH {_E}, r AS (SELECT user_id AS run, count(*) AS n, max(uts) AS u, arg_max(event_type, event_id) AS s, count(*) FILTER (event_type = 'error') AS errors, max(uts) FILTER (event_type = 'click') AS beat FROM e GROUP BY 1), m AS (SELECT max(uts) AS now FROM e),
+  k AS (SELECT *, user_id_mod FROM (SELECT *, run % 4 AS user_id_mod FROM r)), a AS (SELECT *, CASE WHEN user_id_mod = 1 THEN 86400.0 ELSE 1800.0 END AS after_, CASE WHEN beat IS NOT NULL AND run % 3 > 0 THEN beat ELSE u END AS last FROM k)
+  SELECT run, CASE s WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'running' END AS state, n AS processed_tasks, round(100.0 * n / 1000, 6) AS progress_pct, errors AS error_count, round(now - u, 3) AS age_sec, CASE WHEN run % 2 = 0 THEN n ELSE 0 END AS summary_records, after_ AS stall_after_sec,
+    CASE WHEN beat IS NOT NULL AND run % 3 > 0 THEN CASE WHEN now - beat > after_ THEN 'stalled' ELSE 'healthy' END WHEN s = 'error' THEN 'failed' WHEN s = 'purchase' THEN 'complete' WHEN now - u > after_ THEN 'stalled' ELSE 'healthy' END AS health FROM a, m""")
+def monitor_report(spark, d):
+    """Users as runs: status from all events, heartbeats from the clicks of two in three users, summaries for every second, plans for every fourth."""
+    e, run = _events(spark, d).withColumn("run", F.col("user_id")), F.col("user_id")
+    now = e.agg(F.max("uts")).first()[0]
+    last = e.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max("uts").alias("updated_at"), F.max_by("event_type", "event_id").alias("s"), F.count_if(F.col("event_type") == "error").alias("error_count"))
+    state = F.when(F.col("s") == "error", "failed").when(F.col("s") == "purchase", "done").otherwise("running")
+    status = last.select("run", state.alias("state"), F.lit(None).cast("string").alias("current_stage"), F.col("n").alias("processed_tasks"), F.lit(1000).alias("total_tasks"), (F.col("n") / 10).alias("progress_pct"), F.lit(None).cast("double").alias("eta_sec"), "error_count", F.lit(None).cast("string").alias("last_error"), "updated_at")
+    beats = e.where((F.col("event_type") == "click") & (run % 3 > 0)).groupBy("run").agg(F.max("uts").alias("updated_at")).withColumn("state", F.lit("running"))
+    summaries = last.where(F.col("run") % 2 == 0).select("run", F.col("n").alias("total_records"), F.lit(1.0).alias("schema_valid_rate"))
+    plans = last.where(F.col("run") % 4 == 1).select("run", F.lit(86400.0).alias("stall_after_sec"))
+    report = t.monitor_report(status, beats, summaries, plans, now)
+    return report.select("run", "state", "health", "processed_tasks", F.round("progress_pct", 6).alias("progress_pct"), "error_count", F.round("age_sec", 3).alias("age_sec"), "summary_records", "stall_after_sec")

@@ -31,25 +31,6 @@ def unseen(stream: DataFrame, fingerprint: str, ts: str | None = None, late: str
     return stream.dropDuplicates([fingerprint])
 
 
-def stalled(stream: DataFrame, run: str = "run", ts: str = "ts", after_seconds: int = 1800) -> DataFrame:
-    """A row for each run that has had no event for so long, by event-time timeout."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"run": [str(key[0])], "last_ms": [last], "health": ["stalled"]})
-            return
-        newest = max([state.get[0] if state.exists else 0, *(int(f["__ms"].max()) for f in frames)])
-        state.update((newest,))
-        state.setTimeoutTimestamp(max(newest + after_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    timed = stream.withWatermark(ts, "0 seconds").withColumn("__ms", F.unix_millis(F.col(ts).cast("timestamp")))
-    return timed.groupBy(run).applyInPandasWithState(step, "run string, last_ms long, health string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def drain(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run over what is there, write, and stop; the checkpoint lets the next call go on behind it."""
     query = result.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
