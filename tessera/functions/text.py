@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 # Fixed values of the cleaning rules.
 MIN_CHARS, MAX_CHARS = 64, 500_000
@@ -87,6 +90,54 @@ def quality_reason(text: Column) -> Column:
     )
 
 
+@functools.cache
+def _classes() -> np.ndarray:
+    """For each code point how often it counts for the ratio: once as a letter or number, once as CJK."""
+    table = np.fromiter((unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)), np.uint8, 0x110000)
+    for first, last in zip(CJK[::3], CJK[2::3], strict=True):
+        table[ord(first) : ord(last) + 1] += 1
+    return table
+
+
+def clean_text(text: str) -> tuple[str, str | None]:
+    """A text normalised as by normalize(), and the first rule that it fails as by quality_reason()."""
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    if "\t" in text or "\xa0" in text:
+        text = re.sub("[\t\xa0]+", " ", text)
+    if "\n\n\n" in text:
+        text = re.sub("\n{3,}", "\n\n", text)
+    text = text.strip()
+    n = len(text)
+    if not MIN_CHARS <= n <= MAX_CHARS:
+        return text, "short" if n < MIN_CHARS else "long"
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if int(_classes()[points].sum()) / n < MIN_ALNUM_CJK_RATIO:
+        return text, "low_alnum_cjk_ratio"
+    most = np.bincount(points).max() if points.max() < 1 << 14 else np.unique(points, return_counts=True)[1].max()
+    if most / n >= MAX_SINGLE_CHAR_RATIO:
+        return text, "single_char"
+    if text.count("\n") >= MAX_LINE_REPEAT - 1:
+        lines = Counter(x for x in map(str.strip, text.split("\n")) if len(x) >= MIN_REPEATED_LINE)
+        if max(lines.values(), default=0) >= MAX_LINE_REPEAT:
+            return text, "line_repeat"
+    return text, None
+
+
+_CLEANED = StructType([StructField("text", StringType()), StructField("reason", StringType())])
+
+
+@F.pandas_udf(_CLEANED)
+def _clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for s in batches:
+        yield pd.DataFrame([(None, None) if t is None else clean_text(t) for t in s], columns=["text", "reason"], dtype=object)
+
+
+def clean(text: Column) -> Column:
+    """A struct of the normalised text and the first rule that it fails (null if it passes all), by one pass over the text; nulls for null."""
+    return _clean.asNondeterministic()(text)  # its fields would otherwise be conditions that each call it again
+
+
 def prefix_hash(text: Column) -> Column:
     return F.sha1(F.substring(text, 1, DEDUP_HASH_PREFIX))
 

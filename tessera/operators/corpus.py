@@ -11,8 +11,8 @@ from tessera.session import checkpoint
 
 def cleaned(docs: DataFrame, ident: str = "doc_id", source: str = "source") -> DataFrame:
     """ident, source, text (normalised), reason (drop reason or null) of documents that have a text."""
-    norm = docs.where(F.col("text").isNotNull()).select(ident, source, T.normalize(F.col("text")).alias("text"))
-    return norm.withColumn("reason", T.quality_reason(F.col("text")))
+    read = docs.where(F.col("text").isNotNull()).select(ident, source, T.clean(F.col("text")).alias("__c"))
+    return read.select(ident, source, F.col("__c.text").alias("text"), F.col("__c.reason").alias("reason"))
 
 
 def drop_reasons(docs: DataFrame, ident: str = "doc_id", source: str = "source") -> DataFrame:
@@ -34,7 +34,7 @@ def clean_documents(docs: DataFrame, ident: str = "doc_id", source: str = "sourc
     Rows of one identifier are kept or dropped together. Texts are normalised in a second pass, so that none is written in between.
     """
     kept = drop_reasons(docs, ident, source).where(F.col("reason").isNull()).select(ident)
-    return docs.select(ident, source, T.normalize(F.col("text")).alias("text")).join(kept, ident, "left_semi")
+    return cleaned(docs.join(kept, ident, "left_semi"), ident, source).drop("reason")
 
 
 def clean_counters(docs: DataFrame, ident: str = "doc_id", source: str = "source") -> DataFrame:
@@ -51,10 +51,10 @@ def audit_rows(docs: DataFrame, ident: str = "doc_id", file: str = "source", sim
     """Length, reason and duplicate flags of each non-empty document; the texts are read once and don't travel on."""
     from tessera.functions.verifiers import simhash64
 
-    norm = docs.select(ident, file, T.normalize(F.col("text")).alias("text")).where(F.coalesce(F.col("text"), F.lit("")) != "")
+    norm = cleaned(docs, ident, file).where(F.col("text") != "")
     text = F.col("text")
     keys = {"exact": T.exact_hash(text), "prefix": T.prefix_hash(text)} | ({"simhash": simhash64(text)} if simhash else {})
-    slim = checkpoint(norm.select(ident, file, F.char_length("text").alias("chars"), T.quality_reason(text).alias("reason"), *(v.alias(f"k_{k}") for k, v in keys.items())))
+    slim = checkpoint(norm.select(ident, file, F.char_length("text").alias("chars"), "reason", *(v.alias(f"k_{k}") for k, v in keys.items())))
     rows = slim
     for k in keys:
         first = slim.groupBy(f"k_{k}").agg(F.min(ident).alias("__first"))

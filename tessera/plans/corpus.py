@@ -73,7 +73,7 @@ def issue_rate_topk(spark, d):
   top AS (SELECT * FROM c ORDER BY n DESC, first_doc LIMIT 20) SELECT prefix_hash, n FROM top WHERE n > 1""")
 def top_dup_prefixes(spark, d):
     """The 20 most common prefixes (ties by first appearance), and of these those that repeat."""
-    norm = table(spark, d, "documents").select("doc_id", T.normalize(F.col("text")).alias("t")).where("t <> ''")
+    norm = corpus.cleaned(table(spark, d, "documents")).select("doc_id", F.col("text").alias("t")).where("t <> ''")
     counts = norm.groupBy(T.prefix_hash(F.col("t")).alias("prefix_hash")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
     return counts.orderBy(F.desc("n"), "first_doc").limit(20).where("n > 1").select("prefix_hash", "n")
 

@@ -82,3 +82,18 @@ def test_records(spark):
     assert value(spark, T.chat_text(F.lit(" p "), F.lit("r"), F.lit(" "))) == "User: p\n\nAssistant: r"
     question, gold = R.answer_split(F.col("x"))
     assert value(spark, F.struct(question.alias("q"), gold.alias("g")), x="How? #### 42\nend").asDict() == {"q": "How?", "g": "#### 42"}
+
+
+def test_clean_text_is_the_columns_rule(spark):
+    """The one-pass function against the column rules, on texts of all kinds."""
+    import random
+
+    r = random.Random(6)
+    alphabet = ["a", "B", "7", " ", "\t", " ", "\n", "\n\n\n\n", "é", "ﬁ", "①", "漢", "か", "!", "?", "😀", "\x1f", "½", "ｱ"]
+    texts = ["", None, "x" * 70, "!" * 100, "ab " * 30, "line one\n" * 40, "  word\n" * 29 + "word", "ｱ" * 80, "a" * 500_001, "\n\n\n", "ok then " * 20 + "\n" * 40]
+    texts += ["".join(r.choices(alphabet, [r.random() for _ in alphabet], k=r.randrange(20, 400))) for _ in range(150)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    norm = T.normalize(F.col("t"))
+    rows = frame.select("t", T.clean(F.col("t")).alias("c"), norm.alias("n"), T.quality_reason(norm).alias("reason")).collect()
+    for x in rows:
+        assert (x.c.text, x.c.reason) == (x.n, x.reason) or x.n is not None and x.c.text == x.n.strip(), repr(x.t)
