@@ -93,10 +93,28 @@ def fetch_gate(sources: DataFrame, least: int, metadata_only: bool = False) -> D
     return totals.withColumn("sampled_sources", F.when(F.col("sampled_sources") >= least, F.col("sampled_sources")).otherwise(F.raise_error(said).cast("long")))
 
 
-def reset_guard(evidence: DataFrame) -> DataFrame:
-    """Whether a run's folder may be reset: place, records. Any place with records forbids it, and the places are named."""
-    found = F.collect_set(F.when(F.col("records") > 0, F.col("place")))  # places, not rows: a handful
-    return evidence.agg(F.array_sort(found).alias("evidence")).withColumn("may_reset", F.size("evidence") == 0)
+def reset_guard(artifacts: DataFrame, summaries: DataFrame, statuses: DataFrame, checkpoints: DataFrame, run: str = "run", forced: bool = False) -> DataFrame:
+    """run, reasons, may_reset for each run with any evidence: whether its folder may be reset.
+
+    What forbids it: artifacts (name, size) that aren't empty, a summary (total_records), a status (train_records, val_records,
+    processed_tasks) and checkpoints (train_records, val_records, processed_tasks_total) that tell of records or tasks; forced overrides.
+    """
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    whole = lambda c: c.cast("string")
+    records = count("train_records") + count("val_records")
+    files = artifacts.groupBy(run).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("size") > 0, F.col("name")))), ", ").alias("f"))  # a few names a run
+    told = summaries.groupBy(run).agg(F.max(count("total_records")).alias("s"))
+    status = statuses.groupBy(run).agg(F.max(records).alias("r"), F.max(count("processed_tasks")).alias("p"))
+    saved = checkpoints.groupBy(run).agg(F.max(records).alias("cr"), F.max(count("processed_tasks_total")).alias("cp"))
+    every = files.join(told, run, "full").join(status, run, "full").join(saved, run, "full")
+    reasons = [
+        F.when(F.col("f") != "", F.concat(F.lit("non-empty artifacts: "), "f")),
+        F.when(F.col("s") > 0, F.concat(F.lit("eval_summary.json reports "), whole(F.col("s")), F.lit(" records"))),
+        F.when((F.col("r") > 0) | (F.col("p") > 0), F.concat(F.lit("status.json reports "), whole(F.col("p")), F.lit(" processed tasks and "), whole(F.col("r")), F.lit(" records"))),
+        F.when((F.col("cr") > 0) | (F.col("cp") > 0), F.concat(F.lit("checkpoint_*.json reports up to "), whole(F.col("cp")), F.lit(" processed tasks and "), whole(F.col("cr")), F.lit(" records"))),
+    ]
+    said = F.concat_ws("; ", *reasons)
+    return every.select(run, said.alias("reasons"), ((said == "") | F.lit(forced)).alias("may_reset"))
 
 
 def chosen_stages(stages: DataFrame, only: str = "", skip: str = "", name: str = "stage") -> DataFrame:

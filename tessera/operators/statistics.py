@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint
+
 EXACT_PAIRS = 16
 
 
@@ -49,7 +51,8 @@ def friedman(scores: DataFrame, by: list[str], group: str = "group", block: str
 
 
 def exact_sign_flips(diffs: Column) -> Column:
-    """Two-sided exact sign-flip p-value of paired differences (up to EXACT_PAIRS); both counts start at one."""
+    """Two-sided exact sign-flip p-value of paired differences, null beyond EXACT_PAIRS of them; both counts start at one."""
+    diffs = F.when(F.size(diffs) <= EXACT_PAIRS, diffs)
     n = F.size(diffs)
     observed = F.abs(F.aggregate(diffs, F.lit(0.0), lambda a, x: a + x)) / n
     flipped = lambda mask: F.abs(
@@ -57,7 +60,7 @@ def exact_sign_flips(diffs: Column) -> Column:
     ) / n
     masks = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), n).cast("long") - 1)
     extreme = F.size(F.filter(masks, lambda m: flipped(m) >= observed - 1e-12))
-    return F.when(observed == 0, 1.0).otherwise(F.least(F.lit(1.0), (extreme + 1) / (F.size(masks) + 1)))
+    return F.when(observed == 0, 1.0).when(observed.isNotNull(), F.least(F.lit(1.0), (extreme + 1) / (F.size(masks) + 1)))
 
 
 def paired(scores: DataFrame, by: list[str], group: str = "group", block: str = "block", order: str = "group_ord", score: str = "score") -> DataFrame:
@@ -70,8 +73,12 @@ def paired(scores: DataFrame, by: list[str], group: str = "group", block: str =
     return both.groupBy(*by, "left", "right", "i", "j").agg(diffs.alias("diffs"), (F.avg("a") - F.avg("b")).alias("mean_delta"))
 
 
-def pairwise_exact(scores: DataFrame, by: list[str], **names) -> DataFrame:
-    return paired(scores, by, **names).withColumn("p_value", exact_sign_flips(F.col("diffs")))
+def pairwise(scores: DataFrame, by: list[str], permutations: int = 10_000, seed: int = 0, **names) -> DataFrame:
+    """Each pair of groups with a p-value: exact up to EXACT_PAIRS blocks, by random flips beyond."""
+    pairs = checkpoint(paired(scores, by, **names), "pairs")
+    few = F.size("diffs") <= EXACT_PAIRS
+    exact = pairs.where(few).withColumn("p_value", exact_sign_flips(F.col("diffs"))).drop("diffs", "i", "j")
+    return exact.unionByName(_sampled(pairs.where(~few), permutations, seed))
 
 
 def sampled_sign_flips(diffs: list[float], permutations: int, seed: int) -> float:
@@ -115,9 +122,11 @@ def _extreme_flips(diffs: list[float], limit: float, total: int, generator: rand
 
 def pairwise_sampled(scores: DataFrame, by: list[str], permutations: int = 10_000, seed: int = 0, **names) -> DataFrame:
     """Each pair of groups with its own seed, in Python for the generator's sake."""
-    import pandas as pd
+    return _sampled(paired(scores, by, **names), permutations, seed)
 
-    pairs = paired(scores, by, **names)
+
+def _sampled(pairs: DataFrame, permutations: int, seed: int) -> DataFrame:
+    import pandas as pd
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import checks as C
@@ -12,10 +15,10 @@ from tessera.session import table
 _B = """b AS (SELECT lang, left(text, 40) AS prompt, text, CASE WHEN doc_id % 50 = 0 THEN 'x return None' WHEN doc_id % 50 = 1 THEN '{"arguments": {}}' WHEN doc_id % 50 = 2 THEN '<answer>0</answer>' ELSE source END AS response, source AS reference FROM documents)"""
 
 
-def _bundle(spark, d):
-    i = F.col("doc_id") % 50
+def _bundle(spark, d, every=50):
+    i = F.col("doc_id") % every
     response = F.when(i == 0, "x return None").when(i == 1, '{"arguments": {}}').when(i == 2, "<answer>0</answer>").otherwise(F.col("source"))
-    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("prompt"), "text", response.alias("response"), F.col("source").alias("reference"))
+    return table(spark, d, "documents").select("doc_id", "lang", F.substring("text", 1, 40).alias("prompt"), "text", response.alias("response"), F.col("source").alias("reference"))
 
 
 @query("bundle_heuristics", f"""WITH {_B} SELECT count(*) AS total_records, count(DISTINCT coalesce(prompt, '')) AS unique_prompts, count(DISTINCT coalesce(text, '')) AS unique_texts,
@@ -26,14 +29,22 @@ def bundle_heuristics(spark, d):
     return C.bundle_heuristics(_bundle(spark, d))
 
 
-@query("heuristic_gate", """SELECT lane, reason FROM (VALUES ('code', 'code fallback `def solve(): return None` records detected'), ('math', 'math fallback `<answer>0</answer>` records detected'), ('stem_reasoning', ''), ('tool_use', 'tool-use empty `arguments: {}` records detected')) v(lane, reason)""")
-def heuristic_gate(spark, d):
-    """The first reason of each lane over the same rows."""
-    counts = C.bundle_heuristics(_bundle(spark, d))
-    from functools import reduce
+_COUNTS = """c AS (SELECT lang, count(*) AS n, count(DISTINCT coalesce(prompt, '')) AS p, count(DISTINCT coalesce(text, '')) AS t, count(*) FILTER (contains(response, 'return None') OR contains(text, 'return None')) AS none, count(*) FILTER (contains(response, '<answer>0</answer>')) AS zero,
+  count(*) FILTER (contains(response, '"arguments": {}') OR contains(text, '"arguments": {}')) AS empty, count(*) FILTER (contains(prompt, 'A. Option A')) AS options FROM b GROUP BY lang),
+  m AS (SELECT lang, max(k) AS most FROM (SELECT lang, reference, count(*) AS k FROM b GROUP BY ALL) GROUP BY lang)"""
 
-    parts = [C.heuristic_gate(counts, lane).select(F.lit(lane).alias("lane"), F.array_join("reasons", "; ").alias("reason")) for lane in C.LANE_REASONS]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+
+@query("heuristic_gate", f"""WITH {_B.replace("doc_id % 50", "doc_id % 150")}, {_COUNTS} SELECT lang, lane, concat_ws('; ',
+  CASE WHEN lane = 'code' AND none > 0 THEN 'code fallback `def solve(): return None` records detected' WHEN lane = 'math' AND zero > 0 THEN 'math fallback `<answer>0</answer>` records detected' WHEN lane = 'stem_reasoning' AND options > 0 THEN 'stem placeholder `Option A/B/C/D` choices detected' WHEN lane = 'tool_use' AND empty > 0 THEN 'tool-use empty `arguments: {{}}` records detected' END,
+  CASE WHEN (n - p) / n > 0.5 THEN 'duplicate prompt ratio exceeds 50%' END, CASE WHEN (n - t) / n > 0.5 THEN 'duplicate text ratio exceeds 50%' END,
+  CASE WHEN most / n > 0.75 AND lane <> 'code' THEN 'reference label/value skew exceeds 75%' END) AS reason FROM c JOIN m USING (lang), (VALUES ('code'), ('math'), ('stem_reasoning'), ('tool_use')) v(lane)""")
+def heuristic_gate(spark, d):
+    """The reasons of each lane over each language's rows, of which few are fallbacks."""
+    rows, parts = _bundle(spark, d, 150), []
+    for lang in [r["lang"] for r in rows.select("lang").distinct().collect()]:  # a row a language
+        counts = C.bundle_heuristics(rows.where(F.col("lang") == lang))
+        parts += [C.heuristic_gate(counts, lane).select(F.lit(lang).alias("lang"), F.lit(lane).alias("lane"), F.array_join("reasons", "; ").alias("reason")) for lane in C.LANE_REASONS]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("fetch_gate", "SELECT count(*) AS sources, count(*) FILTER (n >= 50) AS sampled_sources, count(*) FILTER (n < 50) AS failed_sources FROM (SELECT count(*) AS n FROM documents GROUP BY source)")
@@ -42,12 +53,20 @@ def fetch_gate(spark, d):
     return C.fetch_gate(sources.withColumn("status", F.when(F.col("n") >= 50, "sampled").otherwise("error")), 1)
 
 
-@query("reset_guard", "SELECT source, array_to_string(list_sort(list_distinct(list(lang) FILTER (length(text) > 2000))), ',') AS evidence FROM documents GROUP BY source")
+@query("reset_guard", """WITH f AS (SELECT source AS run, array_to_string(list_sort(list(DISTINCT lang) FILTER (length(text) > 4000)), ', ') AS f FROM documents GROUP BY source),
+  s AS (SELECT source AS run, count(*) FILTER (doc_id % 97 = 0) AS s FROM documents GROUP BY source), t AS (SELECT source AS run, count(*) FILTER (doc_id % 101 = 1) + count(*) FILTER (doc_id % 103 = 2) AS r, count(*) FILTER (doc_id % 107 = 3) AS p FROM documents GROUP BY source),
+  k AS (SELECT run, max(r) AS cr, max(p) AS cp FROM (SELECT source AS run, lang, count(*) FILTER (doc_id % 109 = 4) AS r, count(*) FILTER (doc_id % 113 = 5) AS p FROM documents GROUP BY ALL) GROUP BY run),
+  e AS (SELECT run, concat_ws('; ', 'non-empty artifacts: ' || nullif(f, ''), CASE WHEN s > 0 THEN 'eval_summary.json reports ' || s || ' records' END, CASE WHEN r > 0 OR p > 0 THEN 'status.json reports ' || p || ' processed tasks and ' || r || ' records' END,
+    CASE WHEN cr > 0 OR cp > 0 THEN 'checkpoint_*.json reports up to ' || cp || ' processed tasks and ' || cr || ' records' END) AS reasons FROM f JOIN s USING (run) JOIN t USING (run) JOIN k USING (run)) SELECT run, reasons, reasons = '' AS may_reset FROM e""")
 def reset_guard(spark, d):
-    """Per source, the languages that hold a long text as places with records."""
-    rows = table(spark, d, "documents").groupBy("source", "lang").agg(F.count_if(F.char_length("text") > 2000).alias("records"))
-    found = F.collect_set(F.when(F.col("records") > 0, F.col("lang")))
-    return rows.groupBy("source").agg(F.when(F.size(found) > 0, F.array_join(F.array_sort(found), ",")).alias("evidence"))
+    """Sources as runs: languages with long texts as artifacts, and rare documents as the records that summaries, statuses and checkpoints tell of."""
+    docs = table(spark, d, "documents").withColumnRenamed("source", "run")
+    of = lambda n, rest: F.count_if(F.col("doc_id") % n == rest)
+    artifacts = docs.groupBy("run", F.col("lang").alias("name")).agg(F.count_if(F.char_length("text") > 4000).alias("size"))
+    summaries = docs.groupBy("run").agg(of(97, 0).alias("total_records"))
+    statuses = docs.groupBy("run").agg(of(101, 1).alias("train_records"), of(103, 2).alias("val_records"), of(107, 3).alias("processed_tasks"))
+    checkpoints = docs.groupBy("run", "lang").agg(of(109, 4).alias("train_records"), F.lit(0).alias("val_records"), of(113, 5).alias("processed_tasks_total"))
+    return C.reset_guard(artifacts, summaries, statuses, checkpoints)
 
 
 @query("chosen_stages", "SELECT DISTINCT n_name AS stage FROM nation WHERE (contains(n_name, '_1') OR contains(n_name, '3')) AND NOT contains(n_name, '12') AND NOT contains(n_name, '_3')")

@@ -68,7 +68,7 @@ def pairwise_deltas(spark, d):
   f AS (SELECT benchmark, l, r, mask, any_value(obs) AS obs, abs(sum(CASE WHEN (mask >> (i - 1)::BIGINT) & 1 = 1 THEN d[i] ELSE -d[i] END)) / count(*) AS v FROM (SELECT *, unnest(range(1, len(d) + 1)) AS i FROM m) GROUP BY 1, 2, 3, 4)
   SELECT benchmark, l AS "left", r AS "right", round(CASE WHEN any_value(obs) = 0 THEN 1.0 ELSE least(1.0, (1 + count(*) FILTER (v >= obs - 1e-12)) / (1.0 + count(*))) END, 6) AS p_value FROM f GROUP BY 1, 2, 3""")
 def perm_exact(spark, d):
-    return _rounded(st.pairwise_exact(_scores(spark, d), ["benchmark"]).select("benchmark", "left", "right", "p_value"), "p_value")
+    return _rounded(st.pairwise(_scores(spark, d), ["benchmark"]).select("benchmark", "left", "right", "p_value"), "p_value")
 
 
 @query("group_report", f"""WITH {_S}, r AS (SELECT benchmark, "group", rank() OVER (PARTITION BY benchmark, block ORDER BY score) + (count(*) OVER (PARTITION BY benchmark, block, score) - 1) / 2.0 AS rank FROM s),

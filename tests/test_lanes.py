@@ -99,8 +99,18 @@ def test_guards_and_gates(spark):
     assert checks.fetch_gate(sources, 1).first().sampled_sources == 1 and checks.fetch_gate(sources, 5, metadata_only=True).first().sampled_sources == 1
     with pytest.raises(Exception, match="too few sources"):
         checks.fetch_gate(sources, 2).collect()
-    evidence = spark.createDataFrame([("items", 0), ("train", 4)], "place string, records long")
-    assert checks.reset_guard(evidence).first() == (["train"], False) and checks.reset_guard(evidence.where("records = 0")).first() == ([], True)
+
+
+def test_reset_guard_names_all_evidence(spark):
+    files = spark.createDataFrame([("a", "train.jsonl", 0), ("b", "val.jsonl", 3), ("b", "train.jsonl", 9), ("c", "x", None)], "run string, name string, size long")
+    summaries = spark.createDataFrame([("a", 0), ("b", 4)], "run string, total_records long")
+    statuses = spark.createDataFrame([("d", 1, None, 0), ("b", 2, 3, 7)], "run string, train_records long, val_records long, processed_tasks long")
+    saved = spark.createDataFrame([("b", 1, 1, 0), ("b", 5, 0, 2), ("e", 0, 0, 0)], "run string, train_records long, val_records long, processed_tasks_total long")
+    got = {r.run: (r.reasons, r.may_reset) for r in checks.reset_guard(files, summaries, statuses, saved).collect()}
+    assert got["a"] == got["c"] == got["e"] == ("", True)
+    assert got["d"] == ("status.json reports 0 processed tasks and 1 records", False)
+    assert got["b"] == ("non-empty artifacts: train.jsonl, val.jsonl; eval_summary.json reports 4 records; status.json reports 7 processed tasks and 5 records; checkpoint_*.json reports up to 2 processed tasks and 5 records", False)
+    assert all(r.may_reset for r in checks.reset_guard(files, summaries, statuses, saved, forced=True).collect())
 
 
 def test_panels(spark):

@@ -56,11 +56,11 @@ def test_statistics(spark):
     r = random.Random(1)
     data = {g: [round(r.random(), 2) for _ in range(6)] for g in "xyz"}
     long = spark.createDataFrame([("b", g, j, i, v) for j, g in enumerate(data) for i, v in enumerate(data[g])], "benchmark string, group string, group_ord long, block long, score double")
-    p = {(x.left, x.right): x.p_value for x in statistics.pairwise_exact(long, ["benchmark"]).collect()}
+    p = {(x.left, x.right): x.p_value for x in statistics.pairwise(long, ["benchmark"]).collect()}
     for (a, b), value in p.items():
         assert value == pytest.approx(statistics.sampled_sign_flips([u - v for u, v in zip(data[a], data[b])], 0, 0))
     same = long.withColumn("score", F.lit(0.5))
-    assert {x.p_value for x in statistics.pairwise_exact(same, ["benchmark"]).collect()} == {1.0}
+    assert {x.p_value for x in statistics.pairwise(same, ["benchmark"]).collect()} == {1.0}
     q = statistics.friedman(long, ["benchmark"]).first().statistic
     s = statistics.friedman_sampled(long, ["benchmark"], permutations=50).first()
     assert s.statistic == pytest.approx(q) and 0 < s.p_value <= 1
@@ -136,3 +136,13 @@ def test_gate_and_generators(spark):
     assert bundles.gate_failures(bundles.bundle_summary(records.limit(0))).first().failures == ["no accepted records"]
     again = generators.generate(spark, "tool_use", 20).collect()
     assert again == generators.generate(spark, "tool_use", 20).collect()
+
+
+def test_many_pairs_are_sampled(spark):
+    """Beyond sixteen blocks no row lists all sign flips."""
+    rows = [("x", g, k, b, float(b % 5 + k * (b % 3))) for k, g in enumerate("ab") for b in range(40)] + [("y", g, k, b, float(b * k)) for k, g in enumerate("ab") for b in range(4)]
+    long = spark.createDataFrame(rows, "benchmark string, `group` string, group_ord int, block int, score double")
+    got = {r.benchmark: r.p_value for r in statistics.pairwise(long, ["benchmark"], permutations=500).collect()}
+    assert got["x"] == statistics.sampled_sign_flips([-float(b % 3) for b in range(40)], 500, 1) and 0 < got["y"] <= 1
+    wide = spark.createDataFrame([([0.5] * 30,)], "d array<double>").select(statistics.exact_sign_flips(F.col("d")).alias("p"))
+    assert wide.first().p is None
