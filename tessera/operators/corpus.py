@@ -78,6 +78,39 @@ def issue_rates(audits: DataFrame) -> DataFrame:
     return audits.withColumn("issue_rate", F.coalesce(F.try_divide(issues, F.col("docs")), F.lit(0.0)))
 
 
+def audit_files(files: DataFrame, rows: DataFrame, simhash: bool = False) -> DataFrame:
+    """One row a file: bytes, docs, parse errors, empty texts, low quality, duplicates by kind, average length, issue rate.
+
+    files has file and bytes, rows what audit_jsonl() gives with lines. A file without rows counts as well; its issue rate is 1 if it has
+    no bytes. Of rows with one key all but the first, by file and line, are duplicates. The texts are read once.
+    """
+    from tessera.functions.verifiers import simhash64
+
+    place = F.regexp_replace("file", "^file:/+", "file:/").alias("file")  # local files are named with one slash or three
+    files, read = files.select(place, "bytes"), rows.select(place, "line", "parse_error", T.clean(F.col("text")).alias("__c"))
+    text, empty = F.col("__c.text"), F.coalesce(F.col("__c.text"), F.lit("")) == ""
+    keys = {"exact": T.exact_hash(text), "prefix": T.prefix_hash(text)} | ({"simhash": simhash64(text)} if simhash else {})
+    kept = [F.when(~empty, v).alias(f"k_{k}") for k, v in keys.items()]
+    reason = F.when(~empty, F.when(F.col("__c.reason") == "single_char", "single_char_dominant").otherwise(F.col("__c.reason")))
+    slim = checkpoint(read.select("file", "line", "parse_error", (empty & ~F.col("parse_error")).alias("empty"), F.char_length(text).alias("chars"), reason.alias("reason"), *kept))
+    docs = slim.where("NOT empty AND NOT parse_error").withColumn("__at", F.struct("file", "line"))
+    for k in keys:
+        first = docs.groupBy(f"k_{k}").agg(F.min("__at").alias("__first"))
+        docs = docs.join(first, f"k_{k}").withColumn(f"dup_{k}", F.col("__at") != F.col("__first")).drop("__first")
+    dropped = slim.groupBy("file").agg(F.count_if("parse_error").alias("parse_errors"), F.count_if("empty").alias("empty_text"))
+    every = files.join(dropped, "file", "left").join(audit_by_file(docs.drop("line", "__at"), "file"), "file", "left")
+    every = every.na.fill(0, [c for c in every.columns if c not in ("file", "avg_chars")]).na.fill(0.0, ["avg_chars"])
+    issues = F.col("parse_errors") + F.col("empty_text") + F.col("low_quality") + F.col("prefix_duplicates") + (F.col("simhash_duplicates") if simhash else F.lit(0))
+    return every.withColumn("issue_rate", F.when(F.col("docs") > 0, issues / F.col("docs")).when(F.col("bytes") == 0, 1.0).otherwise(0.0))
+
+
+def audit_totals(audits: DataFrame) -> DataFrame:
+    """One row over all files: files, zero_byte_files, total_bytes, total_docs and the sums of the counts."""
+    counts = [c for c in audits.columns if c in ("parse_errors", "empty_text", "low_quality") or c.endswith("_duplicates")]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("bytes", "total_bytes"), ("docs", "total_docs"), *((c, c) for c in counts))]
+    return audits.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("bytes") == 0).alias("zero_byte_files"), *sums)
+
+
 #: Logarithm of a sketch's registers: a standard error of 0.8 %.
 SKETCH_BITS = 14
 

@@ -8,7 +8,8 @@ from tessera.functions import text as T
 from tessera.operators import corpus
 from tessera.operators.order import first_wins
 from tessera.plans.base import query
-from tessera.session import table
+from tessera.session import table, work_dir
+from tessera.sources import readers
 
 _REASON = """CASE WHEN length(t) < 64 THEN 'short' WHEN length(t) > 500000 THEN 'long'
   WHEN (length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) + length(regexp_replace(t, '[^\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{FF66}-\\x{FF9F}]', '', 'g'))) / length(t) < 0.4 THEN 'low_alnum_cjk_ratio'
@@ -69,6 +70,29 @@ def issue_rate_topk(spark, d):
     return rated.orderBy(F.desc("issue_rate"), "source").limit(20).select("source", F.round("issue_rate", 6).alias("issue_rate"))
 
 
+_LINES = f"""l AS (SELECT source, doc_id, doc_id % 50 = 0 AS bad, CASE doc_id % 50 WHEN 1 THEN left(text, 30) || chr(10) || chr(10) || text WHEN 2 THEN ' ' ELSE text END AS text FROM documents WHERE source IS NOT NULL),
+n AS (SELECT source, doc_id, {NORM} AS t FROM l WHERE NOT bad), a AS (SELECT source, doc_id, t, {_REASON} AS reason, row_number() OVER (PARTITION BY sha1(t) ORDER BY source, doc_id) > 1 AS dup_exact,
+  row_number() OVER (PARTITION BY sha1(left(t, 512)) ORDER BY source, doc_id) > 1 AS dup_prefix FROM n WHERE t <> ''),
+e AS (SELECT source, count(*) FILTER (bad OR text IS NULL) AS parse_errors, count(*) FILTER (NOT bad AND {NORM} = '') AS empty_text FROM l GROUP BY source),
+f AS (SELECT source, count(*) AS docs, count(*) FILTER (reason IS NOT NULL) AS low_quality, count(*) FILTER (dup_exact) AS exact_duplicates, count(*) FILTER (dup_prefix) AS prefix_duplicates, round(sum(length(t)) / count(*), 3) AS avg_chars FROM a GROUP BY source)"""
+
+
+@query("audit_folder", f"""WITH {_LINES} SELECT source, docs, parse_errors, empty_text, low_quality, exact_duplicates, prefix_duplicates, avg_chars, round((parse_errors + empty_text + low_quality + prefix_duplicates) / docs, 6) AS issue_rate, false AS zero_bytes FROM e JOIN f USING (source)
+  UNION ALL SELECT '', 0, 0, 0, 0, 0, 0, 0.0, 1.0, true""")
+def audit_folder(spark, d):
+    """A folder with a file of lines for each source and one without bytes: some lines don't parse, some have a prompt and a response, some no text."""
+    folder, k = work_dir(spark, "audited"), F.col("doc_id") % 50
+    text = F.coalesce("text", F.lit("{"))
+    line = F.when((k == 0) | F.col("text").isNull(), "{not-json").when(k == 1, F.to_json(F.struct(F.substring("text", 1, 30).alias("prompt"), F.col("text").alias("response")))).otherwise(F.to_json(F.struct(F.when(k == 2, " ").otherwise(text).alias("text"))))
+    rows = table(spark, d, "documents").where("source IS NOT NULL").select("doc_id", line.alias("value"), F.col("source").alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("value", "part").write.partitionBy("part").text(folder)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/empty.txt")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place).close()
+    audits = corpus.audit_files(readers.files_below(spark, folder, ".txt"), readers.audit_jsonl(spark, folder, True, "*.txt"))
+    shown = ["docs", "parse_errors", "empty_text", "low_quality", "exact_duplicates", "prefix_duplicates", "avg_chars"]
+    return audits.select(F.regexp_extract("file", r"part=([^/]*)/", 1).alias("source"), *shown, F.round("issue_rate", 6).alias("issue_rate"), (F.col("bytes") == 0).alias("zero_bytes"))
+
+
 @query("top_dup_prefixes", f"""WITH {_AUDIT}, c AS (SELECT sha1(left(t, 512)) AS prefix_hash, count(*) AS n, min(doc_id) AS first_doc FROM a GROUP BY 1),
   top AS (SELECT * FROM c ORDER BY n DESC, first_doc LIMIT 20) SELECT prefix_hash, n FROM top WHERE n > 1""")
 def top_dup_prefixes(spark, d):
