@@ -246,9 +246,38 @@ def validation_probe(batches: DataFrame, loss: str, order: str, most: int) -> Da
     return batches.orderBy(order).limit(most).agg(F.avg(loss).alias("val_loss"), F.count(F.lit(1)).alias("batches"))
 
 
-def group_report(scores: DataFrame, by: list[str], group: str = "group", block: str = "block") -> DataFrame:
-    """by, kind, name, value, n of the full comparison: means of the groups, mean deltas of all pairs, and the omnibus statistic where there are three groups or more."""
-    means = group_summary(scores, [*by, group]).select(*by, F.lit("summary").alias("kind"), F.col(group).cast("string").alias("name"), F.col("mean").alias("value"), F.col("n").cast("long").alias("n"))
-    deltas = paired(scores, by, group, block).select(*by, F.lit("pairwise").alias("kind"), F.concat_ws("-", "left", "right").alias("name"), F.col("mean_delta").alias("value"), F.size("diffs").cast("long").alias("n"))
-    omnibus = friedman(scores, by, group, block).where("groups >= 3").select(*by, F.lit("omnibus").alias("kind"), F.lit("friedman").alias("name"), F.col("statistic").alias("value"), F.col("blocks").cast("long").alias("n"))
-    return means.unionByName(deltas).unionByName(omnibus)
+def group_report(scores: DataFrame, by: list[str], permutations: int = 10_000, seed: int = 0, group: str = "group", block: str = "block") -> DataFrame:
+    """by, kind, name, value, n, std, sem, ci95_low, ci95_high, p_value, method of the full comparison.
+
+    Means of the groups (`summary`), mean deltas of all pairs with sign-flip p-values (`pairwise`) and, where there are three groups or
+    more, the Friedman statistic (`omnibus`), whose p-value is taken from random shuffles unless permutations is 0.
+    """
+    none = lambda *names: {n: F.lit(None).cast("string" if n == "method" else "double") for n in names}
+    spread = ("std", "sem", "ci95_low", "ci95_high")
+    columns = [*by, "kind", "name", "value", "n", *spread, "p_value", "method"]
+    means = group_summary(scores, [*by, group]).withColumns({"kind": F.lit("summary"), "name": F.col(group).cast("string"), "value": F.col("mean"), "n": F.col("n").cast("long"), **none("p_value", "method")})
+    sizes = paired(scores, by, group, block).select(*by, "left", "right", F.size("diffs").cast("long").alias("n"))
+    deltas = pairwise(scores, by, max(1, permutations), seed, group=group, block=block).join(sizes, [*by, "left", "right"])
+    deltas = deltas.withColumns({"kind": F.lit("pairwise"), "name": F.concat_ws("-", "left", "right"), "value": F.col("mean_delta"), "method": F.lit(f"paired_permutation_{permutations}"), **none(*spread)})
+    omnibus = friedman(scores, by, group, block).where("groups >= 3").withColumns({"kind": F.lit("omnibus"), "name": F.lit("friedman"), "value": F.col("statistic"), "n": F.col("blocks").cast("long"), **none(*spread)})
+    if permutations:
+        omnibus = omnibus.join(friedman_sampled(scores, by, permutations, seed, group, block).drop("statistic"), by).withColumn("method", F.lit(f"friedman_within_block_permutation_{permutations}"))
+    else:
+        omnibus = omnibus.withColumns(none("p_value", "method"))
+    return means.select(columns).unionByName(deltas.select(columns)).unionByName(omnibus.select(columns))
+
+
+def report_markdown(report: DataFrame, by: list[str]) -> DataFrame:
+    """by, markdown: a table of the groups, of their comparisons and, if there is one, of the omnibus test. A comparison is a few rows."""
+    number = lambda c, digits: F.coalesce(F.format_string(f"%.{digits}f", c), F.lit("-"))
+    line = (
+        F.when(F.col("kind") == "summary", F.format_string("| %s | %d | %.4f | %.4f | %.4f | [%.4f, %.4f] |", "name", "n", "value", "std", "sem", "ci95_low", "ci95_high"))
+        .when(F.col("kind") == "pairwise", F.concat(F.lit("| "), F.replace("name", F.lit("-"), F.lit(" - ")), F.lit(" | "), number(F.col("value"), 4), F.lit(" | "), number(F.col("p_value"), 6), F.lit(" | "), F.coalesce("method", F.lit("-")), F.lit(" |")))
+        .otherwise(F.concat(F.lit("| Friedman | "), number(F.col("value"), 4), F.lit(" | "), number(F.col("p_value"), 6), F.lit(" | "), F.coalesce("method", F.lit("-")), F.lit(" |")))
+    )
+    lines = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", line.alias("line"))))), lambda x: x["line"])
+    heads = {"summary": ["| group | n | mean | sd | sem | 95% CI |", "|---|---:|---:|---:|---:|---:|"], "pairwise": ["", "| comparison | mean delta | p | method |", "|---|---:|---:|---|"], "omnibus": ["", "| omnibus | statistic | p | method |", "|---|---:|---:|---|"]}
+    grouped = report.groupBy(*by).agg(*(lines(kind).alias(kind) for kind in heads))
+    parts = [F.when((F.size(kind) > 0) | F.lit(kind != "omnibus"), F.concat(F.array(*map(F.lit, head)), F.col(kind))).otherwise(F.array().cast("array<string>")) for kind, head in heads.items()]
+    title = F.concat(F.lit("### "), F.concat_ws(" ", *(F.col(c).cast("string") for c in by)))
+    return grouped.select(*by, F.concat(F.array_join(F.concat(F.array(title, F.lit("")), *parts), "\n"), F.lit("\n")).alias("markdown"))

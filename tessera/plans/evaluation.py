@@ -71,13 +71,21 @@ def perm_exact(spark, d):
     return _rounded(st.pairwise(_scores(spark, d), ["benchmark"]).select("benchmark", "left", "right", "p_value"), "p_value")
 
 
-@query("group_report", f"""WITH {_S}, r AS (SELECT benchmark, "group", rank() OVER (PARTITION BY benchmark, block ORDER BY score) + (count(*) OVER (PARTITION BY benchmark, block, score) - 1) / 2.0 AS rank FROM s),
+_FLIPS = """d AS (SELECT a.benchmark, a."group" AS l, b."group" AS r, list(a.score - b.score ORDER BY a.block) AS d, avg(a.score) - avg(b.score) AS delta
+  FROM s a JOIN s b ON a.benchmark = b.benchmark AND a.block = b.block AND a."group" < b."group" GROUP BY 1, 2, 3),
+  k AS (SELECT benchmark, l, r, d, abs(list_sum(d)) / len(d) AS obs, unnest(range(0, (1 << len(d))::BIGINT)) AS mask FROM d),
+  f AS (SELECT benchmark, l, r, mask, any_value(obs) AS obs, abs(sum(CASE WHEN (mask >> (i - 1)::BIGINT) & 1 = 1 THEN d[i] ELSE -d[i] END)) / count(*) AS v FROM (SELECT *, unnest(range(1, len(d) + 1)) AS i FROM k) GROUP BY 1, 2, 3, 4),
+  w AS (SELECT benchmark, l, r, CASE WHEN any_value(obs) = 0 THEN 1.0 ELSE least(1.0, (1 + count(*) FILTER (v >= obs - 1e-12)) / (1.0 + count(*))) END AS p FROM f GROUP BY 1, 2, 3)"""
+
+
+@query("group_report", f"""WITH {_S}, {_FLIPS}, r AS (SELECT benchmark, "group", rank() OVER (PARTITION BY benchmark, block ORDER BY score) + (count(*) OVER (PARTITION BY benchmark, block, score) - 1) / 2.0 AS rank FROM s),
   g AS (SELECT benchmark, "group", sum(rank) AS r, count(*) AS n FROM r GROUP BY 1, 2), x AS (SELECT benchmark, count(*) AS k, max(n) AS b, sum(r * r) AS q FROM g GROUP BY 1)
-  SELECT benchmark, 'summary' AS kind, "group" AS name, round(avg(score), 6) AS value, count(*) AS n FROM s GROUP BY 1, 3
-  UNION ALL SELECT a.benchmark, 'pairwise', a."group" || '-' || b."group", round(avg(a.score) - avg(b.score), 6), count(*) FROM s a JOIN s b ON a.benchmark = b.benchmark AND a.block = b.block AND a."group" < b."group" GROUP BY 1, 3
-  UNION ALL SELECT benchmark, 'omnibus', 'friedman', round(greatest(0, 12.0 / (b * k * (k + 1)) * q - 3.0 * b * (k + 1)), 6), b FROM x WHERE k >= 3""")
+  SELECT benchmark, 'summary' AS kind, "group" AS name, round(avg(score), 6) AS value, count(*) AS n, round(coalesce(stddev_samp(score), 0) / sqrt(count(*)), 6) AS sem, NULL::DOUBLE AS p_value FROM s GROUP BY 1, 3
+  UNION ALL SELECT benchmark, 'pairwise', l || '-' || r, round(delta, 6), len(d), NULL, round(p, 6) FROM d JOIN w USING (benchmark, l, r)
+  UNION ALL SELECT benchmark, 'omnibus', 'friedman', round(greatest(0, 12.0 / (b * k * (k + 1)) * q - 3.0 * b * (k + 1)), 6), b, NULL, NULL FROM x WHERE k >= 3""")
 def group_report(spark, d):
-    return _rounded(st.group_report(_scores(spark, d), ["benchmark"]), "value")
+    """The whole comparison; the omnibus p-value comes from a seeded generator, which SQL has not (friedman_sampled has it)."""
+    return _rounded(st.group_report(_scores(spark, d), ["benchmark"], permutations=0).select("benchmark", "kind", "name", "value", "n", "sem", "p_value"), "value", "sem", "p_value")
 
 
 @query("perm_sampled")

@@ -146,3 +146,19 @@ def test_many_pairs_are_sampled(spark):
     assert got["x"] == statistics.sampled_sign_flips([-float(b % 3) for b in range(40)], 500, 1) and 0 < got["y"] <= 1
     wide = spark.createDataFrame([([0.5] * 30,)], "d array<double>").select(statistics.exact_sign_flips(F.col("d")).alias("p"))
     assert wide.first().p is None
+
+
+def test_group_report_and_its_markdown(spark):
+    rows = [("x", g, k, b, (b * (k + 1)) % 5 / 5) for k, g in enumerate("abc") for b in range(6)] + [("y", g, k, b, float(k)) for k, g in enumerate("ab") for b in range(3)]
+    long = spark.createDataFrame(rows, "benchmark string, `group` string, group_ord int, block int, score double")
+    report = statistics.group_report(long, ["benchmark"], permutations=200)
+    kinds = {(r.benchmark, r.kind, r.name): r for r in report.collect()}
+    assert len(kinds) == 3 + 3 + 1 + 2 + 1 and kinds["y", "pairwise", "a-b"].value == -1.0
+    p = {(r.left, r.right): r.p_value for r in statistics.pairwise(long.where("benchmark = 'x'"), ["benchmark"]).collect()}
+    assert all(kinds["x", "pairwise", f"{a}-{b}"].p_value == v for (a, b), v in p.items())
+    omnibus = statistics.friedman_sampled(long.where("benchmark = 'x'"), ["benchmark"], 200).first()
+    assert kinds["x", "omnibus", "friedman"].p_value == omnibus.p_value and kinds["x", "omnibus", "friedman"].value == pytest.approx(omnibus.statistic)
+    text = {r.benchmark: r.markdown for r in statistics.report_markdown(report, ["benchmark"]).collect()}
+    assert text["x"].startswith("### x\n\n| group | n | mean | sd | sem | 95% CI |\n|---|---:|---:|---:|---:|---:|\n| a | 6 | ")
+    assert "\n\n| comparison | mean delta | p | method |\n" in text["x"] and "| a - b | " in text["x"] and "| Friedman | " in text["x"] and text["x"].endswith("|\n")
+    assert "Friedman" not in text["y"] and "| a - b | -1.0000 | " in text["y"]
