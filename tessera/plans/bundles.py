@@ -191,3 +191,22 @@ def math_rules(spark, d):
     said = F.concat(F.lit("<think>adding up all that is given</think><answer>"), F.when(i % 3 == 0, i % 10 + 1).otherwise(i % 10), F.lit("</answer>"))
     reasoning = F.lit("We add the numbers that are given one after another and keep the last digit.")
     return table(spark, d, "benchmark").select("item_id", B.math_reason(F.col("text"), reasoning, final, said, final).alias("reason"))
+
+
+@query("reached_target", """WITH r AS (SELECT event_id, event_type, user_id, coalesce(sum(user_id) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)
+  SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS size FROM r WHERE before < 5000 GROUP BY 1""")
+def reached_target(spark, d):
+    """Events of each type until their sizes have reached a target; the one that crosses it is in."""
+    rows = table(spark, d, "events").select("event_id", "event_type", "user_id")
+    return B.reached_target(rows, "user_id", ["event_type"], "event_id", 5000).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("size"))
+
+
+@query("merged_preferences", """WITH p AS (SELECT doc_id, lang, CASE WHEN doc_id % 11 <> 0 THEN left(text, 20) END AS c, CASE WHEN doc_id % 13 = 0 THEN '' ELSE right(text, 20) END AS r FROM documents)
+  SELECT lang, count(*) AS n FROM p WHERE c <> '' AND r <> '' GROUP BY lang""")
+def merged_preferences(spark, d):
+    """Pairs of two sets as one; those that lack a text go."""
+    from tessera.operators.records import merged_preferences as merged
+
+    i, t = F.col("doc_id"), F.col("text")
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.when(i % 11 != 0, F.left(t, F.lit(20))).alias("chosen_text"), F.when(i % 13 == 0, "").otherwise(F.right(t, F.lit(20))).alias("rejected_text"))
+    return merged([rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")]).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))

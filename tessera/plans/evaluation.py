@@ -161,3 +161,15 @@ def kl_and_preference(spark, d):
 def schedules(spark, d):
     s = F.col("id")
     return spark.range(1200).select(s.alias("step"), F.round(st.learning_rate(s, 1e-3, 100, 1000, 1e-4), 9).alias("lr"), F.round(st.annealed(s, 1.0, 0.2, 500), 9).alias("lambda"))
+
+
+@query("validation_probe", "SELECT round(avg(value), 6) AS val_loss, count(*) AS batches FROM (SELECT value FROM events ORDER BY event_id LIMIT 500)")
+def validation_probe(spark, d):
+    return st.validation_probe(table(spark, d, "events").select("event_id", "value"), "value", "event_id", 500).withColumn("val_loss", F.round("val_loss", 6))
+
+
+@query("entropy_floor", "SELECT user_id, round(avg(0.05 * (event_id % 10) / 9.0 + 0.01 * (1 - (event_id % 10) / 9.0)), 6) AS floor FROM events GROUP BY user_id")
+def entropy_floor(spark, d):
+    """The floor at each event's level, by user."""
+    e = table(spark, d, "events").select("user_id", st.entropy_floor((F.col("event_id") % 10) / 9.0, 0.05, 0.01).alias("f"))
+    return e.groupBy("user_id").agg(F.round(F.avg("f"), 6).alias("floor"))
