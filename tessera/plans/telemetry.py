@@ -92,6 +92,25 @@ def classification_counts(spark, d):
     return t.lane_decision(t.lane_summary(_lanes(spark, d))).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
 
 
+_RATE = "CASE c WHEN 2 THEN 0.0 WHEN 3 THEN 0.05 * (event_id % 3) WHEN 4 THEN 0.3 + 0.2 * (event_id % 2) WHEN 5 THEN 0.9 ELSE 0.5 END"
+
+
+@query("lane_classes", f"""WITH e AS (SELECT event_id, user_id % 24 AS lane, user_id % 24 % 6 AS c, event_type = 'purchase' AS last FROM events), r AS (SELECT *, {_RATE} AS rate FROM e WHERE c > 0),
+  s AS (SELECT lane, count(*) FILTER (NOT last) AS steps, bool_or(last AND c <> 1) AS ended, avg(rate) FILTER (NOT last) AS mean, max(rate) FILTER (NOT last) AS most, arg_max(rate, event_id) FILTER (NOT last) AS final FROM r GROUP BY lane)
+  SELECT l.lane, CASE WHEN steps IS NULL THEN 'missing' WHEN steps < 24 OR NOT ended THEN 'incomplete' WHEN most = 0 THEN 'blocked_no_reward_signal' WHEN mean >= 0.75 AND final >= 0.75 THEN 'ready_for_export_eval'
+    WHEN mean >= 0.25 THEN 'promising_but_unstable' ELSE 'unstable_sparse_success' END AS classification FROM (SELECT DISTINCT lane FROM e) l LEFT JOIN s USING (lane)""")
+def lane_classes(spark, d):
+    """Users in 24 lanes, four of each kind: without events, unended, without reward, with rare, mixed and steady success."""
+    lane, last = F.col("user_id") % 24, F.col("event_type") == "purchase"
+    e = table(spark, d, "events").select("event_id", lane.alias("lane"), (lane % 6).alias("c"), last.alias("last"))
+    kind = F.when(~F.col("last"), "grpo_step").when(F.col("c") != 1, "run_end").otherwise("note")
+    empty = {n: F.lit(None).cast("string") for n in ("kind", "prompt_task")} | {n: F.lit(0.0) for n in ("reward_std", "kl", "clip_frac")}
+    rate = F.expr(_RATE)
+    rows = e.where("c > 0").withColumns({"event": kind, "ord": F.col("event_id"), "step": F.col("event_id"), "correct_rate": rate, "format_rate": F.lit(1.0), "reward_mean": 2 * rate, "adv_abs_mean": rate, **empty})
+    summaries = e.select("lane").distinct().join(t.lane_summary(rows), "lane", "left")
+    return t.lane_decision(summaries).select("lane", "classification")
+
+
 @query("eta_overall", f"""WITH {_E}, u AS (SELECT user_id, count(*) AS done, min(uts) AS a, max(uts) AS b FROM e GROUP BY user_id)
   SELECT user_id, round_even(done / 200.0 * 100, 3) AS progress_pct, CASE WHEN done < 200 AND b > a THEN round_even((b - a) / done * (200 - done), 1) WHEN done >= 200 THEN 0.0 END AS eta_sec FROM u""")
 def eta_overall(spark, d):
