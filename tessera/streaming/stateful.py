@@ -6,15 +6,18 @@ and keys that are done leave little or nothing behind.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ATTEMPT = "task string, attempt int, outcome string, reason string"
+#: A group's open tasks, with the last attempt and the time at which each is given up waiting for, and its decided tasks.
+OPEN = "task array<string>, attempt array<int>, reason array<string>, expires array<long>, over array<string>"
 
 
 def keyed_state(spark: SparkSession) -> None:
@@ -22,59 +25,49 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class Attempts(StatefulProcessor):
-    """Counts a task's attempts until one passes, `most` have failed, or none came for `idle_ms`."""
-
-    def __init__(self, most: int, idle_ms: int):
-        self.most, self.idle_ms = most, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.progress = handle.getValueState("progress", "attempt int, reason string, expires long, done boolean")
-
-    def _told(self, key: tuple, attempt: int, outcome: str, reason: str | None) -> pd.DataFrame:
-        return pd.DataFrame({"task": [str(key[0])], "attempt": pd.array([attempt], "int32"), "outcome": [outcome], "reason": [reason]})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.progress.get() if self.progress.exists() else None
-        attempt, reason, expires, done = before or (0, None, -1, False)
-        if done:
-            return  # attempts behind the outcome don't count
-        newest, outcome = expires - self.idle_ms, None
-        for frame in rows:
-            for row in frame.sort_values("attempt").itertuples():
-                newest = max(newest, int(row.ms))
-                if outcome is None:
-                    attempt = int(row.attempt)
-                    reason = None if row.reason is None or row.reason != row.reason else row.reason
-                    outcome = "accepted" if reason is None else "given_up" if attempt >= self.most else None
-        if expires >= 0:
-            self.handle.deleteTimer(expires)
-        if outcome is None:
-            expires = max(newest + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
-            self.handle.registerTimer(expires)
-            self.progress.update((attempt, reason, expires, False))
-            return
-        self.progress.update((attempt, reason, -1, True))
-        yield self._told(key, attempt, outcome, reason)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        attempt, reason, _, done = self.progress.get()
-        self.progress.update((attempt, reason, -1, True))
-        if not done:
-            yield self._told(key, attempt, "timed_out", reason)
-
-
-def attempts(stream: DataFrame, most: int = 3, idle_seconds: int = 3600, late: str = "0 seconds") -> DataFrame:
+def _first_outcomes(most: int, idle_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Counts each task's attempts until one passes, `most` have failed, or none came for `idle_ms`, by groups of tasks."""
+
+    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *opened, over = state.getOption or ((), (), (), (), ())
+        tasks, over, told = {task: rest for task, *rest in zip(*opened)}, set(over), []
+        watermark = state.getCurrentWatermarkMs()
+        rows = None if state.hasTimedOut else pd.concat(list(frames)).sort_values("attempt", kind="stable")
+        for task, attempt, reason, ms in () if rows is None else zip(*(rows[c].tolist() for c in ("task", "attempt", "reason", "ms"))):
+            if task in over:
+                continue  # attempts behind the outcome don't count
+            attempt, reason = int(attempt), None if reason != reason else reason
+            if reason is None or attempt >= most:
+                told.append((task, attempt, "accepted" if reason is None else "given_up", reason))
+                over.add(task)
+                tasks.pop(task, None)
+            else:
+                tasks[task] = [attempt, reason, max(tasks[task][2] if task in tasks else 0, ms + idle_ms, watermark + 1)]
+        for task in [task for task, (*_, expires) in tasks.items() if expires <= watermark]:
+            attempt, reason, _ = tasks.pop(task)
+            told.append((task, attempt, "timed_out", reason))
+            over.add(task)
+        state.update((*map(list, zip(*((task, *rest) for task, rest in tasks.items())) if tasks else ((), (), (), ())), list(over)))
+        if tasks:  # called again when the watermark is past this time
+            state.setTimeoutTimestamp(max(1, min(expires for *_, expires in tasks.values()) - 1))
+        if told:
+            yield pd.DataFrame(told, columns=["task", "attempt", "outcome", "reason"]).astype({"attempt": "int32"})
+
+    return decide
+
+
+def attempts(stream: DataFrame, most: int = 3, idle_seconds: int = 3600, late: str = "0 seconds", groups: int = 512) -> DataFrame:
     """task, attempt, outcome, reason: once for each task, when it is decided.
 
     stream has task, attempt (from 1), reason (null for an attempt that passes) and ts (timestamp). The first attempt that passes is
     accepted; a task is given up at its attempt number `most`, and timed out when the watermark is idle_seconds past its last attempt.
-    Attempts of one batch are taken by number.
+    Attempts of one batch are taken by number. As a call for a key takes milliseconds, keys are `groups` of tasks, a number that a
+    checkpoint must keep; a batch rewrites the state of groups that it has rows of, so very many tasks in small batches want more of them.
     """
     keyed_state(stream.sparkSession)
-    timed = stream.withWatermark("ts", late).withColumn("ms", F.unix_millis(F.col("ts")))
-    return timed.groupBy("task").transformWithStateInPandas(Attempts(most, idle_seconds * 1000), ATTEMPT, "Append", "EventTime")
+    task = F.col("task").cast("string")
+    timed = stream.withWatermark("ts", late).select(F.pmod(F.xxhash64(task), F.lit(groups)).alias("group"), task.alias("task"), "attempt", "reason", "ts", F.unix_millis(F.col("ts")).alias("ms"))
+    return timed.groupBy("group").applyInPandasWithState(_first_outcomes(most, idle_seconds * 1000), ATTEMPT, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class Silence(StatefulProcessor):

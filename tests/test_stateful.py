@@ -1,6 +1,7 @@
 """Stateful streams against their batch twins, over restarts."""
 
 import datetime
+import random
 
 from tessera.streaming import live, stateful
 
@@ -27,6 +28,44 @@ def test_attempts_over_restarts(spark, tmp_path):
     assert arrive([("d", 2, None, at(66)), ("y", 1, None, at(200))]) == sorted([*third, ("e", 1, "timed_out", "q"), ("y", 1, "accepted", None)])
 
 
+def test_tasks_share_state_by_group(spark, tmp_path):
+    rows = [(f"t{i}", 1, None if i % 3 else "bad", at(i % 7)) for i in range(2000)]
+    spark.createDataFrame(rows, SHAPE).write.parquet(f"{tmp_path}/in")
+    query = live.drain(stateful.attempts(spark.readStream.schema(SHAPE).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert spark.read.schema(stateful.ATTEMPT).parquet(f"{tmp_path}/out").count() == sum(1 for r in rows if r[2] is None)
+    assert 0 < query.lastProgress.stateOperators[0].numRowsTotal <= 512  # a row of state for each task takes hours at millions of tasks
+
+
+def test_attempts_of_groups_are_those_of_single_tasks(spark, tmp_path):
+    r, idle, most, watermark, tasks, want = random.Random(5), 40, 3, 0, {}, []
+
+    def expire():
+        for task, (attempt, reason, expires) in list(tasks.items()):
+            if expires is not None and expires <= watermark:
+                want.append((task, attempt, "timed_out", reason))
+                tasks[task] = (attempt, reason, None)
+
+    for batch in range(5):
+        rows = sorted({(f"t{r.randrange(120)}", r.randrange(1, 5)): (r.choice([None, "x", "y", "z"]), batch * 30 + r.randrange(1, 31)) for _ in range(40)}.items())
+        spark.createDataFrame([(t, n, reason, at(m)) for (t, n), (reason, m) in rows], SHAPE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        live.drain(stateful.attempts(spark.readStream.schema(SHAPE).parquet(f"{tmp_path}/in"), most, idle * 60, groups=8), f"{tmp_path}/out", f"{tmp_path}/state")
+        for (task, n), (reason, minute) in rows:
+            attempt, _, expires = tasks.get(task, (0, None, 0))
+            if expires is None:
+                continue  # decided
+            outcome = "accepted" if reason is None else "given_up" if n >= most else None
+            tasks[task] = (n, reason, None if outcome else max(expires, minute + idle))
+            if outcome:
+                want.append((task, n, outcome, reason))
+        expire()
+        watermark = max(minute for _, (_, minute) in rows)
+        expire()
+    assert {o for _, _, o, _ in want} == {"accepted", "given_up", "timed_out"}
+    key = lambda row: tuple(map(str, row))
+    got = [tuple(x) for x in spark.read.schema(stateful.ATTEMPT).parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 def test_silent_runs_come_once(spark, tmp_path):
     shape = "run string, ts timestamp"
 
