@@ -72,6 +72,13 @@ def test_code_in_fences_is_scored(spark, tmp_path):
     assert {r.doc_id: r.score for r in catalog.queries()["verify_code_spec"](spark, str(tmp_path)).collect()} == {0: 1.0, 1: 0.0, 2: 1.0, 3: 0.0}
 
 
+def test_code_is_run_and_linted_for_all_items(spark):
+    columns, want = by_sql(catalog.oracle_sql()["verify_python_exec"], ["benchmark"])
+    got = catalog.queries()["verify_python_exec"](spark, SF)
+    assert got.columns == columns == ["item_id", "score", "lint"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and {score for _, score, _ in want} == {0.0, 1.0}
+
+
 def test_sampled_statistics_take_their_10000_permutations(spark):
     from statistics import mean
 
